@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels as K
-from tessera.llm.frames import map_text, text_bytes
+from tessera.llm.frames import map_text, text_bytes, without
 
 WINDOW, GRAM = 13, 7
 #: Text bytes of the items in one broadcast index.
@@ -179,6 +179,14 @@ def digest(docs: DataFrame, items: DataFrame) -> DataFrame:
     return judged(docs, items).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, with all their columns, that the rule doesn't call contaminated."""
+    key = "contaminated row"
+    rows = docs.withColumn(key, F.xxhash64(id_col, text_col))
+    bad = judged(rows, items, id_col=key, text_col=text_col, **options).where("contaminated").select(F.col("doc_id").alias(key))
+    return without(rows, bad, key).select(*docs.columns)
+
+
 def brute(docs: list[tuple], items: list[tuple], window: int = WINDOW) -> dict:
     """The same by plain Python, for tests: id to (n_words, hit word indices, item ids)."""
     import re

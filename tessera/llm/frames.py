@@ -68,3 +68,13 @@ def parts_for(spark: SparkSession, n_bytes: int, each: int, least: int = 1) -> i
 def text_bytes(docs: DataFrame, text_col: str) -> int:
     """Bytes of text in all documents: one pass of a column, one number to the driver."""
     return docs.select(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long"))).first()[0] or 0
+
+
+#: Rows that a join may broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def without(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows whose `column` isn't among keys (a table of that one column); keys are broadcast only if they are few enough."""
+    keys = written(keys.distinct())
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, column, "left_anti")

@@ -30,13 +30,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm import kernels as K
 from tessera.llm.components import components
-from tessera.llm.frames import map_text, written
+from tessera.llm.frames import BROADCAST_ROWS, map_text, without, written
 
 K_RETAINED = 32
 #: Chance of missing a pair at the threshold.
 MISS = 1e-9
-#: Ids that a join may broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
 #: Rounds of pivots before the rest of each list is tested in full.
 ROUNDS = 3
 
@@ -146,7 +144,7 @@ class Search:
     def links(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose full sets are similar enough."""
         ids = written(pairs.select(F.explode(F.array("x", "y")).alias("wanted")).distinct())
-        wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        wanted = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
         docs = self.docs.select(F.col(self.id_col).cast("long").alias("doc_id"), F.col(self.text_col).cast("string").alias("text")).join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi")
         sets = signatures(docs, self.n, self.k, "doc_id", "text", full=True).where("n > 0").dropDuplicates(["doc_id", "s1", "s2"]).select("doc_id", "n", "values")
         sets = written(sets)
@@ -183,5 +181,18 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, k: int = K_R
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without those of another's group: the least doc_id of each stays, one row of it, and rows without an id."""
+    rows = near_duplicates(docs, n, percent, id_col=id_col, text_col=text_col)
+    rows = written(rows.select("doc_id", "kept"))
+    names = docs.columns
+    kept = without(docs, rows.where("not kept").select(F.col("doc_id").alias(id_col)), id_col).select(*names)
+    twice = rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_col))
+    if twice.isEmpty():
+        return kept
+    again = kept.join(twice, id_col, "left_semi").select(*names).dropDuplicates([id_col])
+    return without(kept, twice, id_col).select(*names).unionByName(again)
+
+
 def digest(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs, 3, 85)

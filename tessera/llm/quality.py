@@ -10,12 +10,14 @@ repeated rows are judged one by one; an empty table gives an empty ledger.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm import kernels as K
 from tessera.llm.frames import arrow_rows, map_text
@@ -103,6 +105,22 @@ def ablation(rows: DataFrame, policy: str) -> DataFrame:
     return by_bits.agg(F.array(*columns).alias("r")).select(F.inline("r"))
 
 
+def passing(docs: DataFrame, policy: str = "v1", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that a policy passes; judged in the scan, without a join."""
+    names, prefix = docs.columns, "rule input "
+
+    def run(batches):
+        for batch in batches:
+            for part in K.slices(batch, text_col):
+                found = measure(pa.RecordBatch.from_arrays([pa.nulls(part.num_rows, pa.int64()), part.column(text_col)], names=["doc_id", "text"]))
+                yield pa.RecordBatch.from_arrays([*part.columns, *found.columns[1:]], names=[*names, *(prefix + m for m in MEASURES)])
+
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(prefix + m, T.LongType()) for m in MEASURES)])
+    rows = docs.mapInArrow(run, schema)
+    failed = reduce(lambda a, b: a | b, (F.expr(re.sub(r"[a-z]\w*", lambda m: f"`{prefix}{m[0]}`" if m[0] in MEASURES else m[0], RULES[r])) for r in POLICIES[policy]))
+    return rows.where(~failed).select(*(F.col(f"`{c}`") for c in names))
+
+
 def digest(docs: DataFrame) -> DataFrame:
     rows = ledger(docs)
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~passes("base")).alias("base_failed"), passes("v1").alias("kept"), "failed")

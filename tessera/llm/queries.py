@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import anchors, decontaminate, near, packing, parsing, quality, secrets, tokens, toxicity
+from tessera.llm import anchors, decontaminate, lm, near, packing, parsing, quality, secrets, tokens, toxicity
 from tessera.llm.frames import table
 
 
@@ -21,6 +21,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.digest(table(spark, sf_dir, "documents"))
 
@@ -45,5 +49,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_substring_dedup, op5_near_dedup, op6_secret_scans, op7_decontamination, op8_suffix_dedup, op9_packing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_substring_dedup, op4_lm_scoring, op5_near_dedup, op6_secret_scans, op7_decontamination, op8_suffix_dedup, op9_packing, op10_token_counts)}
 ORACLES: dict[str, str] = {}
