@@ -9,10 +9,10 @@
    their similarity and drops the hopeless; the rest is verified on full sets, read again from the
    documents that need it.
 4. Only reachability is asked for. So each list first tests its members against one pivot (the most
-   central, then others picked by hash), and only against members of other components. What is left
-   of a list, members outside its largest component, is then tested against all members of other
-   components. No link between different texts is lost, and a list of g near copies costs about g
-   tests, not g * g.
+   central, then one picked by hash), and only against members of other components. Members of lists
+   that this leaves in several components are compared by their full sets in the order of rarity,
+   which finds the pairs that can still be similar. No link between different texts is lost, and a
+   list of g near copies costs about g tests, not g * g.
 
 Defined results: null, empty and wordless texts have an empty set and are linked with nothing; rows
 with a null id stay alone (component null, kept); repeated rows are copies of one document; an empty
@@ -36,7 +36,7 @@ K_RETAINED = 32
 #: Chance of missing a pair at the threshold.
 MISS = 1e-9
 #: Rounds of pivots before the rest of each list is tested in full.
-ROUNDS = 3
+ROUNDS = 1
 
 
 def least_overlap(k: int, percent: int) -> int:
@@ -123,14 +123,39 @@ class Search:
         best = best.select("v", F.col("p.rep").alias("p"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pc"))
         return members.join(best, "v").where(f"rep <> p and comp <> pc and {self.near_sizes('n', 'pn')}").select(F.least("rep", "p").alias("x"), F.greatest("rep", "p").alias("y"))
 
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """(doc_id, n, values) of full sets, read again from the documents; ids: a written table of one column `wanted`."""
+        wanted = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+        docs = self.docs.select(F.col(self.id_col).cast("long").alias("doc_id"), F.col(self.text_col).cast("string").alias("text")).join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi")
+        return signatures(docs, self.n, self.k, "doc_id", "text", full=True).where("n > 0").dropDuplicates(["doc_id", "s1", "s2"]).select("doc_id", "n", "values")
+
     def rest(self, members: DataFrame) -> DataFrame:
-        """Pairs of all members outside a list's largest component with the members of other components."""
-        by_comp = members.groupBy("v", "comp").agg(F.count("*").alias("size"))
-        major = by_comp.groupBy("v").agg(F.max(F.struct("size", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("v", F.col("top.comp").alias("top"))
-        mixed = members.join(major, "v")
-        a = mixed.where("comp <> top").select("v", F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc"))
-        b = mixed.select("v", F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("comp").alias("yc"), (F.col("comp") == F.col("top")).alias("y_top"))
-        return a.join(b, "v").where(f"xc <> yc and (y_top or x < y) and {self.near_sizes('xn', 'yn')}").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+        """Pairs of different components among the members of lists that pivots haven't settled (three members or more, two components or more).
+
+        Full sets are put in the order of rarity among these members. The least place of a common shingle bounds
+        what two sets can share, so a pair is listed only if its first common shingle comes early enough in both.
+        Bounds depend on (size, place, component) alone: these classes are joined first, and only classes that fit
+        are spelled out. Near copies with many changes of their own fit nowhere, however many share the rest.
+        """
+        p = self.percent
+        mixed = members.groupBy("v").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("size > 2 and low <> high").select("v")
+        ids = written(members.join(mixed, "v", "left_semi").select(F.col("rep").alias("wanted")).distinct())
+        comps = members.select(F.col("rep").alias("doc_id"), "comp").distinct()
+        shingles = self.sets(ids).select("doc_id", "n", F.explode("values").alias("r"))
+        counts = shingles.groupBy("r").agg(F.count("*").alias("c")).where("c > 1")
+        shared = shingles.join(counts, "r").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("c", "r"))).alias("rs"))
+        # places up to n - (least overlap that any partner needs); single shingles come first and are no keys
+        early = F.expr(f"slice(rs, 1, cast(greatest(0, n - cast(ceil({p} * n / 100.0) as long) + 1 - (n - size(rs))) as int))")
+        keys = shared.select("doc_id", "n", F.expr("n - size(rs)").alias("alone"), F.posexplode(early).alias("i", "key")).select(F.col("key.r").alias("r"), "doc_id", "n", (F.col("alone") + F.col("i")).alias("place")).join(comps, "doc_id")
+        keys = written(keys)
+        classes = keys.groupBy("r", "n", "place", "comp").count().drop("count")
+        one, two = (classes.toDF("r", f"n{i}", f"place{i}", f"comp{i}") for i in (1, 2))
+        need = f"{p} * (n1 + n2)"
+        fits = f"comp1 < comp2 and {100 + p} * least(n1 - place1, n2 - place2) >= {need} and {self.near_sizes('n1', 'n2')}"
+        fit = one.join(two, "r").where(fits)
+        x, y = (keys.select("r", F.col("doc_id").alias(f"doc{i}"), F.col("n").alias(f"n{i}"), F.col("place").alias(f"place{i}"), F.col("comp").alias(f"comp{i}")) for i in (1, 2))
+        pairs = fit.join(x, ["r", "n1", "place1", "comp1"]).join(y, ["r", "n2", "place2", "comp2"])
+        return pairs.select(F.least("doc1", "doc2").alias("x"), F.greatest("doc1", "doc2").alias("y"))
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose sketches leave the wanted similarity possible."""
@@ -143,11 +168,7 @@ class Search:
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose full sets are similar enough."""
-        ids = written(pairs.select(F.explode(F.array("x", "y")).alias("wanted")).distinct())
-        wanted = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-        docs = self.docs.select(F.col(self.id_col).cast("long").alias("doc_id"), F.col(self.text_col).cast("string").alias("text")).join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi")
-        sets = signatures(docs, self.n, self.k, "doc_id", "text", full=True).where("n > 0").dropDuplicates(["doc_id", "s1", "s2"]).select("doc_id", "n", "values")
-        sets = written(sets)
+        sets = written(self.sets(written(pairs.select(F.explode(F.array("x", "y")).alias("wanted")).distinct())))
         both = pairs.join(sets.toDF("x", "xn", "xs"), "x").join(sets.toDF("y", "yn", "ys"), "y").withColumn("shared", F.expr("size(array_intersect(xs, ys))"))
         return both.where(f"100 * shared >= {self.percent} * (xn + yn - shared)").select("x", "y").distinct()
 
