@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tessera.llm.frames import parts_for, text_bytes
 
 #: Bytes of text in a group, and of text for each part.
-GROUP_BYTES, PART_BYTES = 4 << 20, 8 << 20
+GROUP_BYTES, PART_BYTES = 2 << 20, 8 << 20
 #: Groups and parts of small tables.
 LEAST = 24
 

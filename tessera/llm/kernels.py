@@ -35,9 +35,12 @@ LOWER[65:91] += 32
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit values with good avalanche (the splitmix64 finaliser)."""
     a, m, b, n, c = _STEPS
-    x = (x ^ (x >> a)) * m
-    x = (x ^ (x >> b)) * n
-    return x ^ (x >> c)
+    x = x ^ (x >> a)
+    x *= m
+    x ^= x >> b
+    x *= n
+    x ^= x >> c
+    return x
 
 
 @functools.cache
@@ -48,20 +51,22 @@ def _seeded(seed: int) -> tuple[np.ndarray, int, int]:
     return table, base, pow(base, -1, 2**64)
 
 
-@functools.lru_cache(maxsize=8)
-def _powers(base: int) -> np.ndarray:
-    return _raised(base, SLICE_BYTES + 2)
-
-
-def _raised(base: int, n: int) -> np.ndarray:
-    out = np.full(max(n, 1), base, U64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+_POWERS: dict[int, np.ndarray] = {}
+#: Longest tables of powers that a worker keeps.
+KEPT_POWERS = 8 << 20
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0, 1 ... n - 1 modulo 2**64; those that a slice needs are kept."""
-    return _powers(base)[:n] if n <= SLICE_BYTES + 2 else _raised(base, n)
+    """base ** 0, 1 ... n - 1 modulo 2**64; tables of moderate length are kept and grow."""
+    had = _POWERS.get(base)
+    if had is None or len(had) < n:
+        out = np.full(max(n + n // 8, 1 << 16), base, U64)
+        out[0] = 1
+        np.multiply.accumulate(out, out=out)
+        if len(out) > KEPT_POWERS:
+            return out[:n]
+        had = _POWERS[base] = out
+    return had[:n]
 
 
 def text_of(column) -> tuple[np.ndarray, np.ndarray]:

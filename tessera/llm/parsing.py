@@ -63,11 +63,12 @@ class Group:
         self.sums: dict[int, np.ndarray] = {}
         if n < window:
             return
-        grams = self.hashed(np.arange(n - gram + 1), gram, 0)
+        grams = self.all_hashed(gram)
         bits = np.uint64(int(n).bit_length())
-        place = np.arange(len(grams), dtype=np.uint64)
         low = (np.uint64(1) << bits) - np.uint64(1)
-        at = low - (least((grams & ~low) | (low - place), window - gram + 1) & low)
+        keys = grams & ~low  # the leading bits, then the place from the end: of equal hashes the last is least
+        keys |= np.arange(int(low), int(low) - len(grams), -1, dtype=np.uint64)
+        at = least(keys, window - gram + 1)
         lengths = np.diff(self.offsets)
         starts = np.ones(n, bool)
         short = np.flatnonzero(lengths)
@@ -75,7 +76,7 @@ class Group:
             ends = self.offsets[1:][short] - back
             starts[ends[ends >= self.offsets[:-1][short]]] = False
         s = np.flatnonzero(starts[: n - window + 1])
-        t = at[s].astype(np.int64)
+        t = int(low) - (at[s] & low).astype(np.int64)
         # a trigger's windows are consecutive, and a trigger belongs to one document
         new = np.ones(len(s), bool)
         new[1:] = t[1:] != t[:-1]
@@ -85,6 +86,14 @@ class Group:
         self.doc = np.searchsorted(self.offsets, self.lo, "right") - 1
         self.key = grams[self.trigger]
 
+    def all_hashed(self, length: int) -> np.ndarray:
+        """hashed() at every place."""
+        sums = self.sums[0] = K.prefix_sums(self.buf, 0)
+        h = sums[length:] - sums[:-length]
+        h *= K.powers(K._seeded(0)[2], len(h))
+        h += np.uint64(length * 0x9E3779B97F4A7C15 % 2**64)
+        return K.mix(h)
+
     def hashed(self, starts: np.ndarray, length, seed: int) -> np.ndarray:
         """Hashes of spans, from prefix sums that are made once per seed."""
         if seed not in self.sums:
@@ -108,7 +117,7 @@ class Group:
         length = self.hi[on] - self.lo[on] + self.window
         # the trigger's place is part of a phrase
         a = K.mix(self.hashed(self.lo[on], length, 1) + (self.trigger[on] - self.lo[on]).astype(np.uint64))
-        b = (self.hashed(self.lo[on], length, 2) >> U32).astype(np.uint32)
+        b = (self.hashed(self.lo[on], length, 0) >> U32).astype(np.uint32)
         first, rank = distinct(a, b)
         ids = np.full(len(first), LAST)
         np.minimum.at(ids, rank, self.ids[self.doc[on]])
@@ -131,7 +140,7 @@ class Group:
         s = np.repeat(self.lo[occurrences], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         doc = np.repeat(self.doc[occurrences], n)
         a = self.hashed(s, self.window, 1) if len(s) else np.zeros(0, np.uint64)
-        b = (self.hashed(s, self.window, 2) >> U32).astype(np.uint32) if len(s) else np.zeros(0, np.uint32)
+        b = (self.hashed(s, self.window, 0) >> U32).astype(np.uint32) if len(s) else np.zeros(0, np.uint32)
         first, rank = distinct(a, b)
         ids = np.full(len(first), LAST)
         np.minimum.at(ids, rank, self.ids[doc])
