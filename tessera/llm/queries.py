@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import anchors, decontaminate, lm, near, packing, parsing, quality, secrets, tokens, toxicity
 from tessera.llm.frames import table
+from tessera.llm.oracles import ORACLES  # noqa: F401
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,4 +51,3 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_substring_dedup, op4_lm_scoring, op5_near_dedup, op6_secret_scans, op7_decontamination, op8_suffix_dedup, op9_packing, op10_token_counts)}
-ORACLES: dict[str, str] = {}
