@@ -237,6 +237,11 @@ def to_parts(mask: np.ndarray, least_area: float = 0, least_hole: float = 1, mos
         if abs(area(ring)) < least_area:
             continue
         out.append((ring.astype(float), [h.astype(float) for h in holes.get(n, [])]))
+        # pixels of the component that a hole surrounds, joined to the rest by corners only, are parts of their own
+        for h in holes.get(n, []):
+            inside = filled(h - (bx, by), *cut.shape[::-1]) & own
+            if inside.any():
+                out += [(e + (bx, by), [x + (bx, by) for x in hs]) for e, hs in to_parts(inside, least_area, least_hole)]
     out.sort(key=lambda p: -part_area(p))
     return out[:most] if most else out
 

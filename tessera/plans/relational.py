@@ -31,7 +31,6 @@ def query(oracle: str | None = None):
     return register
 
 
-BOX = {c: F.col(c) for c in ("x0", "y0", "x1", "y1")}
 
 # --- sources
 
