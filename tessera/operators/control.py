@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,3 +68,14 @@ def artifact_dir(spark: SparkSession, output: str, name: str) -> str | None:
         if exists(spark, at):
             return at
     return None
+
+
+@contextlib.contextmanager
+def cancellable(spark: SparkSession, group: str) -> Iterator[None]:
+    """Jobs started inside can be stopped together from another thread: spark.sparkContext.cancelJobGroup(group)."""
+    sc = spark.sparkContext
+    sc.setJobGroup(group, group, interruptOnCancel=True)
+    try:
+        yield
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)

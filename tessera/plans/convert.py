@@ -35,6 +35,7 @@ class Settings:
     min_fidelity: float = S.MIN_FIDELITY
     save_masks: bool = False
     save_overlays: bool = False
+    copy_images: bool = False
 
 
 def consensus(candidates: list[Candidate]) -> Candidate | None:

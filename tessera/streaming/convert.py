@@ -50,6 +50,10 @@ def convert(spark: SparkSession, root: str, output: str, settings: C.Settings |
         sinks.write_csv(failures, f"{logs}/reports/failures.csv")
         if settings.save_overlays:
             sinks.write_files(overlays(files, good), f"{logs}/overlays")
+        if settings.save_masks:
+            sinks.write_files(instance_masks(good), f"{logs}/masks")
+        if settings.copy_images:
+            sinks.write_files(files.join(clean.select(F.col("relative_image").alias("path")), "path", "left_semi"), f"{output}/dataset")
         per = good.groupBy("relative_image").agg(F.count("*").alias("objects"), F.round(F.avg("quality"), 4).alias("mean_quality"), F.count_if(F.col("state") == "review").alias("review"))
         control.mark_completed(clean.select("relative_image").join(per, "relative_image", "left").na.fill(0, ["objects", "review"]), output)
         used = [r[0] for r in data.annotations.select("class_id").distinct().collect()]
@@ -82,6 +86,23 @@ def overlays(files: DataFrame, objects: DataFrame) -> DataFrame:
     return files.join(per, "path").select("path", "content", "objects").mapInArrow(run, "path string, content binary")
 
 
+def instance_masks(objects: DataFrame) -> DataFrame:
+    """(path, content): one black and white PNG per object, drawn from its export rings."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.functions import raster
+    from tessera.operators import render
+
+    def run(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                m = raster.from_parts([(np.array([(p["x"], p["y"]) for p in ring]), []) for ring in r["rings"]], r["width"], r["height"])
+                yield pa.RecordBatch.from_pydict({"path": [f"{r['relative_image'].rsplit('.', 1)[0]}/instance_{r['instance_index']:03d}.png"], "content": pa.array([render.png(m.astype(np.uint8) * 255)], pa.binary())})
+
+    return objects.select("relative_image", "width", "height", "instance_index", "rings").mapInArrow(run, "path string, content binary")
+
+
 def convert_stream(spark: SparkSession, root: str, output: str, checkpoint: str, settings: C.Settings | None = None, trigger: dict | None = None) -> StreamingQuery:
     """Follows a folder: each micro-batch of new images is converted and committed."""
     schema = "path string, modificationTime timestamp, length long, content binary"

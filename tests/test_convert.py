@@ -55,7 +55,7 @@ def test_names(spark, tmp_path):
 
 def test_convert_resume_and_guards(spark, folder, tmp_path):
     out = str(tmp_path / "out")
-    summary = convert(spark, str(folder), out, Settings(save_overlays=True))
+    summary = convert(spark, str(folder), out, Settings(save_overlays=True, save_masks=True, copy_images=True))
     assert (summary["images"], summary["processed_object_rows"], summary["failed_images"]) == (4, 3, 1)
     assert "placeholder" in summary["warning"] and summary["prompts_seen"]
     labels = tmp_path / "out/dataset/labels/train"
@@ -64,6 +64,9 @@ def test_convert_resume_and_guards(spark, folder, tmp_path):
     assert (labels / "d.txt").read_text() == "" and not (labels / "b.txt").exists()
     assert "names" in (tmp_path / "out/dataset/data.yaml").read_text() and "class_1" in (tmp_path / "out/dataset/data.yaml").read_text()
     assert len(list((tmp_path / "out/_debug_and_logs/overlays").rglob("*.png"))) == 2
+    masks = sorted(p.name for p in (tmp_path / "out/_debug_and_logs/masks/images/train/a").iterdir())
+    assert masks == ["instance_000.png", "instance_001.png"]
+    assert (tmp_path / "out/dataset/images/train/a.png").read_bytes() == (folder / "images/train/a.png").read_bytes()
     picture(folder / "images/train/e.png", seed=9)
     (folder / "labels/train/e.txt").write_text("0 0.5 0.5 0.5 0.5\n")
     before = (labels / "a.txt").stat().st_mtime_ns
