@@ -20,43 +20,56 @@ def tokens(line: Column) -> Column:
 
 
 def number(token: Column) -> Column:
-    return F.when(token.rlike(NUMBER), F.regexp_replace(F.regexp_replace(F.lower(token), "^([+-]?)inf$", "$1infinity"), "^[+-]?nan$", "NaN").try_cast("double"))
+    return F.when(token.rlike(NUMBER), F.when(F.lower(token).rlike("nan$"), F.lit(float("nan"))).otherwise(token.try_cast("double")))
+
+
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def parse(line: Column, w: Column, h: Column) -> Column:
+    """One label row as a struct: valid, class_id, kind, bbox, polygon, and issue (null if the row is valid or blank)."""
+
+    def row(v: Column) -> Column:
+        at = lambda i: F.get(v, i)
+        n = F.size(v) - 1
+        cls = F.when(~F.isnan(at(0)) & (F.abs(at(0)) < 2147483648.0), at(0).cast("int"))
+        is_box, is_polygon = n == 4, (n >= 6) & (n % 2 == 0)
+        box = F.struct(
+            clamp((at(1) - at(3) / 2) * w, w - 1).alias("x0"), clamp((at(2) - at(4) / 2) * h, h - 1).alias("y0"),
+            clamp((at(1) + at(3) / 2) * w, w - 1).alias("x1"), clamp((at(2) + at(4) / 2) * h, h - 1).alias("y1"),
+        )
+        pairs = F.transform(F.sequence(F.lit(0), F.greatest((n / 2).cast("int") - 1, F.lit(0))), lambda i: F.struct(clamp(F.get(v, 2 * i + 1) * w, w - 1).alias("x"), clamp(F.get(v, 2 * i + 2) * h, h - 1).alias("y")))
+
+        def judged(p: Column) -> Column:
+            b = p["box"]
+            issue = (
+                F.when(F.size(v) == 0, F.lit(None).cast("string"))
+                .when((F.size(F.filter(v, lambda x: x.isNull())) > 0) | p["cls"].isNull(), S.NOT_NUMERIC)
+                .when(is_box & ((at(3) <= 0) | (at(4) <= 0)), S.NOT_POSITIVE)
+                .when(is_box & ((b["x1"] <= b["x0"]) | (b["y1"] <= b["y0"])), S.DEGENERATE)
+                .when(~is_box & ~is_polygon, S.UNSUPPORTED)
+            )
+
+            def result(i: Column) -> Column:
+                valid = i.isNull() & (F.size(v) > 0)
+                return F.struct(valid.alias("valid"), F.when(valid, p["cls"]).alias("class_id"), F.when(valid & is_box, "detection").when(valid, "polygon").alias("kind"), F.when(valid & is_box, b).when(valid, ring_bbox(p["polygon"])).alias("bbox"), F.when(valid & is_polygon, p["polygon"]).alias("polygon"), i.alias("issue"))
+
+            return let(issue, result)
+
+        return let(F.struct(cls.alias("cls"), F.when(is_box, box).alias("box"), F.when(is_polygon, pairs).alias("polygon")), judged)
+
+    return let(F.transform(tokens(line), number), row)
 
 
 def parsed(rows: DataFrame, line: str = "line", width: str = "width", height: str = "height") -> DataFrame:
-    """Adds class_id, kind, bbox, polygon and issue (null if the row is valid) to label rows. Blank rows get none of them."""
-    w, h = F.col(width), F.col(height)
-    out = rows.withColumn("_t", tokens(F.col(line)))
-    out = out.withColumn("_v", F.transform("_t", number)).withColumn("_n", F.size("_t") - 1)
-    v = F.col("_v")
-    at = lambda i: F.try_element_at(v, F.lit(i))
-    cls = F.when(at(1).isNotNull() & ~F.isnan(at(1)) & (F.abs(at(1)) < 2147483648.0), at(1).cast("int"))
-    numeric = (F.size(F.filter(v, lambda x: x.isNull())) == 0) & cls.isNotNull()
-    box = F.struct(
-        clamp((at(2) - at(4) / 2) * w, w - 1).alias("x0"), clamp((at(3) - at(5) / 2) * h, h - 1).alias("y0"),
-        clamp((at(2) + at(4) / 2) * w, w - 1).alias("x1"), clamp((at(3) + at(5) / 2) * h, h - 1).alias("y1"),
-    )
-    pairs = F.transform(F.sequence(F.lit(0), (F.col("_n") / 2).cast("int") - 1), lambda i: F.struct(clamp(F.get(v, 2 * i + 1) * w, w - 1).alias("x"), clamp(F.get(v, 2 * i + 2) * h, h - 1).alias("y")))
-    is_box, is_polygon = F.col("_n") == 4, (F.col("_n") >= 6) & (F.col("_n") % 2 == 0)
-    out = out.withColumn("_ok", numeric).withColumn("_box", F.when(F.col("_ok") & is_box, box)).withColumn("polygon", F.when(F.col("_ok") & is_polygon, pairs))
-    b = F.col("_box")
-    issue = (
-        F.when(F.size("_t") == 0, F.lit(None).cast("string"))
-        .when(~F.col("_ok"), S.NOT_NUMERIC)
-        .when(is_box & ((at(4) <= 0) | (at(5) <= 0)), S.NOT_POSITIVE)
-        .when(is_box & ((b["x1"] <= b["x0"]) | (b["y1"] <= b["y0"])), S.DEGENERATE)
-        .when(~is_box & ~is_polygon, S.UNSUPPORTED)
-    )
-    out = out.withColumn("issue", issue)
-    valid = F.col("issue").isNull() & (F.size("_t") > 0)
-    return (
-        out.withColumn("valid", valid)
-        .withColumn("class_id", F.when(valid, cls))
-        .withColumn("kind", F.when(valid & is_box, "detection").when(valid, "polygon"))
-        .withColumn("bbox", F.when(valid & is_box, b).when(valid, ring_bbox(F.col("polygon"))))
-        .withColumn("polygon", F.when(valid & is_polygon, F.col("polygon")))
-        .drop("_t", "_v", "_n", "_ok", "_box")
-    )
+    """Adds valid, class_id, kind, bbox, polygon and issue to label rows.
+
+    The struct goes through a generator of one row, so that filters on its fields stay above and don't parse each row again.
+    """
+    one = F.explode(F.array(parse(F.col(line), F.col(width), F.col(height)))).alias("_row")
+    return rows.select("*", one).select(*rows.columns, "_row.*")
 
 
 def with_suffix(path: Column, suffix: str) -> Column:
