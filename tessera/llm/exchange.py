@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.frames import parts_for, text_bytes
+from tessera.llm.frames import bounded, parts_for, text_bytes
 
 #: Bytes of text in a group, and of text for each part.
 GROUP_BYTES, PART_BYTES = 2 << 20, 8 << 20
@@ -60,6 +60,7 @@ class Exchange:
     """Documents dealt into groups, and rounds of questions over them."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, group_bytes: int = GROUP_BYTES, part_bytes: int = PART_BYTES):
+        bounded(docs.sparkSession)
         n_bytes = text_bytes(docs, text_col)
         self.n_groups = parts_for(docs.sparkSession, n_bytes, group_bytes, LEAST)
         self.n_parts = parts_for(docs.sparkSession, n_bytes, part_bytes, LEAST)

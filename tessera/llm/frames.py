@@ -27,12 +27,25 @@ def arrow_rows(names: list[str], columns: list, types: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
+#: Spark's default for the bytes of an Arrow batch, and ours: a batch is cut into slices anyway.
+USUAL_BATCH, OUR_BATCH = "67108864b", "2m"
+
+
+def bounded(spark: SparkSession) -> None:
+    """Lets Arrow batches be a few MB, so that long texts don't fill a worker; a session's own setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) == USUAL_BATCH:
+        spark.conf.set(key, OUR_BATCH)
+
+
 def map_text(docs: DataFrame, id_col: str, text_col: str, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, also: tuple[str, ...] = ()) -> DataFrame:
     """Apply `kernel` to slices of (doc_id, text, *also), in the scan's own partitions: no shuffle.
 
     Only the named columns are read, so other columns, whatever their names, neither cost nor clash.
     """
 
+    bounded(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 U64 = np.uint64
 _STEPS = (U64(30), U64(0xBF58476D1CE4E5B9), U64(27), U64(0x94D049BB133111EB), U64(31))
 
@@ -51,22 +51,18 @@ def _seeded(seed: int) -> tuple[np.ndarray, int, int]:
     return table, base, pow(base, -1, 2**64)
 
 
-_POWERS: dict[int, np.ndarray] = {}
-#: Longest tables of powers that a worker keeps.
-KEPT_POWERS = 8 << 20
+@functools.lru_cache(maxsize=64)
+def _steps(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, U64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0, 1 ... n - 1 modulo 2**64; tables of moderate length are kept and grow."""
-    had = _POWERS.get(base)
-    if had is None or len(had) < n:
-        out = np.full(max(n + n // 8, 1 << 16), base, U64)
-        out[0] = 1
-        np.multiply.accumulate(out, out=out)
-        if len(out) > KEPT_POWERS:
-            return out[:n]
-        had = _POWERS[base] = out
-    return had[:n]
+    """base ** 0, 1 ... n - 1 modulo 2**64, as the products of two short tables: large ones aren't kept."""
+    low, rows = _steps(base, 4096), max(1, -(-n // 4096))
+    high = _steps(pow(base, 4096, 2**64), 1 << (rows - 1).bit_length())[:rows]
+    return np.multiply.outer(high, low).ravel()[:n]
 
 
 def text_of(column) -> tuple[np.ndarray, np.ndarray]:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels as K
-from tessera.llm.frames import arrow_rows, map_text
+from tessera.llm.frames import arrow_rows, bounded, map_text
 
 BUCKETS, CLASSES, HIDDEN, SIDE = 1 << 16, 64, 16, 2
 ROUNDS, BATCH, RATE = 2, 2048, 0.1
@@ -152,6 +152,7 @@ class Network:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Network:
+    bounded(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     counts = corpus_counts(docs, id_col, text_col)
     net = Network(counts)

@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels as K
-from tessera.llm.frames import arrow_rows
+from tessera.llm.frames import arrow_rows, bounded
 
 WINDOW = 4096
 #: Open windows that a worker holds; beyond it the fullest are emptied.
 OPEN = 2048
 #: Words whose ids a worker remembers.
-REMEMBERED = 1_500_000
+REMEMBERED = 1_000_000
 #: Words that are encoded in one call.
 BLOCK = 500
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -50,8 +50,8 @@ class Encoder:
 
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.begin, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.begin, self.length = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.ids = np.zeros(0, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All words' ids, and how many each has. Words go in blocks, parted by a special token, which no token crosses either."""
@@ -85,7 +85,7 @@ class Encoder:
         self.keys = np.insert(self.keys, place, keys)
         self.begin = np.insert(self.begin, place, begin)
         self.length = np.insert(self.length, place, n)
-        self.ids = np.concatenate([self.ids, ids])
+        self.ids = np.concatenate([self.ids, ids.astype(self.ids.dtype)])
 
     def encode(self, part: pa.RecordBatch, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the documents, each followed by end_id, and the n + 1 offsets."""
@@ -106,8 +106,7 @@ class Encoder:
                 self.learn(words, unique[known], at[known])
             place = find()
         place = place[back] if len(place) else np.zeros(0, np.int64)
-        n = self.length[place]
-        begin = self.begin[place]
+        n, begin = self.length[place].astype(np.int64), self.begin[place]
         total = int(n.sum())
         sums = np.zeros(len(n) + 1, np.int64)
         np.cumsum(n, out=sums[1:])
@@ -207,6 +206,7 @@ class Packer:
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: its document's slice of ids, their CRC-32, and its place in a sequence."""
+    bounded(docs.sparkSession)
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

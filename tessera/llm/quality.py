@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import kernels as K
-from tessera.llm.frames import arrow_rows, map_text
+from tessera.llm.frames import arrow_rows, bounded, map_text
 
 SYMBOLS = K.byte_class(b"#*$%&|<>")
 WINDOW = 5
@@ -107,6 +107,7 @@ def ablation(rows: DataFrame, policy: str) -> DataFrame:
 
 def passing(docs: DataFrame, policy: str = "v1", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that a policy passes; judged in the scan, without a join."""
+    bounded(docs.sparkSession)
     names, prefix = docs.columns, "rule input "
 
     def run(batches):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm import kernels as K
-from tessera.llm.frames import arrow_rows, map_text
+from tessera.llm.frames import arrow_rows, bounded, map_text
 
 KINDS = ("assign", "access", "hex")
 MAX_LAYER = 16 << 20
@@ -252,6 +252,7 @@ def redacted(text: str, spans, mark: str = "[SECRET]") -> str:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs, with secrets in the text replaced; null texts stay null. An n_chars column, if there is one, follows."""
+    bounded(docs.sparkSession)
     names = docs.columns
     kind = docs.schema
 
