@@ -25,6 +25,7 @@ from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 from tessera.llm import kernels as K
@@ -139,12 +140,9 @@ def unpacked(data: bytes) -> bytes | None:
         if data[:6] == b"\xfd7zXZ\0":
             return lzma.LZMADecompressor().decompress(data, MAX_LAYER)
         if data[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
             return zstandard.ZstdDecompressor().stream_reader(data).read(MAX_LAYER)
-    except Exception as e:  # each library has errors of its own for damaged data, which then is no layer
-        if isinstance(e, MemoryError):
-            raise
+    except (zlib.error, lzma.LZMAError, zstandard.ZstdError, OSError, EOFError, ValueError):
+        pass  # damaged data is no layer
     return None
 
 
