@@ -113,29 +113,32 @@ def iou(a: np.ndarray, b: np.ndarray) -> float:
 def outline(mask: np.ndarray, points: np.ndarray) -> None:
     """Draws the closed polyline through integer points."""
     h, w = mask.shape
-    for (x0, y0), (x1, y1) in zip(points, np.roll(points, -1, axis=0), strict=True):
-        n = int(max(abs(x1 - x0), abs(y1 - y0)))
-        t = np.arange(n + 1)
-        xs, ys = (np.full(n + 1, a) if n == 0 else np.floor(a + (b - a) * t / n + 0.5).astype(np.int64) for a, b in ((x0, x1), (y0, y1)))
-        ok = (xs >= 0) & (xs < w) & (ys >= 0) & (ys < h)
-        mask[ys[ok].astype(np.int64), xs[ok].astype(np.int64)] = True
+    p = np.asarray(points, np.int64)
+    step = np.roll(p, -1, axis=0) - p
+    n = np.abs(step).max(axis=1) if len(p) else np.zeros(0, np.int64)
+    edge = np.repeat(np.arange(len(p)), n + 1)
+    t = np.arange(len(edge)) - np.repeat(np.cumsum(n + 1) - n - 1, n + 1)
+    at = np.floor(p[edge] + step[edge] * (t / np.maximum(n[edge], 1))[:, None] + 0.5).astype(np.int64)
+    at = at[(at[:, 0] >= 0) & (at[:, 0] < w) & (at[:, 1] >= 0) & (at[:, 1] < h)]
+    mask[at[:, 1], at[:, 0]] = True
 
 
 def filled(ring: np.ndarray, w: int, h: int) -> np.ndarray:
     """The even-odd inside of a ring of integer points and its outline; nothing below three points."""
-    out = np.zeros((h, w), bool)
     if len(ring) < 3:
-        return out
+        return np.zeros((h, w), bool)
     p = np.asarray(ring, np.int64)
     q = np.roll(p, -1, axis=0)
-    lo, hi = max(0, int(p[:, 1].min())), min(h - 1, int(p[:, 1].max()))
-    for y in range(lo, hi + 1):
-        cross = (p[:, 1] <= y) != (q[:, 1] <= y)
-        if cross.any():
-            a, b = p[cross], q[cross]
-            xs = np.sort(a[:, 0] + (y - a[:, 1]) * (b[:, 0] - a[:, 0]) / (b[:, 1] - a[:, 1]))
-            for x0, x1 in zip(xs[::2], xs[1::2], strict=True):
-                out[y, max(0, int(np.ceil(x0))) : max(0, min(w, int(np.floor(x1)) + 1))] = True
+    lo, hi = np.minimum(p[:, 1], q[:, 1]), np.maximum(p[:, 1], q[:, 1])
+    n = hi - lo  # an edge crosses the rows from its upper end up to, not including, its lower one
+    edge = np.repeat(np.arange(len(p)), n)
+    y = np.arange(len(edge)) - np.repeat(np.cumsum(n) - n, n) + lo[edge]
+    a, b = p[edge], q[edge]
+    x = np.ceil(a[:, 0] + (y - a[:, 1]) * (b[:, 0] - a[:, 0]) / (b[:, 1] - a[:, 1])).astype(np.int64)
+    ok = (y >= 0) & (y < h)
+    flips = np.zeros((h, w + 1), np.int64)
+    np.add.at(flips, (y[ok], np.clip(x[ok], 0, w)), 1)
+    out = np.cumsum(flips[:, :w], axis=1) % 2 == 1
     outline(out, p)
     return out
 
