@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.frames import written
+from tessera.llm.frames import discard, written
 
 
 def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -26,10 +26,14 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(u, v): each node u that isn't the least of its component, and that least node v. edges: columns x, y."""
-    now = written(edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v").distinct())
+    old: list[str] = []
+    now = written(edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v").distinct(), old)
     before = None
     while True:
-        now = written(star(star(now, large=True), large=False))
+        new: list[str] = []
+        now = written(star(star(now, large=True), large=False), new)
+        discard(edges.sparkSession, old)
+        old = new
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
             return now

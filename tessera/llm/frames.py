@@ -65,14 +65,26 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows of df as a Parquet table in the shared folder: lineage ends there, and a lost executor costs no recomputation."""
+def written(df: DataFrame, scratch: list[str] | None = None) -> DataFrame:
+    """The rows of df as a Parquet table in the shared folder: lineage ends there, and a lost executor costs no recomputation.
+
+    The path is added to `scratch`, for discard() once nothing reads the table any more.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if scratch is not None:
+        scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, scratch: list[str]) -> None:
+    """Deletes written tables."""
+    while scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(scratch.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def parts_for(spark: SparkSession, n_bytes: int, each: int, least: int = 1) -> int:
     """How many parts of about `each` bytes an exchange of n_bytes should have."""
     return max(least, -(-int(n_bytes or 0) // each))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import kernels as K
 from tessera.llm.components import components
-from tessera.llm.frames import BROADCAST_ROWS, map_text, without, written
+from tessera.llm.frames import BROADCAST_ROWS, discard, map_text, without, written
 
 K_RETAINED = 32
 #: Chance of missing a pair at the threshold.
@@ -99,7 +99,9 @@ class Search:
         has_set = self.signed.where("n > 0 and doc_id is not null")
         self.reps = written(has_set.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.min("values").alias("values")))
         self.tested: DataFrame | None = None
-        self.edges: DataFrame | None = None
+        #: Tables of a step, and of the whole search, that go when it is done.
+        self.step: list[str] = []
+        self.whole: list[str] = []
 
     def lists(self) -> DataFrame:
         """(v, rep, n, central): each representative under the rarest of its retained values that others have too."""
@@ -111,7 +113,7 @@ class Search:
         whole = f"greatest(1, cast(ceil(n * {p} / 100.0) as int) - greatest(0, cast(floor(n * 100.0 / {p}) as int) - {k}))"
         prefix = f"least(n, {k}) - if(n >= {k}, {m}, {whole}) + 1"
         keys = F.expr(f"slice(vs, 1, cast(greatest(0, {prefix} - (least(n, {k}) - size(vs))) as int))")
-        return written(own.select("rep", "n", F.expr("aggregate(vs, 0L, (a, x) -> a + x.c)").alias("central"), F.explode(keys).alias("key")).select(F.col("key.v").alias("v"), "rep", "n", "central"))
+        return written(own.select("rep", "n", F.expr("aggregate(vs, 0L, (a, x) -> a + x.c)").alias("central"), F.explode(keys).alias("key")).select(F.col("key.v").alias("v"), "rep", "n", "central"), self.whole)
 
     def near_sizes(self, a: str, b: str) -> str:
         return f"100 * least({a}, {b}) >= {self.percent} * greatest({a}, {b})"
@@ -139,7 +141,7 @@ class Search:
         """
         p = self.percent
         mixed = members.groupBy("v").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("size > 2 and low <> high").select("v")
-        ids = written(members.join(mixed, "v", "left_semi").select(F.col("rep").alias("wanted")).distinct())
+        ids = written(members.join(mixed, "v", "left_semi").select(F.col("rep").alias("wanted")).distinct(), self.step)
         comps = members.select(F.col("rep").alias("doc_id"), "comp").distinct()
         shingles = self.sets(ids).select("doc_id", "n", F.explode("values").alias("r"))
         counts = shingles.groupBy("r").agg(F.count("*").alias("c")).where("c > 1")
@@ -147,7 +149,7 @@ class Search:
         # places up to n - (least overlap that any partner needs); single shingles come first and are no keys
         early = F.expr(f"slice(rs, 1, cast(greatest(0, n - cast(ceil({p} * n / 100.0) as long) + 1 - (n - size(rs))) as int))")
         keys = shared.select("doc_id", "n", F.expr("n - size(rs)").alias("alone"), F.posexplode(early).alias("i", "key")).select(F.col("key.r").alias("r"), "doc_id", "n", (F.col("alone") + F.col("i")).alias("place")).join(comps, "doc_id")
-        keys = written(keys)
+        keys = written(keys, self.step)
         classes = keys.groupBy("r", "n", "place", "comp").count().drop("count")
         one, two = (classes.toDF("r", f"n{i}", f"place{i}", f"comp{i}") for i in (1, 2))
         need = f"{p} * (n1 + n2)"
@@ -168,27 +170,27 @@ class Search:
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose full sets are similar enough."""
-        sets = written(self.sets(written(pairs.select(F.explode(F.array("x", "y")).alias("wanted")).distinct())))
+        sets = written(self.sets(written(pairs.select(F.explode(F.array("x", "y")).alias("wanted")).distinct(), self.step)), self.step)
         both = pairs.join(sets.toDF("x", "xn", "xs"), "x").join(sets.toDF("y", "yn", "ys"), "y").withColumn("shared", F.expr("size(array_intersect(xs, ys))"))
         return both.where(f"100 * shared >= {self.percent} * (xn + yn - shared)").select("x", "y").distinct()
 
     def components(self) -> DataFrame:
         """(u, v): representatives that aren't the least of their component, and that least one."""
         lists = self.lists()
-        found = lists.select(F.col("rep").alias("u"), F.col("rep").alias("v")).limit(0)
+        found = self.docs.sparkSession.createDataFrame([], "u long, v long")
         for round_ in range(ROUNDS + 1):
             members = lists.join(found.toDF("rep", "to"), "rep", "left").withColumn("comp", F.coalesce("to", "rep")).drop("to")
             pairs = (self.pivots(members, round_) if round_ < ROUNDS else self.rest(members)).distinct()
             if self.tested is not None:
                 pairs = pairs.join(self.tested, ["x", "y"], "left_anti")
-            pairs = written(pairs)
-            likely = written(self.likely(pairs))
-            if likely.isEmpty():
-                new = None
-            else:
-                new = written(self.links(likely))
+            pairs = written(pairs, self.whole)
+            likely = written(self.likely(pairs), self.step)
+            if not likely.isEmpty():
+                new = written(self.links(likely), self.step)
                 found = components(new.unionByName(found.toDF("x", "y")))
             self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
+            discard(self.docs.sparkSession, self.step)
+        discard(self.docs.sparkSession, self.whole)
         return found
 
 
