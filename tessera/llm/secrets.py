@@ -2,10 +2,10 @@
 
 A text is the first layer. Percent escapes and Unicode escapes are decoded in place, base64 runs
 (and compressed data in them) become layers of their own; each new layer goes on the worklist and
-is scanned and decoded like the first until nothing new appears. A layer that was seen before in
-the same document is not taken up again, so cycles end. Every layer knows which characters of the
-original text each of its characters came from, and what it holds is reported as spans of the
-original. Decompression stops at MAX_LAYER bytes, a documented guard against bombs.
+is scanned and decoded like the first until nothing new appears. A text is decoded once in a document,
+so cycles end, but what it holds is reported at every place where it stands. Every layer knows which
+characters of the original text each of its characters came from, and what it holds is reported as
+spans of the original. Decompression stops at MAX_LAYER bytes, a documented guard against bombs.
 
 Defined results: null texts count as empty; empty texts have no spans; null ids pass through;
 repeated rows are scanned one by one.
@@ -159,41 +159,102 @@ def readable(data: bytes) -> str | None:
     return text if text and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.95 * len(text) else None
 
 
-def inner_layers(layer: Layer):
-    """Layers that one decoding step makes of a layer."""
+def substitutions(layer: Layer):
+    """The layer with its percent escapes decoded, and with its other escapes decoded."""
     text = layer.text
     if "%" in text and (new := substituted(layer, PERCENT, percent)):
         yield new
     if ("\\" in text or "&#" in text) and (new := substituted(layer, ESCAPE, escapes)):
         yield new
+
+
+def texts_in(run: str):
+    """The texts that a base64 run holds."""
+    run = run.rstrip("=")
+    variants = (run, run[: len(run) - 1]) if len(run) % 4 == 1 else (run,)
+    for v in variants:
+        try:
+            data = base64.b64decode(v.translate({45: 43, 95: 47}) + "=" * (-len(v) % 4), validate=True)
+        except (binascii.Error, ValueError):
+            continue
+        if (got := readable(data)) is not None:
+            yield got
+            break
+
+
+def encoded_runs(text: str):
+    """(start, end, run) of what may be base64."""
     for m in BASE64.finditer(text):
-        run = m[0].rstrip("=")
-        variants = (run, run[: len(run) - 1]) if len(run) % 4 == 1 else (run,)
-        for v in variants:
-            try:
-                data = base64.b64decode(v.translate({45: 43, 95: 47}) + "=" * (-len(v) % 4), validate=True)
-            except (binascii.Error, ValueError):
-                continue
-            if (got := readable(data)) is not None:
-                start, end = layer.origin(m.start(), m.end())
-                yield Layer(got, [(0, start, end, False)])
-                break
+        yield m.start(), m.end(), m[0]
+
+
+def key_of(text: str) -> bytes:
+    return hashlib.sha1(text.encode("utf-8", "surrogatepass")).digest()
+
+
+class Inside:
+    """What base64 runs of one document hold. Each distinct run and text is decoded and searched once; all that is in a run counts for the whole run, wherever it stands."""
+
+    def __init__(self):
+        self.runs: dict[str, list[bytes]] = {}  # keys of the texts in a run
+        self.texts: dict[bytes, tuple[set[str], list[list[bytes]]]] = {}  # by key: kinds found, keys of inner texts
+        self.known: dict[str, set[str]] = {}
+
+    def texts_of(self, run: str):
+        if run not in self.runs:
+            keys = self.runs[run] = []
+            for text in texts_in(run):
+                keys.append(key_of(text))
+                yield keys[-1], text
+
+    def children(self, text: str, inner: list[list[bytes]]):
+        for new in substitutions(Layer(text, [(0, 0, 1, False)])):
+            inner.append([key_of(new.text)])
+            yield inner[-1][0], new.text
+        for _, _, run in encoded_runs(text):
+            yield from self.texts_of(run)
+            inner.append(self.runs[run])
+
+    def kinds(self, run: str) -> set[str]:
+        if run in self.known:
+            return self.known[run]
+        stack = [self.texts_of(run)]
+        while stack:
+            if (got := next(stack[-1], None)) is None:
+                stack.pop()
+            elif got[0] not in self.texts:
+                inner: list[list[bytes]] = []
+                self.texts[got[0]] = {kind for kind, _, _ in find(got[1])}, inner
+                stack.append(self.children(got[1], inner))
+        out, seen, work = set(), set(), list(self.runs[run])
+        while work:
+            if (key := work.pop()) not in seen:
+                seen.add(key)
+                kinds, inner = self.texts[key]
+                out |= kinds
+                work += [k for keys in inner for k in keys]
+        self.known[run] = out
+        return out
 
 
 def scan(text: str) -> tuple[list[tuple[str, int, int]], set[tuple[str, int, int]], int]:
     """Base spans, all spans, and the number of layers."""
     base = find(text)
-    spans, seen = set(base), {hashlib.sha1(text.encode("utf-8", "surrogatepass")).digest()}
-    work = [Layer(text, [(0, 0, len(text), True)])]
+    first = Layer(text, [(0, 0, len(text), True)])
+    spans, seen, inside = set(base), {(key_of(text), tuple(first.segments))}, Inside()
+    work = [first]
     while work:
-        for new in inner_layers(work.pop()):
-            key = hashlib.sha1(new.text.encode("utf-8", "surrogatepass")).digest()
-            if key in seen:
-                continue
-            seen.add(key)
-            spans.update((kind, *new.origin(a, b)) for kind, a, b in find(new.text))
-            work.append(new)
-    return base, spans, len(seen)
+        layer = work.pop()
+        for start, end, run in encoded_runs(layer.text):
+            if kinds := inside.kinds(run):
+                spans.update((kind, *layer.origin(start, end)) for kind in kinds)
+        for new in substitutions(layer):
+            key = key_of(new.text), tuple(new.segments)
+            if key not in seen:
+                seen.add(key)
+                spans.update((kind, *new.origin(a, b)) for kind, a, b in find(new.text))
+                work.append(new)
+    return base, spans, len(seen) + len(inside.texts)
 
 
 def joined(spans) -> str:
