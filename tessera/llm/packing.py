@@ -30,7 +30,7 @@ from tessera.llm.frames import arrow_rows, bounded
 WINDOW = 4096
 #: Open windows that a worker holds; beyond it the fullest are emptied.
 OPEN = 2048
-#: Words whose ids a worker remembers.
+#: Words whose ids a worker remembers from one slice to the next; a slice of more words has them all in its table.
 REMEMBERED = 1_000_000
 #: Words that are encoded in one call.
 BLOCK = 500
@@ -76,8 +76,6 @@ class Encoder:
 
     def learn(self, words: K.Words, keys: np.ndarray, at: np.ndarray) -> None:
         """Adds words that aren't known: keys (sorted), each with the index of one occurrence."""
-        if len(self.keys) + len(keys) > REMEMBERED:
-            self.clear()
         raw = words.buf.tobytes()
         ids, n = self.encode_words([raw[a:b].decode() for a, b in zip(words.starts[at].tolist(), words.ends[at].tolist(), strict=True)])
         begin = len(self.ids) + np.cumsum(n) - n
@@ -99,12 +97,13 @@ class Encoder:
         place = find()
         new = self.keys[place] != unique if len(place) else np.ones(len(unique), bool)
         if new.any():
-            had = len(self.keys)
+            if len(self.keys) + new.sum() > REMEMBERED:  # the table is emptied, so what was known is needed again
+                self.clear()
+                new[:] = True
             self.learn(words, unique[new], at[new])
-            if len(self.keys) < had + new.sum():  # the table was emptied: what was known is needed again
-                known = ~new
-                self.learn(words, unique[known], at[known])
             place = find()
+        if not np.array_equal(self.keys[place], unique):
+            raise RuntimeError("words without ids")
         place = place[back] if len(place) else np.zeros(0, np.int64)
         n, begin = self.length[place].astype(np.int64), self.begin[place]
         total = int(n.sum())

@@ -350,6 +350,19 @@ def test_packing_ids_of_odd_texts():
         assert ids[at[k] : at[k + 1]].tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 2]
 
 
+def test_packing_ids_beyond_the_remembered_words(monkeypatch):
+    """A text of more distinct words than a worker remembers, on an empty table and on one with some or none of its words."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "REMEMBERED", 100)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, own = Tokenizer.from_file(path), packing.Encoder(path)
+    text = lambda a, b: " ".join(f"w{k}" for k in range(a, b))
+    for t in (text(0, 250), text(300, 360), text(350, 600), text(700, 790), text(0, 250), "", text(200, 260), text(255, 330)):
+        ids, at = own.encode(pa.RecordBatch.from_arrays([pa.array([1]), pa.array([t])], names=["doc_id", "text"]), 2)
+        assert ids[at[0] : at[1]].tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 2]
+
+
 def test_toxicity(spark, docs, empty):
     rng = random.Random(9)
     words = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(300)]
