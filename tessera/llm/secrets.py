@@ -5,7 +5,7 @@ A text is the first layer. Percent escapes and Unicode escapes are decoded in pl
 is scanned and decoded like the first until nothing new appears. A text is decoded once in a document,
 so cycles end, but what it holds is reported at every place where it stands. Every layer knows which
 characters of the original text each of its characters came from, and what it holds is reported as
-spans of the original. Decompression stops at MAX_LAYER bytes, a documented guard against bombs.
+spans of the original. Decompressed data is read to its end, through all its members, in windows.
 
 Defined results: null texts count as empty; empty texts have no spans; null ids pass through;
 repeated rows are scanned one by one.
@@ -16,8 +16,10 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import gzip
 import hashlib
 import html
+import io
 import lzma
 import re
 import zlib
@@ -32,7 +34,8 @@ from tessera.llm import kernels as K
 from tessera.llm.frames import arrow_rows, bounded, map_text
 
 KINDS = ("assign", "access", "hex")
-MAX_LAYER = 16 << 20
+#: Bytes that are read from compressed data at once, bytes of a window of it, and bytes that tell whether it is compressed again.
+CHUNK, WINDOW, HEAD = 1 << 16, 1 << 20, 16
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
@@ -41,6 +44,9 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 ONE_ESCAPE = re.compile(r"\\u\{?([0-9A-Fa-f]+)\}?|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|(&#[xX]?[0-9A-Fa-f]+;)")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?=1AY&SY|\x17rE8P\x90)|\xfd7zXZ\0|\x28\xb5\x2f\xfd|\x78[\x01\x5e\x9c\xda]")
+#: Places inside no secret, escape, base64 run (wrapped or not) or UTF-16 word.
+CUT = re.compile(rb"""[^A-Za-z0-9+/_=.\-"'\x20\t\r\n:%\\{}&#;>\0]|(?<=[0-9A-Za-z])\x20(?=[0-9A-Za-z])|\0\0\0""")
 HEX_BYTES, BASE64_BYTES = K.byte_class(b"0123456789abcdef"), K.byte_class(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
 
 
@@ -130,28 +136,104 @@ def escapes(run: str) -> list[tuple[str, int]] | None:
     return out
 
 
-def unpacked(data: bytes) -> bytes | None:
-    """What compressed data holds, by its magic number; None if it is no compressed data."""
+class Inflated(io.RawIOBase):
+    """The content of zlib data in a file."""
+
+    def __init__(self, file):
+        self.file, self.inflate, self.left = file, zlib.decompressobj(), b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        while not self.inflate.eof:
+            data = self.left or self.file.read(CHUNK)
+            if not data:
+                break
+            got = self.inflate.decompress(data, len(into))
+            self.left = self.inflate.unconsumed_tail
+            if got:
+                into[: len(got)] = got
+                return len(got)
+        return 0
+
+
+def opened(file, magic: bytes):
+    """A file of what compressed data holds, all members or frames of it."""
+    if magic[:1] == b"\x1f":
+        return gzip.GzipFile(fileobj=file)
+    if magic[:1] == b"B":
+        return bz2.BZ2File(file)
+    if magic[:1] == b"\xfd":
+        return lzma.LZMAFile(file)
+    if magic[:1] == b"\x28":
+        return io.BufferedReader(zstandard.ZstdDecompressor().stream_reader(file, read_across_frames=True, closefd=False))
+    return io.BufferedReader(Inflated(file))
+
+
+def chunks(data: bytes, place: int, magics: list[bytes], ended: list[bool]):
+    """What is read from compressed data in the data, up to its end or to damage."""
+    file = io.BytesIO(data)
+    file.seek(place)
     try:
-        if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0):
-            return zlib.decompressobj(47).decompress(data, MAX_LAYER)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, MAX_LAYER)
-        if data[:6] == b"\xfd7zXZ\0":
-            return lzma.LZMADecompressor().decompress(data, MAX_LAYER)
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            return zstandard.ZstdDecompressor().stream_reader(data).read(MAX_LAYER)
+        for magic in magics:
+            file = opened(file, magic)
+        while got := file.read1(CHUNK):
+            yield got
+        ended.append(True)
     except (zlib.error, lzma.LZMAError, zstandard.ZstdError, OSError, EOFError, ValueError):
-        pass  # damaged data is no layer
-    return None
+        pass  # what came before the damage counts
+
+
+def windows(parts):
+    """The parts joined to windows of WINDOW bytes or more, cut only where nothing that is looked for can go on."""
+    held, size, searched, need = [], 0, 1, WINDOW
+    for part in parts:
+        held.append(part)
+        size += len(part)
+        if size >= need:
+            data, cut = b"".join(held), 0
+            for back in (1 << 12, 1 << 16, size):
+                for m in CUT.finditer(data, max(size - back, searched)):
+                    cut = m.start() + 1
+                if cut:
+                    break
+            if cut:
+                yield data[:cut]
+            # an unbroken run is held whole, however long
+            held, size = [data[cut:]], size - cut
+            searched, need = max(size, 1), max(WINDOW, 2 * size)
+    if held:
+        yield b"".join(held)
+
+
+def unpacked(data: bytes):
+    """Windows of all that compressed data in the data holds, of data compressed in it too."""
+    at = 0
+    while m := MAGIC.search(data, at):
+        at, magics, seen = m.start() + 1, [m[0]], set()
+        while True:
+            sha, head, ended = hashlib.sha1(), b"", []
+
+            def noted(parts):
+                nonlocal head
+                for part in parts:
+                    sha.update(part)
+                    head = head if len(head) >= HEAD else head + part[:HEAD]
+                    yield part
+
+            yield from windows(noted(chunks(data, m.start(), magics, ended)))
+            if len(magics) == 1 and ended and m[0][:1] == b"\x1f":
+                at = len(data)  # its members reach to the end; of other formats that isn't known
+            inner = MAGIC.match(head)
+            if inner is None or sha.digest() in seen:
+                break
+            seen.add(sha.digest())
+            magics.append(inner[0])
 
 
 def readable(data: bytes) -> str | None:
     """The text that bytes hold, if they look like text."""
-    seen = set()
-    while (inner := unpacked(data)) is not None and (key := hashlib.sha1(inner).digest()) not in seen:
-        seen.add(key)
-        data = inner
     try:
         text = data.decode()
     except UnicodeDecodeError:
@@ -177,8 +259,13 @@ def texts_in(run: str):
             data = base64.b64decode(v.translate({45: 43, 95: 47}) + "=" * (-len(v) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        if (got := readable(data)) is not None:
+        got = readable(data)
+        if got is not None:
             yield got
+        for window in unpacked(data):
+            yield window.decode("latin-1")  # all that is looked for is ASCII
+            got = ""
+        if got is not None:
             break
 
 
