@@ -13,7 +13,6 @@ repeated rows are scanned one by one.
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import gzip
@@ -45,6 +44,10 @@ ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,
 ONE_ESCAPE = re.compile(r"\\u\{?([0-9A-Fa-f]+)\}?|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|(&#[xX]?[0-9A-Fa-f]+;)")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?=1AY&SY|\x17rE8P\x90)|\xfd7zXZ\0|\x28\xb5\x2f\xfd|\x78[\x01\x5e\x9c\xda]")
+WRAP = re.compile(r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t>]*")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+CONTROLS = bytes({*range(32), 127} - {9, 10, 13})
+UTF16 = re.compile(rb"[\x01-\x7f]?(?:\0[\x01-\x7f]){7,}")
 #: Places inside no secret, escape, base64 run (wrapped or not) or UTF-16 word.
 CUT = re.compile(rb"""[^A-Za-z0-9+/_=.\-"'\x20\t\r\n:%\\{}&#;>\0]|(?<=[0-9A-Za-z])\x20(?=[0-9A-Za-z])|\0\0\0""")
 HEX_BYTES, BASE64_BYTES = K.byte_class(b"0123456789abcdef"), K.byte_class(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
@@ -232,13 +235,23 @@ def unpacked(data: bytes):
             magics.append(inner[0])
 
 
-def readable(data: bytes) -> str | None:
-    """The text that bytes hold, if they look like text."""
+def views(data: bytes):
+    """Texts of bytes. All that is looked for is ASCII, so one byte a character will do for UTF-8 and any other data; words of UTF-16 come beside it."""
+    yield data.decode("latin-1")
+    if wide := [m[0].replace(b"\0", b"") for m in UTF16.finditer(data)]:
+        yield b"\0".join(wide).decode("latin-1")
+
+
+def readable(text: str) -> bool:
+    """Whether a text of a layer, or the bytes that its characters stand for, look like text."""
     try:
-        text = data.decode()
+        data = text.encode("latin-1")
+        data.decode()
+    except UnicodeEncodeError:
+        data = text.encode("utf-8", "surrogatepass")
     except UnicodeDecodeError:
-        return None
-    return text if text and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.95 * len(text) else None
+        return False
+    return len(data.translate(None, CONTROLS)) >= max(0.95 * len(data), 1)
 
 
 def substitutions(layer: Layer):
@@ -251,28 +264,37 @@ def substitutions(layer: Layer):
 
 
 def texts_in(run: str):
-    """The texts that a base64 run holds."""
-    run = run.rstrip("=")
-    variants = (run, run[: len(run) - 1]) if len(run) % 4 == 1 else (run,)
-    for v in variants:
-        try:
-            data = base64.b64decode(v.translate({45: 43, 95: 47}) + "=" * (-len(v) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        got = readable(data)
-        if got is not None:
-            yield got
+    """The texts that a base64 run holds, whichever of its first four characters the groups begin with."""
+    run = run.rstrip("=").translate({45: 43, 95: 47})
+    for k in range(4):
+        size = len(run) - k
+        size -= size % 4 == 1
+        data = binascii.a2b_base64(run[k : k + size] + "=" * (-size % 4))
+        yield from views(data)
         for window in unpacked(data):
-            yield window.decode("latin-1")  # all that is looked for is ASCII
-            got = ""
-        if got is not None:
-            break
+            yield from views(window)
 
 
 def encoded_runs(text: str):
-    """(start, end, run) of what may be base64."""
+    """(start, end, run) of what may be base64: each run, and lines of one width (the first and last may have another) joined."""
+    after = 0
     for m in BASE64.finditer(text):
         yield m.start(), m.end(), m[0]
+        if m.start() < after:
+            continue
+        lines, end, width = [m[0]], m.end(), 0
+        while lines[-1][-1] != "=" and (gap := WRAP.match(text, end)) and (line := LINE.match(text, gap.end())):
+            size = len(line[0].rstrip("="))
+            if width and size > width:
+                break
+            lines.append(line[0])
+            end = line.end()
+            if size < (width or 16):
+                break
+            width = size
+        if len(lines) > 1:
+            yield m.start(), end, "".join(lines)
+            after = end
 
 
 def key_of(text: str) -> bytes:
@@ -286,6 +308,7 @@ class Inside:
         self.runs: dict[str, list[bytes]] = {}  # keys of the texts in a run
         self.texts: dict[bytes, tuple[set[str], list[list[bytes]]]] = {}  # by key: kinds found, keys of inner texts
         self.known: dict[str, set[str]] = {}
+        self.readable = 0  # texts that look like text
 
     def texts_of(self, run: str):
         if run not in self.runs:
@@ -311,6 +334,7 @@ class Inside:
                 stack.pop()
             elif got[0] not in self.texts:
                 inner: list[list[bytes]] = []
+                self.readable += readable(got[1])
                 self.texts[got[0]] = {kind for kind, _, _ in find(got[1])}, inner
                 stack.append(self.children(got[1], inner))
         out, seen, work = set(), set(), list(self.runs[run])
@@ -325,7 +349,7 @@ class Inside:
 
 
 def scan(text: str) -> tuple[list[tuple[str, int, int]], set[tuple[str, int, int]], int]:
-    """Base spans, all spans, and the number of layers."""
+    """Base spans, all spans, and the number of layers that look like text."""
     base = find(text)
     first = Layer(text, [(0, 0, len(text), True)])
     spans, seen, inside = set(base), {(key_of(text), tuple(first.segments))}, Inside()
@@ -341,7 +365,7 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], set[tuple[str, int, int
                 seen.add(key)
                 spans.update((kind, *new.origin(a, b)) for kind, a, b in find(new.text))
                 work.append(new)
-    return base, spans, len(seen) + len(inside.texts)
+    return base, spans, len(seen) + inside.readable
 
 
 def joined(spans) -> str:
