@@ -1,19 +1,21 @@
 """Masked pseudo-likelihood scores of documents.
 
-A small network predicts every token from SIDE tokens on its left and as many on its right: the
-classes of its neighbours select rows of one table per position, their sum goes through tanh, and a
-softmax gives the class of the token; within its class a token has its share of the corpus counts.
-A document's score is the sum of log p(token | both sides) over all its tokens.
-
-1. Tokens are hash buckets of lower-cased words. Their counts over the whole corpus come first.
-   Classes are ranges of the buckets by frequency with about equal mass: frequent words are classes
-   of their own.
+A small network predicts every token from SIDE tokens on its left and as many on its right. Each
+neighbour selects a row by its class and one by its word (hashed to EMBEDDED rows) from tables of its
+position; their sum goes through tanh. A softmax gives the class of the token, and inside its class a
+binary tree whose nodes see the same context gives the token itself. A document's score is the sum of
+log p(token | both sides) over all its tokens.
+
+1. Tokens are lower-cased words. Their counts over the whole corpus come first, exactly (but for equal
+   64-bit hashes), as a shuffled table that grows with the vocabulary. The HEADS most frequent words are classes
+   of their own, the next ones by frequency are the leaves of trees; all other words share the leaves of one
+   more tree, and a word has its share of the leaf's count, which is joined from the table.
 2. Training covers every document once. In each of ROUNDS rounds all partitions run SGD on their
-   share of that round's documents, from the same parameters, and the results are averaged by
-   tokens (in fixed point, so that the order of partial sums changes nothing).
-3. Scoring maps the finished network over all texts.
+   share of that round's documents, from the same parameters, and the results are averaged, each row
+   by how often it was trained (in the order of partitions, so that sums are the same every time).
+3. Scoring maps the finished network over all texts; counts of the rarer words are joined.
 
-Parameters and counts have a fixed size, whatever the corpus; they are what is broadcast.
+Parameters have a fixed size and are broadcast; counts of words are not.
 
 Defined results: null, empty and wordless texts have no tokens and the score 0; null ids pass
 through; repeated rows get the same score; an empty table gives no rows.
@@ -25,91 +27,128 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels as K
-from tessera.llm.frames import arrow_rows, bounded, map_text
-
-BUCKETS, CLASSES, HIDDEN, SIDE = 1 << 16, 64, 16, 2
+from tessera.llm.frames import arrow_rows, bounded, written
+
+HEADS, TREES, DEPTH, HIDDEN, SIDE = 32, 32, 11, 16, 2
+CLASSES, LEAVES = HEADS + TREES, 1 << DEPTH
+#: Words with a token of their own; the last tree is that of all others.
+KNOWN = HEADS + (TREES - 1) * LEAVES
+TOKENS = HEADS + TREES * LEAVES
+SLOTS, EMBEDDED = 1 << 21, 1 << 13
 ROUNDS, BATCH, RATE = 2, 2048, 0.1
-FIXED = 1 << 24
+#: Parameters in a row of an exchange, and the fixed point of logarithms that are summed in a shuffle.
+CHUNK, FIXED = 1 << 13, float(1 << 32)
+LEVELS = np.arange(DEPTH)
 
 
-def tokens_of(part: pa.RecordBatch) -> tuple[np.ndarray, K.Words]:
+def words_of(part: pa.RecordBatch) -> tuple[np.ndarray, K.Words]:
     words = K.Words(*K.text_of(part.column("text")))
-    return (words.hashes(9, lower=True) % np.uint64(BUCKETS)).astype(np.int64), words
+    return words.hashes(9, lower=True), words
 
 
-def corpus_counts(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
-    """Occurrences of each bucket in all documents; partial counts per partition, then a shuffled sum."""
+def corpus_counts(docs: DataFrame, text_col: str) -> DataFrame:
+    """Occurrences of each word (its hash) in all documents: counts of slices, then a shuffled sum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for part in K.slices(batch):
-                n += np.bincount(tokens_of(part)[0], minlength=BUCKETS)
-        at = np.flatnonzero(n)
-        yield arrow_rows(["bucket", "n"], [at, n[at]], [pa.int32(), pa.int64()])
+                h, n = np.unique(words_of(part)[0], return_counts=True)
+                yield arrow_rows(["h", "n"], [h.view(np.int64), n], [pa.int64(), pa.int64()])
 
-    partial = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "bucket int, n long")
-    out = np.zeros(BUCKETS, np.int64)
-    table = partial.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out[table["bucket"].to_numpy()] = table["n"].to_numpy()
-    return out
+    partial = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "h long, n long")
+    return written(partial.groupBy("h").agg(F.sum("n").alias("n")))
 
 
 class Network:
     """Class CLASSES stands for the outside of a text; it is never predicted."""
 
-    def __init__(self, counts: np.ndarray, seed: int = 17):
-        order = np.argsort(-counts, kind="stable")
-        mass = np.cumsum(np.sqrt(counts[order] + 1.0))
-        cuts = np.searchsorted(mass, mass[-1] * np.arange(1, CLASSES) / CLASSES)
-        heads = np.arange(CLASSES // 2)  # the most frequent buckets are classes of their own
-        self.cls = np.empty(BUCKETS, np.int64)
-        rank = np.empty(BUCKETS, np.int64)
-        rank[order] = np.arange(BUCKETS)
-        tail = np.searchsorted(cuts, rank, "left") * (CLASSES - len(heads)) // CLASSES + len(heads)
-        self.cls = np.where(rank < len(heads), rank, np.minimum(tail, CLASSES - 1))
-        total = np.bincount(self.cls, weights=counts + 1.0, minlength=CLASSES)
-        self.within = np.log((counts + 1.0) / total[self.cls])
-        rng = np.random.default_rng(seed)
+    def __init__(self, top: np.ndarray, top_n: np.ndarray, in_leaves: np.ndarray, seed: int = 17):
+        """top: hashes of the most frequent words, the most frequent first; in_leaves: occurrences of all words by the leaf they would share."""
+        slot = (top >> np.uint64(DEPTH)).astype(np.int64) % SLOTS
+        first = np.sort(np.unique(slot, return_index=True)[1])  # of words with one slot the most frequent is known
+        self.keys, top_n = top[first], top_n[first]
+        self.slots = np.full(SLOTS, -1, np.int32)
+        self.slots[slot[first]] = np.arange(len(first))
+        rest = in_leaves - np.bincount((self.keys % np.uint64(LEAVES)).astype(np.int64), weights=top_n, minlength=LEAVES).astype(np.int64)
+        self.log_rest = np.log(np.maximum(rest, 1))
+        counts = np.zeros(TOKENS)
+        counts[: len(top_n)], counts[KNOWN:] = top_n, rest
+        leaves = counts[HEADS:].reshape(TREES, LEAVES) + 1.0
+        total = np.concatenate([counts[:HEADS] + 1.0, leaves.sum(1)])
         f = np.float32
+        self.node_bias = np.zeros((TREES, LEAVES), f)  # without a context, leaves have their shares of the counts
+        for level in range(DEPTH - 1, -1, -1):
+            self.node_bias[:, 1 << level : 2 << level] = np.log(leaves[:, 1::2] / leaves[:, ::2])
+            leaves = leaves[:, 1::2] + leaves[:, ::2]
+        self.node_bias = self.node_bias.reshape(-1, 1)
+        rng = np.random.default_rng(seed)
         self.tables = rng.normal(0, 0.1, (2 * SIDE, CLASSES + 1, HIDDEN)).astype(f)
         self.inner, self.out = np.zeros(HIDDEN, f), rng.normal(0, 0.1, (HIDDEN, CLASSES)).astype(f)
-        self.bias = np.log(np.maximum(total, 1.0) / total.sum()).astype(f)
+        self.bias = np.log(total / total.sum()).astype(f)
+        self.embedding = rng.normal(0, 0.1, (2 * SIDE * EMBEDDED, HIDDEN)).astype(f)
+        self.nodes = np.zeros((TREES * LEAVES, HIDDEN), f)
+
+    DENSE, SPARSE = ("tables", "inner", "out", "bias"), ("embedding", "nodes", "node_bias")
+
+    def own(self) -> Network:
+        """A network with parameters of its own."""
+        net = Network.__new__(Network)
+        net.__dict__ |= self.__dict__
+        for name in self.DENSE + self.SPARSE:
+            setattr(net, name, getattr(self, name).copy())
+        return net
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in (self.tables, self.inner, self.out, self.bias)])
+        return np.concatenate([getattr(self, name).ravel() for name in self.DENSE + self.SPARSE])
 
     def load(self, flat: np.ndarray) -> None:
         at = 0
-        for name in ("tables", "inner", "out", "bias"):
+        for name in self.DENSE + self.SPARSE:
             p = getattr(self, name)
             setattr(self, name, flat[at : at + p.size].reshape(p.shape).astype(np.float32))
             at += p.size
 
-    def around(self, cls: np.ndarray, words: K.Words) -> list[np.ndarray]:
-        """Classes of the neighbours at each position; outside of the text, CLASSES."""
+    def weights(self, seen: int, visits: dict[str, np.ndarray]) -> np.ndarray:
+        """How often each parameter was trained."""
+        dense = sum(getattr(self, name).size for name in self.DENSE)
+        return np.concatenate([np.full(dense, seen, np.float32), *(np.repeat(visits[name], getattr(self, name).shape[1]) for name in self.SPARSE)])
+
+    def tokens(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of words, and which of the words are not known."""
+        token = self.slots[(hashes >> np.uint64(DEPTH)).astype(np.int64) % SLOTS].astype(np.int64)
+        other = token < 0
+        if len(self.keys):
+            other |= self.keys[token] != hashes
+        token[other] = KNOWN + (hashes[other] % np.uint64(LEAVES)).astype(np.int64)
+        return token, other
+
+    def around(self, token: np.ndarray, hashes: np.ndarray, words: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Classes of the tokens; classes of the neighbours at each position, outside of the text CLASSES; and their rows of the embedding."""
+        cls = np.where(token < HEADS, token, HEADS + ((token - HEADS) >> DEPTH))
+        row = (hashes >> np.uint64(64 - 13)).astype(np.int64)
         room = words.room()
         index = np.arange(len(cls)) - np.repeat(words.first[:-1], words.counts())
-        out = []
-        for d in (*range(-SIDE, 0), *range(1, SIDE + 1)):
-            c = np.full(len(cls), CLASSES)
+        near, rows = np.full((2 * SIDE, len(cls)), CLASSES), np.zeros((2 * SIDE, len(cls)), np.int64)
+        for k, d in enumerate((*range(-SIDE, 0), *range(1, SIDE + 1))):
             if d < 0:
-                c[-d:] = cls[:d]
-                c[index < -d] = CLASSES
+                near[k, -d:], rows[k, -d:], out = cls[:d], row[:d], index < -d
             else:
-                c[:-d] = cls[d:]
-                c[room <= d] = CLASSES
-            out.append(c)
-        return out
+                near[k, :-d], rows[k, :-d], out = cls[d:], row[d:], room <= d
+            near[k, out], rows[k, out] = CLASSES, 0  # row 0 of a position is the outside's, too
+            rows[k] += k * EMBEDDED
+        return cls, near, rows
 
-    def hidden(self, near: list[np.ndarray]) -> np.ndarray:
+    def hidden(self, near: np.ndarray, rows: np.ndarray) -> np.ndarray:
         h = self.tables[0][near[0]] + self.inner
-        for t, c in zip(self.tables[1:], near[1:], strict=True):
-            h += t[c]
+        h += self.embedding[rows[0]]
+        for k in range(1, 2 * SIDE):
+            h += self.tables[k][near[k]]
+            h += self.embedding[rows[k]]
         return np.tanh(h, out=h)
 
     def softmax(self, h: np.ndarray) -> np.ndarray:
@@ -120,88 +159,157 @@ class Network:
         z /= z.sum(axis=1, keepdims=True)
         return z
 
-    def train(self, cls: np.ndarray, near: list[np.ndarray], memory: list[np.ndarray], rng: np.random.Generator) -> None:
+    @staticmethod
+    def path(leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nodes on the way to each leaf of the trees, and which of them are left to the right."""
+        tree, at = leaf >> DEPTH, (leaf & (LEAVES - 1))[:, None]
+        return (tree << DEPTH)[:, None] + (1 << LEVELS) + (at >> (DEPTH - LEVELS)), (at >> (DEPTH - 1 - LEVELS)) & 1
+
+    def tree_logits(self, h: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        v = self.nodes[nodes]
+        return np.matmul(v, h[:, :, None])[:, :, 0] + self.node_bias[nodes, 0], v
+
+    def train(self, token: np.ndarray, cls: np.ndarray, near: np.ndarray, rows: np.ndarray, memory: dict[str, np.ndarray], visits: dict[str, np.ndarray], rng: np.random.Generator) -> None:
         """One pass of SGD with steps scaled by each parameter's past gradients."""
         eye = np.eye(CLASSES + 1, dtype=np.float32)
         order = rng.permutation(len(cls))
+
+        def step(name: str, at: np.ndarray, grads: np.ndarray) -> None:
+            by = np.argsort(at, kind="stable")
+            at = at[by]
+            begin = np.flatnonzero(np.diff(at, prepend=-1))
+            g, at, n = np.add.reduceat(grads[by], begin, axis=0), at[begin], np.diff(begin, append=len(at))
+            visits[name][at] += n
+            m = memory[name][at] + g * g
+            memory[name][at] = m
+            getattr(self, name)[at] -= RATE * g / (np.sqrt(m) + 1e-6)
+
         for i in range(0, len(order), BATCH):
-            rows = order[i : i + BATCH]
-            c = [x[rows] for x in near]
-            h = self.hidden(c)
+            take = order[i : i + BATCH]
+            c, r, t = near[:, take], rows[:, take], token[take]
+            h = self.hidden(c, r)
             d = self.softmax(h)
-            d[np.arange(len(rows)), cls[rows]] -= 1
-            d /= len(rows)
-            dh = (d @ self.out.T) * (1 - h * h)
+            d[np.arange(len(take)), cls[take]] -= 1
+            dh = d @ self.out.T
+            deep = np.flatnonzero(t >= HEADS)
+            if len(deep):
+                nodes, right = self.path(t[deep] - HEADS)
+                z, v = self.tree_logits(h[deep], nodes)
+                dz = (1 / (1 + np.exp(-z)) - right).astype(np.float32)
+                dh[deep] += np.matmul(dz[:, None, :], v)[:, 0]
+                step("nodes", nodes.ravel(), (dz[:, :, None] * h[deep][:, None, :]).reshape(-1, HIDDEN) / len(take))
+                step("node_bias", nodes.ravel(), dz.reshape(-1, 1) / len(take))
+            d /= len(take)
+            dh *= (1 - h * h) / len(take)
+            step("embedding", r.ravel(), np.tile(dh, (2 * SIDE, 1)))
             grads = [np.stack([eye[x].T @ dh for x in c]), dh.sum(0), h.T @ d, d.sum(0)]
-            for p, g, m in zip((self.tables, self.inner, self.out, self.bias), grads, memory, strict=True):
-                m += g * g
-                p -= RATE * g / (np.sqrt(m) + 1e-6)
+            for name, g in zip(self.DENSE, grads, strict=True):
+                memory[name] += g * g
+                getattr(self, name)[...] -= RATE * g / (np.sqrt(memory[name]) + 1e-6)
 
-    def log_likelihood(self, tokens: np.ndarray, words: K.Words) -> np.ndarray:
+    def log_likelihood(self, token: np.ndarray, hashes: np.ndarray, words: K.Words) -> np.ndarray:
         """log p of every token given both its sides."""
-        cls = self.cls[tokens]
-        near, out = self.around(cls, words), self.within[tokens].copy()
-        for i in range(0, len(cls), 8 * BATCH):
-            s = slice(i, i + 8 * BATCH)
-            h = self.hidden([c[s] for c in near])
+        cls, near, rows = self.around(token, hashes, words)
+        out = np.zeros(len(cls))
+        for i in range(0, len(cls), 2 * BATCH):
+            s = slice(i, i + 2 * BATCH)
+            h = self.hidden(near[:, s], rows[:, s])
             z = h @ self.out + self.bias
             top = z.max(axis=1)
             own = z[np.arange(len(z)), cls[s]]
-            out[s] += own - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
+            out[s] = own - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
+            deep = np.flatnonzero(token[s] >= HEADS)
+            nodes, right = self.path(token[s][deep] - HEADS)
+            z = self.tree_logits(h[deep], nodes)[0]
+            out[i + deep] -= np.logaddexp(0, np.where(right, -z, z)).sum(axis=1)
         return out
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Network:
+def initial(counts: DataFrame) -> Network:
+    top = counts.orderBy(F.desc("n"), "h").limit(KNOWN).toArrow()
+    shared = counts.groupBy(F.col("h").bitwiseAND(LEAVES - 1).alias("leaf")).agg(F.sum("n").alias("n")).toArrow()
+    in_leaves = np.zeros(LEAVES, np.int64)
+    in_leaves[shared["leaf"].to_numpy()] = shared["n"].to_numpy()
+    return Network(top["h"].to_numpy().astype(np.int64).view(np.uint64), top["n"].to_numpy().astype(np.int64), in_leaves)
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Network, DataFrame]:
+    """The network, and the table of the counts (h, n) of all words."""
     bounded(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
-    counts = corpus_counts(docs, id_col, text_col)
-    net = Network(counts)
+    counts = corpus_counts(docs, text_col)
+    net = initial(counts)
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     for round_ in range(ROUNDS):
         shared = sc.broadcast(net)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, round_=round_) -> Iterator[pa.RecordBatch]:
-            own = Network.__new__(Network)
-            own.__dict__ |= shared.value.__dict__
-            own.load(shared.value.flat())
-            memory = [np.zeros_like(p) for p in (own.tables, own.inner, own.out, own.bias)]
+            own = shared.value.own()
+            memory = {name: np.zeros_like(getattr(own, name)) for name in own.DENSE + own.SPARSE}
+            visits = {name: np.zeros(len(getattr(own, name)), np.float32) for name in own.SPARSE}
             rng, seen = np.random.default_rng(23 + round_), 0
             for batch in batches:
                 for part in K.slices(batch):
-                    tokens, words = tokens_of(part)
+                    hashes, words = words_of(part)
                     turn = K.span_hash(words.buf, words.offsets[:-1], words.offsets[1:], 4) % np.uint64(ROUNDS) == round_
                     take = np.repeat(turn, words.counts())
-                    cls = own.cls[tokens]
-                    near = own.around(cls, words)
-                    own.train(cls[take], [c[take] for c in near], memory, rng)
+                    token, _ = own.tokens(hashes)
+                    cls, near, rows = own.around(token, hashes, words)
+                    own.train(token[take], cls[take], near[:, take], rows[:, take], memory, visits, rng)
                     seen += int(take.sum())
-            flat = np.round(own.flat().astype(np.float64) * FIXED).astype(np.int64)
-            n = len(flat) if seen else 0
-            yield arrow_rows(["i", "v", "w"], [np.arange(n), flat[:n], np.full(n, seen)], [pa.int32(), pa.int64(), pa.int64()])
-
-        wide = "decimal(38,0)"
-        sums = texts.mapInArrow(run, "i int, v long, w long").groupBy("i").agg(F.sum(F.col("v").cast("decimal(19,0)") * F.col("w").cast("decimal(19,0)")).cast(wide).alias("v"), F.sum("w").alias("w")).toArrow()
-        if sums.num_rows:
-            flat = np.zeros(sums.num_rows)
-            flat[sums["i"].to_numpy()] = [float(v) / w / FIXED for v, w in zip(sums["v"].to_pylist(), sums["w"].to_pylist(), strict=True)]
-            net.load(flat)
-    return net
-
-
-def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            flat, w = own.flat(), own.weights(seen, visits)
+            at = [i for i in range(0, len(flat), CHUNK) if w[i : i + CHUNK].any()]
+            part_id = TaskContext.get().partitionId()
+            for i in at:
+                yield arrow_rows(["i", "part", "v", "w"], [[i], [part_id], [flat[i : i + CHUNK].tobytes()], [w[i : i + CHUNK].tobytes()]], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
+
+        def average(chunk: pa.Table) -> pa.Table:
+            total = weight = 0.0
+            for row in chunk.sort_by("part").select(["v", "w"]).to_pylist():
+                w = np.frombuffer(row["w"], np.float32).astype(np.float64)
+                total, weight = total + w * np.frombuffer(row["v"], np.float32), weight + w
+            mean = np.where(weight > 0, total / np.maximum(weight, 1), np.nan).astype(np.float32)
+            return pa.table({"i": pa.array([chunk["i"][0].as_py()], pa.int32()), "v": pa.array([mean.tobytes()], pa.binary())})
+
+        flat = net.flat()
+        for row in texts.mapInArrow(run, "i int, part int, v binary, w binary").groupBy("i").applyInArrow(average, "i int, v binary").toArrow().to_pylist():
+            mean = np.frombuffer(row["v"], np.float32)
+            here = flat[row["i"] : row["i"] + len(mean)]
+            here[...] = np.where(np.isnan(mean), here, mean)
+        net = net.own()
+        net.load(flat)
+    return net, counts
+
+
+def score(docs: DataFrame, net: Network, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, log_likelihood (summed over tokens), and score, its mean per token."""
+    bounded(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
-    def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
-        tokens, words = tokens_of(part)
-        n = words.counts()
-        sums = np.zeros(len(tokens) + 1)
-        np.cumsum(shared.value.log_likelihood(tokens, words), out=sums[1:])
-        total = sums[words.first[1:]] - sums[words.first[:-1]]
-        return arrow_rows(["doc_id", "n_tokens", "log_likelihood", "score"], [part.column("doc_id"), n, total, total / np.maximum(n, 1)], [pa.int64(), pa.int64(), pa.float64(), pa.float64()])
-
-    return map_text(docs, id_col, text_col, kernel, "doc_id long, n_tokens long, log_likelihood double, score double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            for part in K.slices(batch):
+                hashes, words = words_of(part)
+                token, other = shared.value.tokens(hashes)
+                sums = np.zeros(len(token) + 1)
+                each = shared.value.log_likelihood(token, hashes, words)
+                each[other] -= shared.value.log_rest[token[other] - KNOWN]
+                np.cumsum(each, out=sums[1:])
+                total = sums[words.first[1:]] - sums[words.first[:-1]]
+                n_other = np.concatenate([[0], np.cumsum(other)])[words.first]
+                others = pa.ListArray.from_arrays(pa.array(n_other, pa.int32()), pa.array(hashes[other].view(np.int64)))
+                yield arrow_rows(["row", "doc_id", "n_tokens", "total", "others"], [row + np.arange(part.num_rows), part.column("doc_id"), words.counts(), total, others], [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64())])
+                row += part.num_rows
+
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    scored = written(texts.mapInArrow(run, "row long, doc_id long, n_tokens long, total double, others array<long>"))
+    log_n = F.round(F.log(F.coalesce("n", F.lit(1))) * FIXED).cast("long")
+    shares = scored.select("row", F.explode("others").alias("h")).join(counts, "h", "left").groupBy("row").agg(F.sum(log_n).alias("log_n"))
+    total = F.col("total") + F.coalesce(F.col("log_n") / FIXED, F.lit(0.0))
+    whole = scored.select("row", "doc_id", "n_tokens", "total").join(shares, "row", "left").select("doc_id", "n_tokens", total.alias("log_likelihood"))
+    return whole.withColumn("score", F.col("log_likelihood") / F.greatest("n_tokens", F.lit(1)))
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return score(docs, fit(docs))
+    return score(docs, *fit(docs))

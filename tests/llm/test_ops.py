@@ -455,3 +455,20 @@ def test_lm(spark, docs, rows, empty):
     assert all(r.n_tokens == len(WORD.findall(dict(rows)[r.doc_id] or "")) for r in odd if r.doc_id is not None)
     assert all(r.score == 0 for r in odd if r.n_tokens == 0) and all(r.score < 0 for r in odd if r.n_tokens)
     assert lm.digest(empty).count() == 0
+
+
+def test_lm_sees_and_predicts_words(spark):
+    """Of words with one frequency each has its own followers: the order of rare words is scored, too."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(2500):
+        at, w = rng.randrange(400), []
+        for _ in range(60):
+            w.append(f"w{at}")
+            at = (7 * at + rng.randrange(2)) % 400
+        texts.append(" ".join(w))
+    mixed = [" ".join(rng.sample(t.split(), 60)) for t in texts[:60]]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + mixed)], "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.score for r in lm.digest(docs).collect()}
+    good, bad = np.mean([got[i] for i in range(60)]), np.mean([got[2500 + i] for i in range(60)])
+    assert good > bad + 3
