@@ -472,3 +472,25 @@ def test_lm_sees_and_predicts_words(spark):
     got = {r.doc_id: r.score for r in lm.digest(docs).collect()}
     good, bad = np.mean([got[i] for i in range(60)]), np.mean([got[2500 + i] for i in range(60)])
     assert good > bad + 3
+
+
+def test_lm_counts_grow_with_the_vocabulary(spark):
+    """Words beyond the network's have counts of their own, and the probabilities of all words add up to one."""
+    texts = [" ".join(f"v{k}" for k in range(a, a + 1000)) for a in range(0, 90_000, 1000)] + ["v7 " * 500, "v89999 " * 3, "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    net, counts = lm.fit(docs)
+    have = {r.h: r.n for r in counts.collect()}
+    assert len(have) == 90_000 and sum(have.values()) == 90_503
+    hashes = np.array(list(have), np.int64).view(np.uint64)
+    token, other = net.tokens(hashes)
+    assert len(set(token[~other].tolist())) == (~other).sum() and other.sum() > 20_000
+    n = np.array(list(have.values()))
+    assert np.allclose(np.bincount(token[other] - lm.KNOWN, weights=n[other], minlength=lm.LEAVES), np.exp(net.log_rest) * (np.bincount(token[other] - lm.KNOWN, minlength=lm.LEAVES) > 0))
+    h = net.hidden(np.full((4, 1), lm.CLASSES), np.arange(4)[:, None] * lm.EMBEDDED)
+    leaf = np.arange(lm.TREES * lm.LEAVES)
+    nodes, right = net.path(leaf)
+    z = net.tree_logits(np.repeat(h, len(leaf), 0), nodes)[0]
+    inside = np.exp(-np.logaddexp(0, np.where(right, -z, z)).sum(1)).reshape(lm.TREES, lm.LEAVES).sum(1)
+    assert np.allclose(inside, 1, atol=1e-3)
+    got = {r.doc_id: r for r in lm.score(docs, net, counts).collect()}
+    assert len(got) == len(texts) and got[92].score == 0 == got[93].score
