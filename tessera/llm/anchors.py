@@ -36,18 +36,21 @@ class Group:
         self.words = K.Words(*K.text_of(docs.column("text")))
         self.h = self.words.hashes(0)
         self.room = self.words.room()
+        self.begin = np.repeat(self.words.first[:-1], self.words.counts())  # of each word's document
 
     def probes(self):
         """Rolling windows of a block's length: sorted distinct keys, rank of each start, the starts, and which starts are blocks."""
         starts = np.flatnonzero(self.room >= self.block)
         keys = K.rolling(self.h, self.block)[starts] if len(starts) else np.zeros(0, np.uint64)
         first, rank = distinct(keys)
-        within = starts - np.repeat(self.words.first[:-1], self.words.counts())[starts]
+        within = starts - self.begin[starts]
         return keys[first], rank, starts, within % self.block == 0
 
     def candidates(self, hit: np.ndarray, rank: np.ndarray, starts: np.ndarray, is_block: np.ndarray) -> np.ndarray:
         """Starts of the windows whose own block is hit."""
-        near = K.covered(len(self.words), np.maximum(starts[is_block & hit[rank]] - self.block + 1, 0), self.block) if len(starts) else np.zeros(len(self.words), bool)
+        hits = starts[is_block & hit[rank]]
+        first = np.maximum(hits - self.block + 1, self.begin[hits])
+        near = K.covered(len(self.words), first, hits + 1 - first)
         return np.flatnonzero(near & (self.room >= self.window))
 
     def windows(self, at: np.ndarray):
@@ -83,8 +86,8 @@ def probe_answer(groups: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
 def window_question(window: int):
     def question(docs: pa.Table, replies: dict):
         g = Group(docs, window)
-        _, rank, starts, is_block = g.probes()
-        (hit,) = read(replies.get(0, []), [np.uint8])
+        keys, rank, starts, is_block = g.probes()
+        (hit,) = read(replies.get(0, []), [np.uint8], len(keys))
         at = g.candidates(hit > 0, rank, starts, is_block)
         a, b, first, rank = g.windows(at)
         many = np.bincount(rank, minlength=len(first)) > 1
@@ -104,11 +107,11 @@ def window_answer(groups: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
 
 def removed_words(docs: pa.Table, replies: dict, window: int) -> tuple[K.Words, np.ndarray]:
     g = Group(docs, window)
-    _, rank, starts, is_block = g.probes()
-    (hit,) = read(replies.get(0, []), [np.uint8])
+    keys, rank, starts, is_block = g.probes()
+    (hit,) = read(replies.get(0, []), [np.uint8], len(keys))
     at = g.candidates(hit > 0, rank, starts, is_block)
-    *_, rank = g.windows(at)
-    (again,) = read(replies.get(1, []), [np.uint8])
+    *_, first, rank = g.windows(at)
+    (again,) = read(replies.get(1, []), [np.uint8], len(first))
     return g.words, K.covered(len(g.words), at[again[rank] > 0], window)
 
 

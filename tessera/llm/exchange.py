@@ -7,6 +7,12 @@ range into one compressed block per part; a part merges the blocks of all groups
 with arrays in the order of its questions. A key that a third of all documents hold is one
 fingerprint per group, so no part grows with it. Documents stay where they are dealt (all rounds
 reuse the same exchange); a lost executor's groups and parts are recomputed from their blocks.
+
+A group is read once for each round, and its rows arrive in the order in which shuffled blocks come
+in. So it is put in order first: the same documents ask the same questions every time.
+
+Defined results: null ids and texts are rows like others; repeated rows stay, dealt by the partitions
+that they come from; an empty table has no groups.
 """
 
 from __future__ import annotations
@@ -19,6 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import kernels as K
 from tessera.llm.frames import bounded, parts_for, text_bytes
 
 #: Bytes of text in a group, and of text for each part.
@@ -56,6 +63,15 @@ def cut(keys: np.ndarray, n_parts: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, np.array(bounds, np.uint64)), [len(keys)]])
 
 
+def in_order(docs: pa.Table) -> pa.Table:
+    """The rows by id and text, whatever order they came in; rows that tie are the same."""
+    ids = docs.column("doc_id").combine_chunks()
+    buf, offsets = K.text_of(docs.column("text"))
+    keys = K.span_hash(buf, offsets[:-1], offsets[1:], 6)
+    order = np.lexsort((keys, np.asarray(ids.fill_null(0) if ids.null_count else ids), np.asarray(ids.is_null())))
+    return docs.take(pa.array(order))
+
+
 class Exchange:
     """Documents dealt into groups, and rounds of questions over them."""
 
@@ -68,7 +84,9 @@ class Exchange:
         self.bits = min(64, 34 + (self.n_parts - 1).bit_length())
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
         n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-        self.docs = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.n_groups)).cast("int")).repartition(min(n, self.n_groups), "g")
+        # repeated rows, such as ones of nulls, are spread by where they come from
+        group = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(self.n_groups)).cast("int")
+        self.docs = rows.withColumn("g", group).repartition(min(n, self.n_groups), "g")
         self.replies: DataFrame | None = None
 
     def ask(self, stage: int, question: Callable, answer: Callable) -> None:
@@ -79,7 +97,7 @@ class Exchange:
 
         def blocks(docs: pa.Table, replies: dict) -> pa.Table:
             g = docs.column("g")[0].as_py() if docs.num_rows else 0
-            keys, columns = question(docs, replies)
+            keys, columns = question(in_order(docs), replies)
             at = cut(keys, n_parts)
             full = np.flatnonzero(np.diff(at)).tolist()
             data = [pack([deltas(columns[0][at[p] : at[p + 1]]), *(c[at[p] : at[p + 1]] for c in columns[1:])]) for p in full]
@@ -105,7 +123,7 @@ class Exchange:
 
     def finish(self, result: Callable, schema: str) -> DataFrame:
         """result(docs, replies) for each group."""
-        return self.docs.groupBy("g").cogroup(self.replies.groupBy("g")).applyInArrow(lambda docs, replies: result(docs, by_stage(replies)), schema)
+        return self.docs.groupBy("g").cogroup(self.replies.groupBy("g")).applyInArrow(lambda docs, replies: result(in_order(docs), by_stage(replies)), schema)
 
 
 def by_stage(replies: pa.Table) -> dict[int, list[bytes]]:
@@ -117,11 +135,12 @@ def by_stage(replies: pa.Table) -> dict[int, list[bytes]]:
     return out
 
 
-def read(blocks: list[bytes], kinds: list) -> list[np.ndarray]:
-    """The answers of a stage as whole columns."""
-    if not blocks:
-        return [np.zeros(0, k) for k in kinds]
-    return [np.concatenate(c) for c in zip(*(unpack(b, kinds) for b in blocks), strict=True)]
+def read(blocks: list[bytes], kinds: list, n: int) -> list[np.ndarray]:
+    """The answers of a stage to n questions as whole columns."""
+    out = [np.concatenate(c) for c in zip(*(unpack(b, kinds) for b in blocks), strict=True)] if blocks else [np.zeros(0, k) for k in kinds]
+    if len(out[0]) != n:
+        raise RuntimeError(f"{len(out[0])} answers to {n} questions")
+    return out
 
 
 def distinct(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

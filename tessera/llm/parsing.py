@@ -106,7 +106,7 @@ class Group:
     def repeated(self, replies: dict):
         """Occurrences of triggers that the corpus repeats, each with its trigger's count."""
         first, rank = distinct(self.key)
-        (n,) = read(replies.get(0, []), [np.uint32])
+        (n,) = read(replies.get(0, []), [np.uint32], len(first))
         n = n[rank] if len(rank) else np.zeros(0, np.uint32)
         self.rank0 = first, rank
         on = np.flatnonzero(n > 1)
@@ -126,8 +126,8 @@ class Group:
     def doubtful(self, replies: dict):
         """For step 3: all removed or doubtful occurrences. Returns (occurrences, which are removed whole, which are in doubt)."""
         on, n = self.repeated(replies)
-        _, _, _, rank, ids = self.phrases(on)
-        smaller, n_phrase = read(replies.get(1, []), [np.uint8, np.uint32])
+        _, _, first, rank, ids = self.phrases(on)
+        smaller, n_phrase = read(replies.get(1, []), [np.uint8, np.uint32], len(first))
         if not len(on):
             return on, np.zeros(0, bool), np.zeros(0, bool)
         own = self.ids[self.doc[on]]
@@ -153,8 +153,8 @@ class Group:
         gone = on[whole]
         np.add.at(edge, self.lo[gone], 1)
         np.add.at(edge, self.hi[gone] + self.window, -1)
-        s, own, _, _, _, rank, ids = self.windows(on[doubt])
-        (smaller,) = read(replies.get(2, []), [np.uint8])
+        s, own, _, _, first, rank, ids = self.windows(on[doubt])
+        (smaller,) = read(replies.get(2, []), [np.uint8], len(first))
         if len(s):
             s = s[(smaller[rank] > 0) | (own > ids[rank])]
             np.add.at(edge, s, 1)

@@ -494,3 +494,34 @@ def test_lm_counts_grow_with_the_vocabulary(spark):
     assert np.allclose(inside, 1, atol=1e-3)
     got = {r.doc_id: r for r in lm.score(docs, net, counts).collect()}
     assert len(got) == len(texts) and got[92].score == 0 == got[93].score
+
+
+def test_anchors_of_shared_heads_in_any_order(spark):
+    """Documents that share only their first 18 to 60 words: groups ask and finish in orders of their own."""
+    import pyarrow as pa
+
+    from tessera.llm import exchange
+
+    rng = random.Random(21)
+    head = [f"h{k}" for k in range(80)]
+    texts = [" ".join(head[:n] + [f"u{k}-{j}" for j in range(rng.randint(0, 60))]) for k, n in enumerate([*range(16, 61), 20, 20, 0, 35, 40])]
+    w = [t.split() for t in texts]
+    c = collections.Counter(tuple(x[k : k + 35]) for x in w for k in range(len(x) - 34))
+    want = [(i, len({k + j for k in range(len(x) - 34) if c[tuple(x[k : k + 35])] > 1 for j in range(35)})) for i, x in enumerate(w)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert collected(anchors.digest(docs).select("doc_id", "n_removed")) == expected(want)
+    table = pa.table({"doc_id": pa.array([*range(len(texts)), None, None], pa.int64()), "text": [*texts, None, texts[3]]})
+    whole = exchange.in_order(table)
+    asked = anchors.probe_question(35, 64)(whole, {})
+    hits = [exchange.pack(b) for b in anchors.probe_answer([asked[1]])]
+    results = set()
+    for _ in range(20):
+        mixed = exchange.in_order(table.take(pa.array(rng.sample(range(table.num_rows), table.num_rows))))
+        keys, (a, b, many) = anchors.window_question(35)(mixed, {0: hits})
+        again = [exchange.pack(x) for x in anchors.window_answer([[a, b, many]])]
+        words, gone = anchors.removed_words(exchange.in_order(mixed.take(pa.array(range(table.num_rows)[::-1]))), {0: hits, 1: again}, 35)
+        results.add((tuple(keys.tolist()), tuple(gone.tolist())))
+        assert anchors.K.per_doc(gone, words.first).tolist()[: len(texts)] == [n if k != 3 else max(n, len(w[3])) for k, (_, n) in enumerate(want)]
+    assert len(results) == 1
+    with pytest.raises(RuntimeError, match="answers to"):
+        exchange.read([], [np.uint8], 3)
