@@ -1,24 +1,28 @@
 """Masked pseudo-likelihood scores of documents.
 
 A small network predicts every token from SIDE tokens on its left and as many on its right. Each
-neighbour selects a row by its class and one by its word (hashed to EMBEDDED rows) from tables of its
-position; their sum goes through tanh. A softmax gives the class of the token, and inside its class a
-binary tree whose nodes see the same context gives the token itself. A document's score is the sum of
-log p(token | both sides) over all its tokens.
+neighbour selects a row of the table of its position: the most frequent words have rows of their own,
+others share rows by hash. The sum of the rows goes through tanh. A token is one of CLASSES classes
+and one of INSIDE places in it. The class is the leaf of a binary tree whose nodes see that context;
+the place is a second one, whose nodes see the context together with the class. Every node starts
+from its share of the corpus counts, and shares sum to one, so all words' probabilities do, whatever
+the context. A document's score is the sum of log p(token | both sides) over all its tokens.
 
 1. Tokens are lower-cased words. Their counts over the whole corpus come first, exactly (but for equal
-   64-bit hashes), as a shuffled table that grows with the vocabulary. The HEADS most frequent words are classes
-   of their own, the next ones by frequency are the leaves of trees; all other words share the leaves of one
-   more tree, and a word has its share of the leaf's count, which is joined from the table.
+   64-bit hashes), as a shuffled table that grows with the vocabulary. The KNOWN most frequent words are
+   tokens of their own, dealt over the classes by rank; all other words share the other tokens, and a
+   word has its share of its token's count, which is joined from the table.
 2. Training covers every document once. In each of ROUNDS rounds all partitions run SGD on their
    share of that round's documents, from the same parameters, and the results are averaged, each row
    by how often it was trained (in the order of partitions, so that sums are the same every time).
 3. Scoring maps the finished network over all texts; counts of the rarer words are joined.
 
-Parameters have a fixed size and are broadcast; counts of words are not.
+Parameters have a fixed size and are broadcast; counts of words are not. All of them but the rows of
+neighbours are dense matrices that stay in a core's cache.
 
 Defined results: null, empty and wordless texts have no tokens and the score 0; null ids pass
-through; repeated rows get the same score; an empty table gives no rows.
+through; repeated rows get the same score; very long texts are handled whole, in batches; other columns
+aren't read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,16 +38,23 @@ from pyspark.sql import functions as F
 from tessera.llm import kernels as K
 from tessera.llm.frames import arrow_rows, bounded, written
 
-HEADS, TREES, DEPTH, HIDDEN, SIDE = 32, 32, 11, 16, 2
-CLASSES, LEAVES = HEADS + TREES, 1 << DEPTH
-#: Words with a token of their own; the last tree is that of all others.
-KNOWN = HEADS + (TREES - 1) * LEAVES
-TOKENS = HEADS + TREES * LEAVES
-SLOTS, EMBEDDED = 1 << 21, 1 << 13
+#: Levels of the two trees, tokens that rarer words share, hidden units, and neighbours on a side.
+CLASS_BITS, INSIDE_BITS, SHARED, HIDDEN, WIDE, SIDE = 6, 10, 2048, 16, 32, 2
+CLASSES, INSIDE = 1 << CLASS_BITS, 1 << INSIDE_BITS
+TOKENS = CLASSES * INSIDE
+#: Words with a token of their own.
+KNOWN = TOKENS - SHARED
+#: Rows of a position: of the most frequent words, and of all others by hash.
+OWN_ROWS, HASHED_ROWS = 4096, 4096
+ROWS = OWN_ROWS + HASHED_ROWS
+SLOTS = 1 << 21
 ROUNDS, BATCH, RATE = 2, 2048, 0.1
+#: Words of which a worker sends counts at once.
+COUNTED = 1 << 21
 #: Parameters in a row of an exchange, and the fixed point of logarithms that are summed in a shuffle.
 CHUNK, FIXED = 1 << 13, float(1 << 32)
-LEVELS = np.arange(DEPTH)
+#: Least logit of a node's outcome, so that products of a path stay in range.
+LEAST_LOGIT = -40
 
 
 def words_of(part: pa.RecordBatch) -> tuple[np.ndarray, K.Words]:
@@ -52,48 +63,74 @@ def words_of(part: pa.RecordBatch) -> tuple[np.ndarray, K.Words]:
 
 
 def corpus_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """Occurrences of each word (its hash) in all documents: counts of slices, then a shuffled sum."""
+    """Occurrences of each word (its hash) in all documents: counts of some slices, then a shuffled sum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def counted() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
+            held.clear()
+            return arrow_rows(["h", "n"], [h.view(np.int64), n], [pa.int64(), pa.int64()])
+
         for batch in batches:
             for part in K.slices(batch):
-                h, n = np.unique(words_of(part)[0], return_counts=True)
-                yield arrow_rows(["h", "n"], [h.view(np.int64), n], [pa.int64(), pa.int64()])
+                held.append(words_of(part)[0])
+                if sum(map(len, held)) >= COUNTED:
+                    yield counted()
+        yield counted()
 
     partial = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "h long, n long")
     return written(partial.groupBy("h").agg(F.sum("n").alias("n")))
 
 
+def path(leaf: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(levels, n): the nodes on the way to each leaf of a binary tree (1 is the root, 2k and 2k + 1 are below k), and 1 where they are left to the right, else -1."""
+    level, leaf = np.arange(bits, dtype=np.int32)[:, None], leaf.astype(np.int32)[None]
+    sign = ((leaf >> (bits - 1 - level)) & 1).astype(np.float32)
+    sign *= 2
+    sign -= 1
+    return (1 << level) + (leaf >> (bits - level)), sign
+
+
+def shares(leaves: np.ndarray) -> np.ndarray:
+    """For rows of leaf counts, the log odds of right against left at each node."""
+    rows, n = leaves.shape
+    out = np.zeros((rows, n))
+    while n > 1:
+        out[:, n // 2 : n] = np.log(leaves[:, 1::2] / leaves[:, ::2])
+        leaves = leaves[:, 1::2] + leaves[:, ::2]
+        n //= 2
+    return out
+
+
 class Network:
-    """Class CLASSES stands for the outside of a text; it is never predicted."""
+    #: Trained parameters, and those of which a batch touches some rows only.
+    DENSE, SPARSE = ("inner", "top", "top_bias", "mix", "by_class", "low"), ("embedding",)
 
-    def __init__(self, top: np.ndarray, top_n: np.ndarray, in_leaves: np.ndarray, seed: int = 17):
-        """top: hashes of the most frequent words, the most frequent first; in_leaves: occurrences of all words by the leaf they would share."""
-        slot = (top >> np.uint64(DEPTH)).astype(np.int64) % SLOTS
+    def __init__(self, top: np.ndarray, top_n: np.ndarray, in_shared: np.ndarray, seed: int = 17):
+        """top: hashes of the most frequent words, the most frequent first; in_shared: occurrences of all words by the token they would share."""
+        slot = (top >> np.uint64(11)).astype(np.int64) % SLOTS
         first = np.sort(np.unique(slot, return_index=True)[1])  # of words with one slot the most frequent is known
         self.keys, top_n = top[first], top_n[first]
         self.slots = np.full(SLOTS, -1, np.int32)
         self.slots[slot[first]] = np.arange(len(first))
-        rest = in_leaves - np.bincount((self.keys % np.uint64(LEAVES)).astype(np.int64), weights=top_n, minlength=LEAVES).astype(np.int64)
+        rest = in_shared - np.bincount((self.keys % np.uint64(SHARED)).astype(np.int64), weights=top_n, minlength=SHARED).astype(np.int64)
         self.log_rest = np.log(np.maximum(rest, 1))
-        counts = np.zeros(TOKENS)
-        counts[: len(top_n)], counts[KNOWN:] = top_n, rest
-        leaves = counts[HEADS:].reshape(TREES, LEAVES) + 1.0
-        total = np.concatenate([counts[:HEADS] + 1.0, leaves.sum(1)])
+        counts = np.ones(TOKENS)
+        counts[: len(top_n)] += top_n
+        counts[KNOWN:] += rest
+        leaves = counts.reshape(INSIDE, CLASSES).T  # token = place * CLASSES + class
         f = np.float32
-        self.node_bias = np.zeros((TREES, LEAVES), f)  # without a context, leaves have their shares of the counts
-        for level in range(DEPTH - 1, -1, -1):
-            self.node_bias[:, 1 << level : 2 << level] = np.log(leaves[:, 1::2] / leaves[:, ::2])
-            leaves = leaves[:, 1::2] + leaves[:, ::2]
-        self.node_bias = self.node_bias.reshape(-1, 1)
+        self.inside_bias = shares(leaves).astype(f).ravel()
+        self.top_bias = shares(leaves.sum(1)[None])[0][:, None].astype(f)
         rng = np.random.default_rng(seed)
-        self.tables = rng.normal(0, 0.1, (2 * SIDE, CLASSES + 1, HIDDEN)).astype(f)
-        self.inner, self.out = np.zeros(HIDDEN, f), rng.normal(0, 0.1, (HIDDEN, CLASSES)).astype(f)
-        self.bias = np.log(total / total.sum()).astype(f)
-        self.embedding = rng.normal(0, 0.1, (2 * SIDE * EMBEDDED, HIDDEN)).astype(f)
-        self.nodes = np.zeros((TREES * LEAVES, HIDDEN), f)
-
-    DENSE, SPARSE = ("tables", "inner", "out", "bias"), ("embedding", "nodes", "node_bias")
+        self.embedding = rng.normal(0, 0.1, (2 * SIDE * ROWS, HIDDEN)).astype(f)
+        self.inner = np.zeros(HIDDEN, f)
+        self.top = np.zeros((CLASSES, HIDDEN), f)
+        self.mix = rng.normal(0, HIDDEN**-0.5, (HIDDEN, WIDE)).astype(f)
+        self.by_class = rng.normal(0, 0.1, (CLASSES, WIDE)).astype(f)
+        self.low = np.zeros((INSIDE_BITS, WIDE), f)
 
     def own(self) -> Network:
         """A network with parameters of its own."""
@@ -120,117 +157,109 @@ class Network:
 
     def tokens(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of words, and which of the words are not known."""
-        token = self.slots[(hashes >> np.uint64(DEPTH)).astype(np.int64) % SLOTS].astype(np.int64)
+        token = self.slots[(hashes >> np.uint64(11)).astype(np.int64) % SLOTS].astype(np.int64)
         other = token < 0
         if len(self.keys):
             other |= self.keys[token] != hashes
-        token[other] = KNOWN + (hashes[other] % np.uint64(LEAVES)).astype(np.int64)
+        token[other] = KNOWN + (hashes[other] % np.uint64(SHARED)).astype(np.int64)
         return token, other
 
-    def around(self, token: np.ndarray, hashes: np.ndarray, words: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Classes of the tokens; classes of the neighbours at each position, outside of the text CLASSES; and their rows of the embedding."""
-        cls = np.where(token < HEADS, token, HEADS + ((token - HEADS) >> DEPTH))
-        row = (hashes >> np.uint64(64 - 13)).astype(np.int64)
+    def around(self, token: np.ndarray, hashes: np.ndarray, words: K.Words) -> np.ndarray:
+        """(positions, n): the rows of each token's neighbours; row 0 stands for the outside of a text too."""
+        row = np.where(token < OWN_ROWS, token, OWN_ROWS + (hashes >> np.uint64(52)).astype(np.int64)).astype(np.uint16)
         room = words.room()
-        index = np.arange(len(cls)) - np.repeat(words.first[:-1], words.counts())
-        near, rows = np.full((2 * SIDE, len(cls)), CLASSES), np.zeros((2 * SIDE, len(cls)), np.int64)
+        index = np.arange(len(row)) - np.repeat(words.first[:-1], words.counts())
+        rows = np.zeros((2 * SIDE, len(row)), np.uint16)
         for k, d in enumerate((*range(-SIDE, 0), *range(1, SIDE + 1))):
             if d < 0:
-                near[k, -d:], rows[k, -d:], out = cls[:d], row[:d], index < -d
+                rows[k, -d:] = row[:d]
+                rows[k, index < -d] = 0
             else:
-                near[k, :-d], rows[k, :-d], out = cls[d:], row[d:], room <= d
-            near[k, out], rows[k, out] = CLASSES, 0  # row 0 of a position is the outside's, too
-            rows[k] += k * EMBEDDED
-        return cls, near, rows
-
-    def hidden(self, near: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        h = self.tables[0][near[0]] + self.inner
-        h += self.embedding[rows[0]]
-        for k in range(1, 2 * SIDE):
-            h += self.tables[k][near[k]]
-            h += self.embedding[rows[k]]
-        return np.tanh(h, out=h)
-
-    def softmax(self, h: np.ndarray) -> np.ndarray:
-        z = h @ self.out
-        z += self.bias
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        return z
-
-    @staticmethod
-    def path(leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The nodes on the way to each leaf of the trees, and which of them are left to the right."""
-        tree, at = leaf >> DEPTH, (leaf & (LEAVES - 1))[:, None]
-        return (tree << DEPTH)[:, None] + (1 << LEVELS) + (at >> (DEPTH - LEVELS)), (at >> (DEPTH - 1 - LEVELS)) & 1
-
-    def tree_logits(self, h: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        v = self.nodes[nodes]
-        return np.matmul(v, h[:, :, None])[:, :, 0] + self.node_bias[nodes, 0], v
-
-    def train(self, token: np.ndarray, cls: np.ndarray, near: np.ndarray, rows: np.ndarray, memory: dict[str, np.ndarray], visits: dict[str, np.ndarray], rng: np.random.Generator) -> None:
-        """One pass of SGD with steps scaled by each parameter's past gradients."""
-        eye = np.eye(CLASSES + 1, dtype=np.float32)
-        order = rng.permutation(len(cls))
-
-        def step(name: str, at: np.ndarray, grads: np.ndarray) -> None:
-            by = np.argsort(at, kind="stable")
-            at = at[by]
-            begin = np.flatnonzero(np.diff(at, prepend=-1))
-            g, at, n = np.add.reduceat(grads[by], begin, axis=0), at[begin], np.diff(begin, append=len(at))
-            visits[name][at] += n
-            m = memory[name][at] + g * g
-            memory[name][at] = m
-            getattr(self, name)[at] -= RATE * g / (np.sqrt(m) + 1e-6)
-
-        for i in range(0, len(order), BATCH):
-            take = order[i : i + BATCH]
-            c, r, t = near[:, take], rows[:, take], token[take]
-            h = self.hidden(c, r)
-            d = self.softmax(h)
-            d[np.arange(len(take)), cls[take]] -= 1
-            dh = d @ self.out.T
-            deep = np.flatnonzero(t >= HEADS)
-            if len(deep):
-                nodes, right = self.path(t[deep] - HEADS)
-                z, v = self.tree_logits(h[deep], nodes)
-                dz = (1 / (1 + np.exp(-z)) - right).astype(np.float32)
-                dh[deep] += np.matmul(dz[:, None, :], v)[:, 0]
-                step("nodes", nodes.ravel(), (dz[:, :, None] * h[deep][:, None, :]).reshape(-1, HIDDEN) / len(take))
-                step("node_bias", nodes.ravel(), dz.reshape(-1, 1) / len(take))
-            d /= len(take)
-            dh *= (1 - h * h) / len(take)
-            step("embedding", r.ravel(), np.tile(dh, (2 * SIDE, 1)))
-            grads = [np.stack([eye[x].T @ dh for x in c]), dh.sum(0), h.T @ d, d.sum(0)]
-            for name, g in zip(self.DENSE, grads, strict=True):
+                rows[k, :-d] = row[d:]
+                rows[k, room <= d] = 0
+            rows[k] += np.uint16(k * ROWS)
+        return rows
+
+    def forward(self, token: np.ndarray, rows: np.ndarray) -> tuple:
+        """Logits of the outcomes on each token's way through both trees, (levels, n) each, and what gradients need."""
+        h = self.embedding.take(rows[0], axis=0)
+        for r in rows[1:]:
+            h += self.embedding.take(r, axis=0)
+        h += self.inner
+        np.tanh(h, out=h)
+        cls, n = token & (CLASSES - 1), np.arange(len(token))
+        node, way = path(cls, CLASS_BITS)
+        z = (self.top @ h.T + self.top_bias)[node, n]
+        z *= way
+        wide = h @ self.mix
+        wide += self.by_class.take(cls, axis=0)
+        np.tanh(wide, out=wide)
+        place, turn = path(token >> CLASS_BITS, INSIDE_BITS)
+        place += cls.astype(np.int32) << INSIDE_BITS
+        y = self.low @ wide.T
+        y += self.inside_bias.take(place)
+        y *= turn
+        return z, y, (h, wide, cls, node, way, turn)
+
+    def gradients(self, z: np.ndarray, y: np.ndarray, kept: tuple) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Gradients of the mean of -log p: of the dense parameters, and of the sum of the rows of each token's neighbours."""
+        h, wide, cls, node, way, turn = kept
+        n, one = np.arange(len(cls)), np.ones(len(cls), np.float32)
+        with np.errstate(over="ignore"):  # beyond the range of exp a gradient is 0
+            dz, dy = (sign / ((1 + np.exp(x)) * np.float32(-len(n))) for x, sign in ((z, way), (y, turn)))
+        at_nodes = np.zeros((CLASSES, len(n)), np.float32)
+        at_nodes[node, n] = dz
+        at_class = np.zeros((CLASSES, len(n)), np.float32)
+        at_class[cls, n] = 1
+        slope = wide * wide
+        np.subtract(1, slope, out=slope)
+        dwide = dy.T @ self.low
+        dwide *= slope
+        dh = at_nodes.T @ self.top
+        dh += dwide @ self.mix.T
+        slope = h * h
+        np.subtract(1, slope, out=slope)
+        dh *= slope
+        return {"inner": one @ dh, "top": at_nodes @ h, "top_bias": (at_nodes @ one)[:, None], "mix": h.T @ dwide, "by_class": at_class @ dwide, "low": dy @ wide}, dh
+
+    def train(self, token: np.ndarray, rows: np.ndarray, memory: dict[str, np.ndarray], visits: dict[str, np.ndarray]) -> None:
+        """One pass of SGD; steps are scaled by the past gradients of each parameter, of a row those of the whole row."""
+        for i in range(0, len(token), BATCH):
+            r = rows[:, i : i + BATCH]
+            grads, dh = self.gradients(*self.forward(token[i : i + BATCH], r))
+            for name, g in grads.items():
                 memory[name] += g * g
                 getattr(self, name)[...] -= RATE * g / (np.sqrt(memory[name]) + 1e-6)
-
-    def log_likelihood(self, token: np.ndarray, hashes: np.ndarray, words: K.Words) -> np.ndarray:
+            for at in r:
+                by = np.argsort(at, kind="stable")
+                at = at[by]
+                begin = np.append(0, np.flatnonzero(at[1:] != at[:-1]) + 1)
+                g, at, many = np.add.reduceat(dh.take(by, axis=0), begin, axis=0), at[begin], np.diff(begin, append=len(at))
+                visits["embedding"][at] += many
+                m = memory["embedding"].take(at)
+                m += np.einsum("ij,ij->i", g, g) / HIDDEN
+                memory["embedding"][at] = m
+                g *= (RATE / (np.sqrt(m) + 1e-6))[:, None]
+                self.embedding[at] = self.embedding.take(at, axis=0) - g
+
+    def log_likelihood(self, token: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """log p of every token given both its sides."""
-        cls, near, rows = self.around(token, hashes, words)
-        out = np.zeros(len(cls))
-        for i in range(0, len(cls), 2 * BATCH):
-            s = slice(i, i + 2 * BATCH)
-            h = self.hidden(near[:, s], rows[:, s])
-            z = h @ self.out + self.bias
-            top = z.max(axis=1)
-            own = z[np.arange(len(z)), cls[s]]
-            out[s] = own - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
-            deep = np.flatnonzero(token[s] >= HEADS)
-            nodes, right = self.path(token[s][deep] - HEADS)
-            z = self.tree_logits(h[deep], nodes)[0]
-            out[i + deep] -= np.logaddexp(0, np.where(right, -z, z)).sum(axis=1)
+        out = np.zeros(len(token))
+        for i in range(0, len(token), BATCH):
+            z, y, _ = self.forward(token[i : i + BATCH], rows[:, i : i + BATCH])
+            for x in (z, y):
+                odds = np.exp(-np.maximum(x, LEAST_LOGIT))
+                odds += 1
+                out[i : i + BATCH] -= np.log(np.multiply.reduce(odds, axis=0, dtype=np.float64))
         return out
 
 
 def initial(counts: DataFrame) -> Network:
     top = counts.orderBy(F.desc("n"), "h").limit(KNOWN).toArrow()
-    shared = counts.groupBy(F.col("h").bitwiseAND(LEAVES - 1).alias("leaf")).agg(F.sum("n").alias("n")).toArrow()
-    in_leaves = np.zeros(LEAVES, np.int64)
-    in_leaves[shared["leaf"].to_numpy()] = shared["n"].to_numpy()
-    return Network(top["h"].to_numpy().astype(np.int64).view(np.uint64), top["n"].to_numpy().astype(np.int64), in_leaves)
+    shared = counts.groupBy(F.col("h").bitwiseAND(SHARED - 1).alias("leaf")).agg(F.sum("n").alias("n")).toArrow()
+    in_shared = np.zeros(SHARED, np.int64)
+    in_shared[shared["leaf"].to_numpy()] = shared["n"].to_numpy()
+    return Network(top["h"].to_numpy().astype(np.int64).view(np.uint64), top["n"].to_numpy().astype(np.int64), in_shared)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Network, DataFrame]:
@@ -245,18 +274,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, round_=round_) -> Iterator[pa.RecordBatch]:
             own = shared.value.own()
-            memory = {name: np.zeros_like(getattr(own, name)) for name in own.DENSE + own.SPARSE}
+            memory = {name: np.zeros_like(getattr(own, name)) for name in own.DENSE} | {name: np.zeros(len(getattr(own, name)), np.float32) for name in own.SPARSE}
             visits = {name: np.zeros(len(getattr(own, name)), np.float32) for name in own.SPARSE}
-            rng, seen = np.random.default_rng(23 + round_), 0
+            seen = 0
             for batch in batches:
-                for part in K.slices(batch):
+                buf, offsets = K.text_of(batch.column("text"))
+                turn = K.span_hash(buf, offsets[:-1], offsets[1:], 4) % np.uint64(ROUNDS) == round_
+                for part in K.slices(batch.filter(pa.array(turn))):
                     hashes, words = words_of(part)
-                    turn = K.span_hash(words.buf, words.offsets[:-1], words.offsets[1:], 4) % np.uint64(ROUNDS) == round_
-                    take = np.repeat(turn, words.counts())
                     token, _ = own.tokens(hashes)
-                    cls, near, rows = own.around(token, hashes, words)
-                    own.train(token[take], cls[take], near[:, take], rows[:, take], memory, visits, rng)
-                    seen += int(take.sum())
+                    own.train(token, own.around(token, hashes, words), memory, visits)
+                    seen += len(token)
             flat, w = own.flat(), own.weights(seen, visits)
             at = [i for i in range(0, len(flat), CHUNK) if w[i : i + CHUNK].any()]
             part_id = TaskContext.get().partitionId()
@@ -293,7 +321,7 @@ def score(docs: DataFrame, net: Network, counts: DataFrame, id_col: str = "doc_i
                 hashes, words = words_of(part)
                 token, other = shared.value.tokens(hashes)
                 sums = np.zeros(len(token) + 1)
-                each = shared.value.log_likelihood(token, hashes, words)
+                each = shared.value.log_likelihood(token, shared.value.around(token, hashes, words))
                 each[other] -= shared.value.log_rest[token[other] - KNOWN]
                 np.cumsum(each, out=sums[1:])
                 total = sums[words.first[1:]] - sums[words.first[:-1]]

@@ -485,13 +485,11 @@ def test_lm_counts_grow_with_the_vocabulary(spark):
     token, other = net.tokens(hashes)
     assert len(set(token[~other].tolist())) == (~other).sum() and other.sum() > 20_000
     n = np.array(list(have.values()))
-    assert np.allclose(np.bincount(token[other] - lm.KNOWN, weights=n[other], minlength=lm.LEAVES), np.exp(net.log_rest) * (np.bincount(token[other] - lm.KNOWN, minlength=lm.LEAVES) > 0))
-    h = net.hidden(np.full((4, 1), lm.CLASSES), np.arange(4)[:, None] * lm.EMBEDDED)
-    leaf = np.arange(lm.TREES * lm.LEAVES)
-    nodes, right = net.path(leaf)
-    z = net.tree_logits(np.repeat(h, len(leaf), 0), nodes)[0]
-    inside = np.exp(-np.logaddexp(0, np.where(right, -z, z)).sum(1)).reshape(lm.TREES, lm.LEAVES).sum(1)
-    assert np.allclose(inside, 1, atol=1e-3)
+    assert np.allclose(np.bincount(token[other] - lm.KNOWN, weights=n[other], minlength=lm.SHARED), np.exp(net.log_rest) * (np.bincount(token[other] - lm.KNOWN, minlength=lm.SHARED) > 0))
+    rng = np.random.default_rng(3)
+    for rows in np.stack([rng.integers(k * lm.ROWS, (k + 1) * lm.ROWS, 5) for k in range(2 * lm.SIDE)]).T:
+        every = net.log_likelihood(np.arange(lm.TOKENS), np.repeat(rows.astype(np.uint16)[:, None], lm.TOKENS, 1))
+        assert np.exp(every).sum() == pytest.approx(1, abs=1e-3)
     got = {r.doc_id: r for r in lm.score(docs, net, counts).collect()}
     assert len(got) == len(texts) and got[92].score == 0 == got[93].score
 
@@ -525,3 +523,75 @@ def test_anchors_of_shared_heads_in_any_order(spark):
     assert len(results) == 1
     with pytest.raises(RuntimeError, match="answers to"):
         exchange.read([], [np.uint8], 3)
+
+
+def small_network():
+    """A network that has learned a little, and tokens with the rows of their neighbours."""
+    rng = np.random.default_rng(5)
+    hashes = rng.integers(0, 2**63, 30_000, dtype=np.uint64) * np.uint64(2)
+    net = lm.Network(hashes[:20_000], np.sort(rng.integers(1, 900, 20_000))[::-1], np.full(lm.SHARED, 10**6))
+    for name in net.DENSE:
+        p = getattr(net, name)
+        p += rng.normal(0, 0.3, p.shape).astype(np.float32)
+    words = lm.K.Words(*lm.K.text_of(lm.pa.array(["a b c d e f", "", "g", None, "h i " * 40])))
+    own = hashes[rng.integers(0, 30_000, len(words))]
+    token, _ = net.tokens(own)
+    return net, token, net.around(token, own, words), words, own
+
+
+def test_lm_likelihood_is_that_of_a_loop():
+    net, token, rows, words, own = small_network()
+    first = [int(x) for x in words.first]
+    want = []
+    for d in range(len(first) - 1):
+        for i in range(first[d], first[d + 1]):
+            h = net.inner.astype(float)
+            for k, step in enumerate((-2, -1, 1, 2)):
+                j = i + step
+                inside = first[d] <= j < first[d + 1]
+                row = (int(token[j]) if token[j] < lm.OWN_ROWS else lm.OWN_ROWS + (int(own[j]) >> 52)) if inside else 0
+                assert rows[k, i] == k * lm.ROWS + row
+                h = h + net.embedding[k * lm.ROWS + row]
+            h = np.tanh(h)
+            cls, place, log_p = int(token[i]) % lm.CLASSES, int(token[i]) // lm.CLASSES, 0.0
+            wide = np.tanh(h @ net.mix + net.by_class[cls])
+            node = 1
+            for level in range(lm.CLASS_BITS):
+                bit = cls >> (lm.CLASS_BITS - 1 - level) & 1
+                z = net.top[node] @ h + net.top_bias[node, 0]
+                log_p -= np.logaddexp(0, -z if bit else z)
+                node = 2 * node + bit
+            node = 1
+            for level in range(lm.INSIDE_BITS):
+                bit = place >> (lm.INSIDE_BITS - 1 - level) & 1
+                z = net.low[level] @ wide + net.inside_bias[cls * lm.INSIDE + node]
+                log_p -= np.logaddexp(0, -z if bit else z)
+                node = 2 * node + bit
+            want.append(log_p)
+    assert np.allclose(net.log_likelihood(token, rows), want, atol=1e-4)
+
+
+def test_lm_gradients_are_those_of_finite_differences():
+    net, token, rows, *_ = small_network()
+    for name in net.DENSE + net.SPARSE:
+        setattr(net, name, getattr(net, name).astype(np.float64))
+    net.inside_bias = net.inside_bias.astype(np.float64)
+    loss = lambda: -net.log_likelihood(token, rows).mean()
+    grads, dh = net.gradients(*net.forward(token, rows))
+    rng = random.Random(4)
+    embedding = np.zeros_like(net.embedding)
+    for r in rows:
+        np.add.at(embedding, r, dh)
+    step = 1e-5
+    for name, g in {**grads, "embedding": embedding}.items():
+        p = getattr(net, name)
+        assert g.shape == p.shape, name
+        at = np.argwhere(np.abs(g) > 1e-7)
+        for k in rng.sample(range(len(at)), min(12, len(at))):
+            where = tuple(at[k])
+            old = p[where]
+            p[where] = old + step
+            up = loss()
+            p[where] = old - step
+            assert (up - loss()) / (2 * step) == pytest.approx(g[where], rel=2e-3, abs=1e-7), name
+            p[where] = old
