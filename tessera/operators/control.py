@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import contextlib
 import json
+import threading
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.sources.sinks import exists, read_text, write_text
+from tessera.sources.files import literal
+from tessera.sources.sinks import children, delete, exists, read_text, write_text
 
 STATE, ARTIFACTS = "state", ("_debug_and_logs", "qa", "")
 
@@ -43,14 +46,36 @@ def guard_run(spark: SparkSession, output: str, backend: str, preset: str) -> No
         write_text(spark, f"{output}/{STATE}/run.json", json.dumps({"version": 1, "backend": backend, "preset": preset}))
 
 
+#: Folders of an output that hold one folder for each run.
+PER_RUN = (f"{STATE}/completed", f"{STATE}/scan", f"{STATE}/annotations", f"{STATE}/objects", *(f"_debug_and_logs/reports/{r}.csv" for r in ("objects", "review_queue", "failures")))
+
+
+def ended_runs(spark: SparkSession, output: str) -> list[str]:
+    at = f"{output}/{STATE}/completed"
+    return [r for r in children(spark, at) if exists(spark, f"{at}/{r}/_SUCCESS")]
+
+
+def begin(spark: SparkSession, output: str) -> str:
+    """A new run's id. What runs that never ended have left is deleted first, so that no row is ever reported twice."""
+    ended = set(ended_runs(spark, output))
+    for folder in PER_RUN:
+        for run in children(spark, f"{output}/{folder}"):
+            if run.startswith("run-") and run not in ended:
+                delete(spark, f"{output}/{folder}/{run}")
+    return f"run-{uuid.uuid4().hex}"
+
+
+COMPLETED = "relative_image string, objects long, mean_quality double, review long"
+
+
 def completed(spark: SparkSession, output: str) -> DataFrame:
-    path = f"{output}/{STATE}/completed"
-    schema = "relative_image string, objects long, mean_quality double, review long"
-    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+    paths = [literal(f"{output}/{STATE}/completed/{r}") for r in ended_runs(spark, output)]
+    return spark.read.schema(COMPLETED).parquet(*paths) if paths else spark.createDataFrame([], COMPLETED)
 
 
-def mark_completed(rows: DataFrame, output: str) -> None:
-    rows.select("relative_image", "objects", "mean_quality", "review").write.mode("append").parquet(f"{output}/{STATE}/completed")
+def mark_completed(rows: DataFrame, output: str, run: str) -> None:
+    """Ends a run: the last thing that it writes."""
+    rows.select("relative_image", "objects", "mean_quality", "review").write.mode("overwrite").parquet(f"{output}/{STATE}/completed/{run}")
 
 
 def free_output(spark: SparkSession, path: str) -> str:
@@ -70,6 +95,32 @@ def artifact_dir(spark: SparkSession, output: str, name: str) -> str | None:
     return None
 
 
+class Steering:
+    """Lets another thread pause or stop a conversion, and follow it."""
+
+    def __init__(self):
+        self._stop, self._go, self.done, self.total = threading.Event(), threading.Event(), 0, 0
+        self._go.set()
+
+    def stop(self) -> None:
+        """No further round begins; one that runs ends, unless its jobs are cancelled too."""
+        self._stop.set()
+        self._go.set()
+
+    def toggle_pause(self) -> bool:
+        """Whether it is paused now."""
+        if self._go.is_set():
+            self._go.clear()
+        else:
+            self._go.set()
+        return not self._go.is_set()
+
+    def stopped(self) -> bool:
+        """Waits while paused; whether to stop."""
+        self._go.wait()
+        return self._stop.is_set()
+
+
 @contextlib.contextmanager
 def cancellable(spark: SparkSession, group: str) -> Iterator[None]:
     """Jobs started inside can be stopped together from another thread: spark.sparkContext.cancelJobGroup(group)."""

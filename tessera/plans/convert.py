@@ -13,7 +13,7 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera import schema as S
@@ -22,8 +22,8 @@ from tessera.functions import raster as R
 from tessera.operators import backends, profiles, report, scoring
 from tessera.operators.backends import Candidate
 from tessera.operators.polygons import as_points
+from tessera.sources import files
 from tessera.sources.decode import grey, pixels
-from tessera.sources.images import Dataset
 
 
 @dataclass(frozen=True)
@@ -35,6 +35,8 @@ class Settings:
     min_fidelity: float = S.MIN_FIDELITY
     save_masks: bool = False
     save_overlays: bool = False
+    save_comparisons: bool = False
+    save_previews: bool = False
     copy_images: bool = False
 
 
@@ -114,21 +116,27 @@ OUT = pa.schema([("relative_image", pa.string()), ("width", pa.int32()), ("heigh
 OUT_DDL = "relative_image string, width int, height int, instance_index int, class_id int, source_kind string, prompt string, sam_score double, stability double, edge_alignment double, leakage double, fragmentation double, fidelity double, quality double, parts int, holes int, points int, lost int, rings array<array<struct<x:double,y:double>>>, error_type string, error string, traceback string"
 
 
-def class_profiles(data: Dataset, overrides: dict[int, dict] | None = None) -> dict[int, dict]:
-    """Profiles of the classes in use: one small row each, collected for the kernels."""
-    boxes = data.annotations.select("class_id", "bbox.*")
+def class_profiles(annotations: DataFrame, overrides: dict[int, dict] | None = None) -> dict[int, dict]:
+    """Profiles of the classes in use: one small row each, collected for the kernels. annotations: class_id, bbox."""
+    boxes = annotations.select("class_id", "bbox.*")
     derived = profiles.derived(profiles.class_stats(boxes))
     rows = {r.class_id: {k: r[k] for k in profiles.FIELDS} for r in derived.collect()}
     return {c: {"max_parts": 0} | p | (overrides or {}).get(c, {}) for c, p in rows.items()}
 
 
-def refine(spark: SparkSession, data: Dataset, files: DataFrame, settings: Settings, overrides: dict[int, dict] | None = None) -> DataFrame:
-    """Objects of all convertible images (rows with an error stand for failed images). files: path relative to the root, content."""
-    known = class_profiles(data, overrides)
+#: Images in a task of the conversion.
+IMAGES_PER_TASK = 32
+
+
+def refine(images: DataFrame, annotations: DataFrame, folder_uri: str, known: dict[int, dict], settings: Settings, n_images: int) -> DataFrame:
+    """Objects of all images that have annotations (rows with an error stand for failed images).
+
+    Tasks get paths and annotations; an image's pixels are read where it is converted.
+    """
     default = S.DEFAULT_PROFILE | {"max_parts": 0}
-    good = data.images.join(data.issues.where("relative_image is not null").select("relative_image"), "relative_image", "left_anti")
-    per = data.annotations.groupBy("relative_image").agg(F.sort_array(F.collect_list(F.struct("instance_index", "class_id", "kind", "bbox", "polygon"))).alias("annotations"))
-    rows = good.select("relative_image", "width", "height").join(per, "relative_image").join(files.withColumnRenamed("path", "relative_image"), "relative_image")
+    per = annotations.groupBy("relative_image").agg(F.sort_array(F.collect_list(F.struct("instance_index", "class_id", "kind", "bbox", "polygon"))).alias("annotations"))
+    n_tasks = max(images.sparkSession.sparkContext.defaultParallelism, -(-n_images // IMAGES_PER_TASK))
+    rows = images.select("relative_image", "width", "height").join(per, "relative_image").repartition(n_tasks, "relative_image")
     name, preset = settings.backend, settings.preset
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +148,7 @@ def refine(spark: SparkSession, data: Dataset, files: DataFrame, settings: Setti
                     backend.load()
                 base = {k: row[k] for k in ("relative_image", "width", "height")}
                 try:
-                    rgb = pixels(row["content"])
+                    rgb = pixels(files.read(f"{folder_uri}/{row['relative_image']}"))
                     backend.set_image(rgb)
                     edges = R.edge_map(grey(rgb))
                     out = [base | {"instance_index": a["instance_index"], "class_id": a["class_id"], "source_kind": a["kind"]} | refined(a, known.get(a["class_id"], default), backend, preset, edges) for a in row["annotations"]]
@@ -150,16 +158,16 @@ def refine(spark: SparkSession, data: Dataset, files: DataFrame, settings: Setti
                     backend.close_image()
                 yield pa.RecordBatch.from_pylist(out, OUT)
 
-    return rows.select("relative_image", "width", "height", "annotations", "content").mapInArrow(run, OUT_DDL)
+    return rows.select("relative_image", "width", "height", "annotations").mapInArrow(run, OUT_DDL)
 
 
 def triaged(objects: DataFrame, known: dict[int, dict], settings: Settings) -> DataFrame:
     """Adds warnings and state to refined objects; errors are left out."""
-    limit = F.lit(S.DEFAULT_PROFILE["max_leakage"])
-    for c, p in known.items():
-        limit = F.when(F.col("class_id") == c, p["max_leakage"]).otherwise(limit)
-    good = objects.where("error is null")
-    return good.withColumn("warnings", scoring.warnings(scoring.percent(F.col("fidelity")), limit, settings.review, settings.min_fidelity, F.col("lost"))).withColumn("state", scoring.state(settings.accept, settings.review, settings.min_fidelity))
+    limits = objects.sparkSession.createDataFrame([(c, float(p["max_leakage"])) for c, p in known.items()], "class_id int, max_leakage double")
+    good = objects.where("error is null").join(F.broadcast(limits), "class_id", "left")  # one row for each class in use
+    limit = F.coalesce("max_leakage", F.lit(S.DEFAULT_PROFILE["max_leakage"]))
+    warnings = scoring.warnings(scoring.percent(F.col("fidelity")), limit, settings.review, settings.min_fidelity, F.col("lost"))
+    return good.withColumn("warnings", warnings).withColumn("state", scoring.state(settings.accept, settings.review, settings.min_fidelity)).drop("max_leakage")
 
 
 def report_rows(objects: DataFrame, names: DataFrame) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Image datasets as DataFrames: enumeration, header sizes without decoding, labels, issues."""
+"""Image datasets as DataFrames: enumeration, header sizes without decoding, labels, issues.
+
+A folder is listed by Spark; what has to be read of a file is read where its row is, by path.
+"""
 
 from __future__ import annotations
 
@@ -12,11 +15,13 @@ from pyspark.sql import functions as F
 from tessera import schema as S
 from tessera.functions import labels as L
 from tessera.operators.dataset import lines_of
+from tessera.sources import files
+from tessera.sources.files import Folder
 
 
-def image_listing(files: DataFrame, path: str = "path") -> DataFrame:
+def image_listing(listed: DataFrame, path: str = "path") -> DataFrame:
     """Files with an image suffix: those below an images/ folder outside of output folders, if there are any, else all; distinct, by path."""
-    pics = files.where(F.lower(F.col(path)).rlike(r"\.(" + "|".join(S.SUFFIXES) + ")$"))
+    pics = listed.where(F.lower(F.col(path)).rlike(r"\.(" + "|".join(S.SUFFIXES) + ")$"))
     folders = F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1)
     depth = F.array_position(folders, "images")
     above = F.slice(folders, 1, F.greatest(depth.cast("int") - 1, F.lit(0)))
@@ -69,15 +74,37 @@ def image_size(data: bytes) -> tuple[int, int] | None:
     return None
 
 
-def with_size(files: DataFrame) -> DataFrame:
-    """path, width, height of binary files; nulls where the header can't be read."""
+#: Bytes of a file that are read for its size; if they don't hold it, the whole file is.
+HEADER = 1 << 16
+#: Images in a task that reads headers and labels.
+IMAGES_PER_TASK = 500
+
+
+def described(images: DataFrame, folder: Folder) -> DataFrame:
+    """path, width, height, label (the first candidate that exists, else the first) and content (null without a label).
+
+    images: path, candidates. Headers and labels are read by path, so no image is read whole and nothing is joined.
+    """
+    uri, top = folder.uri, folder.top
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes = [image_size(x or b"") or (None, None) for x in b.column("content").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array([s[0] for s in sizes], pa.int32()), pa.array([s[1] for s in sizes], pa.int32())], names=["path", "width", "height"])
+            out = []
+            for path, candidates in zip(b.column("path").to_pylist(), b.column("candidates").to_pylist(), strict=True):
+                try:
+                    size = image_size(files.read(f"{uri}/{path}", HEADER)) or image_size(files.read(f"{uri}/{path}"))
+                except OSError:
+                    size = None
+                inside = [c for c in candidates if c.startswith(top + "/")]
+                label = next((c for c in inside if files.is_file(uri + c[len(top) :])), None)
+                content = None if label is None else files.read(uri + label[len(top) :])
+                out.append((path, *(size or (None, None)), label or candidates[0], content))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, DESCRIBED.types, strict=True)], names=DESCRIBED.names)
 
-    return files.select("path", "content").mapInArrow(run, "path string, width int, height int")
+    return images.select("path", "candidates").mapInArrow(run, "path string, width int, height int, label string, content binary")
+
+
+DESCRIBED = pa.schema([("path", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("label", pa.string()), ("content", pa.binary())])
 
 
 class Dataset:
@@ -87,41 +114,45 @@ class Dataset:
         self.images, self.annotations, self.issues, self.names = images, annotations, issues, names
 
 
-def scan(spark: SparkSession, root: str) -> Dataset:
-    """Scans a folder that Spark can read. A missing folder is an error; an unreadable image is an issue of the dataset."""
+def scan(spark: SparkSession, root: str, only: DataFrame | None = None, keep: str | None = None) -> Dataset:
+    """Scans a folder that Spark can read. A missing folder is an error, as is the output of a conversion; an unreadable image is an issue of the dataset.
+
+    only: a table of relative_image to restrict the scan to. keep: where to write what is read of images and labels,
+    as a Parquet table; without it every use of the result reads the folder again.
+    """
     from pyspark.sql import Window
 
+    from tessera.operators.control import generated_marker
     from tessera.sources.names import class_names
 
-    root = root.rstrip("/")
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop) or not fs.getFileStatus(hadoop).isDirectory():
-        raise FileNotFoundError(root)
-    full = fs.resolvePath(hadoop).toString()
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    names = files.select("path").withColumn("path", F.regexp_replace("path", "^[a-z]+:/+", "/"))
-    top = "/" + full.split(":", 1)[-1].strip("/") if ":" in full else full.rstrip("/")
-    relative = names.select(F.expr(f"substring(path, {len(top) + 2})").alias("path"))
-    pics = image_listing(relative)
-    sized = with_size(files.withColumn("path", F.expr(f"substring(regexp_replace(path, '^[a-z]+:/+', '/'), {len(top) + 2})")).join(pics, "path", "left_semi"))
-    broken = sized.where("width is null")
-    good = sized.where("width is not null")
-    wanted = good.select(F.col("path").alias("relative_image"), "width", "height", F.posexplode(L.label_candidates(F.concat(F.lit(top + "/"), F.col("path")), F.lit(top))).alias("o", "candidate"))
-    text = files.where(F.col("path").endswith(".txt")).select(F.regexp_replace("path", "^[a-z]+:/+", "/").alias("candidate"), "content")
-    found = wanted.join(text.withColumn("there", F.lit(True)), "candidate", "left")
-    pick = found.groupBy("relative_image", "width", "height").agg(F.min_by(F.struct("candidate", "content", "there"), F.struct(F.col("there").isNull().alias("missing"), "o")).alias("p"))
-    images = pick.select("relative_image", "width", "height", F.concat(F.lit(top + "/"), "relative_image").alias("image_path"), F.col("p.candidate").alias("label_path"), F.coalesce("p.there", F.lit(False)).alias("labelled"), F.col("p.content").alias("content"))
+    folder = Folder(spark, root)
+    if marker := generated_marker(spark, folder.uri):
+        raise ValueError(f"{root} lies in {marker}, the output of a conversion")
+    top = folder.top
+    pics = image_listing(folder.listing())
+    if only is not None:
+        pics = pics.join(only.select(F.col("relative_image").alias("path")), "path", "left_semi")
+    pics = pics.withColumn("candidates", L.label_candidates(F.concat(F.lit(top + "/"), F.col("path")), F.lit(top)))
+    n_tasks = max(spark.sparkContext.defaultParallelism, -(-pics.count() // IMAGES_PER_TASK))
+    found = described(pics.repartition(n_tasks, "path"), folder)
+    if keep:
+        found.write.mode("overwrite").parquet(keep)
+        found = spark.read.schema(found.schema).parquet(files.literal(keep))
+    broken = found.where("width is null")
+    images = found.where("width is not null").select(F.col("path").alias("relative_image"), "width", "height", F.concat(F.lit(top + "/"), "path").alias("image_path"), F.col("label").alias("label_path"), F.col("content").isNotNull().alias("labelled"), "content")
     readable = F.expr("is_valid_utf8(content)")
     lines = images.where(F.col("labelled") & readable).select("relative_image", "width", "height", F.posexplode(lines_of(F.col("content").cast("string"))).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
     rows = L.parsed(lines)
     order = Window.partitionBy("relative_image").orderBy("line_no")
-    annotations = rows.where("valid").withColumn("instance_index", (F.row_number().over(order) - 1).cast("int")).select("relative_image", "width", "height", "instance_index", "class_id", "kind", "bbox", "polygon", F.trim("line").alias("source_line"))
+    index = (F.row_number().over(order) - 1).cast("int")
+    columns = ["relative_image", "width", "height", "instance_index", "class_id", "kind", "bbox", "polygon"]
+    annotations = rows.where("valid").withColumn("instance_index", index).select(*columns, F.trim("line").alias("source_line"))
+    name = F.regexp_extract("path", "[^/]+$", 0)
     issues = (
-        broken.select(F.lit(None).cast("string").alias("relative_image"), F.lit(0).alias("line_no"), F.concat(F.lit("Cannot open "), F.regexp_extract("path", "[^/]+$", 0), F.lit(": unreadable header")).alias("issue"))
+        broken.select(F.lit(None).cast("string").alias("relative_image"), F.lit(0).alias("line_no"), F.concat(F.lit("Cannot open "), name, F.lit(": unreadable header")).alias("issue"))
         .unionByName(rows.where("issue is not null").select("relative_image", "line_no", F.concat(F.lit("Line "), F.col("line_no").cast("string"), F.lit(": "), "issue").alias("issue")))
         .unionByName(images.where(F.col("labelled") & ~readable).select("relative_image", F.lit(0).alias("line_no"), F.lit("Cannot read label file: not UTF-8").alias("issue")))
     )
-    if pics.isEmpty():
+    if found.isEmpty():
         issues = spark.createDataFrame([(None, 0, "No supported images were found.")], "relative_image string, line_no int, issue string")
     return Dataset(images.drop("content"), annotations, issues, class_names(spark, root))

@@ -13,15 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from tessera.sources.files import literal
+
 
 class FilesWriter(DataSourceWriter):
     def __init__(self, root: str):
         self.root = root
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
-        from pyarrow import fs
+        from tessera.sources.files import place
 
-        system, base = fs.FileSystem.from_uri(self.root)
+        system, base = place(self.root)
         for path, content in rows:
             target = f"{base}/{path}"
             system.create_dir(target.rsplit("/", 1)[0], recursive=True)
@@ -58,15 +60,18 @@ def label_files(images: DataFrame, lines: DataFrame) -> DataFrame:
     return images.select("label").join(text, "label", "left").select(F.col("label").alias("path"), F.coalesce("t", F.lit("")).cast("binary").alias("content"))
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    """A report as CSV with a header; an existing report must have the same columns."""
+def write_csv(rows: DataFrame, path: str, part: str = "") -> None:
+    """A report as CSV with a header; an existing report must have the same columns. part: a folder in it that is written anew."""
     spark = rows.sparkSession
     check_header(spark, path, rows.columns)
-    rows.write.mode("append").option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    at = f"{path}/{part}" if part else path
+    rows.write.mode("overwrite" if part else "append").option("header", True).option("escape", '"').option("quoteAll", True).csv(at)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema(schema).csv(path)
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("recursiveFileLookup", True).schema(schema).csv(literal(path))
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -74,9 +79,21 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it isn't there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in system.listStatus(p)] if system.exists(p) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def check_header(spark: SparkSession, path: str, columns: list[str]) -> None:
-    if exists(spark, path):
-        found = spark.read.option("header", True).csv(path).columns
+    if children(spark, path):
+        found = spark.read.option("header", True).option("recursiveFileLookup", True).csv(literal(path)).columns
         if found and found != columns:
             raise RuntimeError(f"{path} has other columns: {found}")
 
@@ -96,7 +113,7 @@ def write_text(spark: SparkSession, path: str, text: str, keep: bool = False) ->
 def read_text(spark: SparkSession, path: str) -> str | None:
     if not exists(spark, path):
         return None
-    rows = spark.read.text(path, wholetext=True).collect()
+    rows = spark.read.text(literal(path), wholetext=True).collect()
     return rows[0][0] if rows else ""
 
 

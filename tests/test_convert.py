@@ -1,6 +1,7 @@
 """Folder to dataset and back: scan, convert, resume, guard, stream."""
 
 import json
+import shutil
 
 import numpy as np
 import pytest
@@ -48,9 +49,77 @@ def test_scan(spark, folder):
 def test_names(spark, tmp_path):
     (tmp_path / "classes.txt").write_text("one\n\ntwo\n")
     assert class_names(spark, str(tmp_path)) == {0: "one", 1: "two"}
-    (tmp_path / "z.yaml").write_text("names: {0: x, 3: y}\n")
+    (tmp_path / "z.YAML").write_text("names: {0: x, 3: y}\n")
     (tmp_path / "a.yaml").write_text("names: [\n")
+    (tmp_path / "b.yml").write_text("names: {first: x}\n")
     assert class_names(spark, str(tmp_path)) == {0: "x", 3: "y"}
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/data.yaml").write_text("names: [nested]\n")
+    assert class_names(spark, str(tmp_path)) == {0: "nested"}
+    (tmp_path / "dataset.yaml").write_text("names: [root]\n")
+    assert class_names(spark, str(tmp_path)) == {0: "root"}
+    (tmp_path / "data.yaml").write_text("names: [first]\n")
+    assert class_names(spark, str(tmp_path)) == {0: "first"}
+
+
+@pytest.mark.parametrize("name", ["data/x/data", "set(1)", "a+b", "x[1]{2}", "a b%41", "q?*"])
+def test_any_root(spark, folder, tmp_path, name):
+    """Roots whose last name stands earlier in the path, or holds characters that patterns and URIs give a meaning."""
+    root, out = tmp_path / "in" / name, tmp_path / "out" / name
+    shutil.copytree(folder, root)
+    (root / "images/train/a.png").rename(root / "images/train/a %41[1].png")
+    (root / "labels/train/a.txt").rename(root / "labels/train/a %41[1].txt")
+    summary = convert(spark, str(root), str(out), Settings(copy_images=True))
+    assert (summary["images"], summary["processed_object_rows"], summary["failed_images"]) == (4, 3, 1)
+    assert len((out / "dataset/labels/train/a %41[1].txt").read_text().splitlines()) == 2 and (out / "dataset/images/train/a %41[1].png").exists()
+    assert control.completed(spark, str(out)).where("objects > 0").count() == 2
+    again = convert(spark, str(root), str(out))
+    assert (again["processed_object_rows"], again["failed_images"]) == (3, 1)
+
+
+def test_a_run_that_never_ended_leaves_no_rows(spark, folder, tmp_path, monkeypatch):
+    out = str(tmp_path / "out")
+
+    def lost(*_):
+        raise OSError("the machine went away")
+
+    with monkeypatch.context() as m:
+        m.setattr(control, "mark_completed", lost)
+        with pytest.raises(OSError):
+            convert(spark, str(folder), out)
+    assert list((tmp_path / "out/_debug_and_logs/reports/objects.csv").iterdir())
+    assert convert(spark, str(folder), out)["processed_object_rows"] == 3
+    assert convert(spark, str(folder), out)["processed_object_rows"] == 3
+
+
+def test_an_image_without_a_result_is_a_failure(spark, folder, tmp_path, monkeypatch):
+    from tessera.plans import convert as plan
+
+    refine = plan.refine
+    monkeypatch.setattr(plan, "refine", lambda *a: refine(*a).where("relative_image not like '%c.png'"))
+    summary = convert(spark, str(folder), str(tmp_path / "out"))
+    assert (summary["processed_object_rows"], summary["failed_images"]) == (2, 2)
+    monkeypatch.undo()
+    summary = convert(spark, str(folder), str(tmp_path / "out"))
+    assert (summary["processed_object_rows"], summary["failed_images"]) == (3, 1)
+
+
+def test_rounds_can_be_stopped_and_taken_up(spark, folder, tmp_path):
+    steering, out = control.Steering(), str(tmp_path / "out")
+    assert steering.toggle_pause() and not steering.toggle_pause()
+    steering.stop()
+    stopped = convert(spark, str(folder), out, steering=steering)
+    assert stopped["processed_object_rows"] == 0 and (steering.done, steering.total) == (0, 4)
+    steering = control.Steering()
+    assert convert(spark, str(folder), out, steering=steering, round_images=1)["processed_object_rows"] == 3
+    assert steering.done == steering.total == 4
+
+
+def test_outputs_are_no_sources(spark, folder, tmp_path):
+    convert(spark, str(folder), str(tmp_path / "out"), Settings(copy_images=True, save_comparisons=True, save_previews=True))
+    assert len(list((tmp_path / "out/_debug_and_logs/comparisons").rglob("*.png"))) == 2
+    with pytest.raises(ValueError, match="output of a conversion"):
+        I.scan(spark, str(tmp_path / "out/dataset"))
 
 
 def test_convert_resume_and_guards(spark, folder, tmp_path):
