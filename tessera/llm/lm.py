@@ -50,7 +50,7 @@ ROWS = OWN_ROWS + HASHED_ROWS
 SLOTS = 1 << 21
 ROUNDS, BATCH, RATE = 2, 2048, 0.1
 #: Words of which a worker sends counts at once.
-COUNTED = 1 << 21
+COUNTED = 1 << 19
 #: Parameters in a row of an exchange, and the fixed point of logarithms that are summed in a shuffle.
 CHUNK, FIXED = 1 << 13, float(1 << 32)
 #: Least logit of a node's outcome, so that products of a path stay in range.
