@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm import kernels as K
-from tessera.llm.exchange import Exchange, distinct, read
+from tessera.llm.exchange import Exchange, Question, distinct, divided, read, together
 
 WINDOW = 35
 
@@ -59,50 +59,48 @@ class Group:
         return a, b, *distinct(a, b)
 
 
-def probe_question(window: int, bits: int):
-    def question(docs: pa.Table, _):
+def probes(window: int, bits: int) -> Question:
+    """Which of a group's rolling windows of a block's length occur again and are a block somewhere."""
+    shift = 64 - bits
+
+    def ask(docs: pa.Table, _):
         g = Group(docs, window)
         keys, rank, _, is_block = g.probes()
         many = np.bincount(rank, minlength=len(keys)) > 1
         block = np.zeros(len(keys), bool)
         block[rank[is_block]] = True
-        return keys, [keys >> np.uint64(64 - bits), (many + 2 * block).astype(np.uint8)]
+        return keys, [keys >> np.uint64(shift), (many + 2 * block).astype(np.uint8)], None
 
-    question.kinds = [np.uint64, np.uint8]
-    return question
+    def answer(groups: list) -> list[list[np.ndarray]]:
+        """Hit: some document has the block, and it occurs more than once."""
+        keys, flags = together(groups)
+        first, rank = distinct(keys)
+        n = np.bincount(rank, weights=1.0 + (flags & 1), minlength=len(first))
+        block = np.bincount(rank, weights=flags >> 1, minlength=len(first))
+        return divided([((n > 1) & (block > 0))[rank].astype(np.uint8)], groups)
 
+    return Question(ask, [np.uint64, np.uint8], answer, [np.uint8], shift)
 
-def probe_answer(groups: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
-    """Hit: some document has the block, and it occurs more than once."""
-    keys, flags = (np.concatenate(c) for c in zip(*groups, strict=True))
-    first, rank = distinct(keys)
-    n = np.bincount(rank, weights=1.0 + (flags & 1), minlength=len(first))
-    block = np.bincount(rank, weights=flags >> 1, minlength=len(first))
-    hit = ((n > 1) & (block > 0))[rank].astype(np.uint8)
-    ends = np.cumsum([len(g[0]) for g in groups])[:-1]
-    return [[x] for x in np.split(hit, ends)]
 
+def repeats(window: int) -> Question:
+    """Which of the windows around hit blocks occur again."""
 
-def window_question(window: int):
-    def question(docs: pa.Table, replies: dict):
+    def ask(docs: pa.Table, replies: dict):
         g = Group(docs, window)
         keys, rank, starts, is_block = g.probes()
         (hit,) = read(replies.get(0, []), [np.uint8], len(keys))
         at = g.candidates(hit > 0, rank, starts, is_block)
         a, b, first, rank = g.windows(at)
         many = np.bincount(rank, minlength=len(first)) > 1
-        return a[first], [a[first], b[first], many.astype(np.uint8)]
-
-    question.kinds = [np.uint64, np.uint32, np.uint8]
-    return question
+        return a[first], [a[first], b[first], many.astype(np.uint8)], None
 
+    def answer(groups: list) -> list[list[np.ndarray]]:
+        a, b, many = together(groups)
+        first, rank = distinct(a, b)
+        n = np.bincount(rank, weights=1.0 + many, minlength=len(first))
+        return divided([(n > 1)[rank].astype(np.uint8)], groups)
 
-def window_answer(groups: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
-    a, b, many = (np.concatenate(c) for c in zip(*groups, strict=True))
-    first, rank = distinct(a, b)
-    n = np.bincount(rank, weights=1.0 + many, minlength=len(first))
-    again = (n > 1)[rank].astype(np.uint8)
-    return [[x] for x in np.split(again, np.cumsum([len(g[0]) for g in groups])[:-1])]
+    return Question(ask, [np.uint64, np.uint32, np.uint8], answer, [np.uint8])
 
 
 def removed_words(docs: pa.Table, replies: dict, window: int) -> tuple[K.Words, np.ndarray]:
@@ -115,11 +113,11 @@ def removed_words(docs: pa.Table, replies: dict, window: int) -> tuple[K.Words,
     return g.words, K.covered(len(g.words), at[again[rank] > 0], window)
 
 
-def remove_repeats(docs: DataFrame, result, schema: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """result(docs, words, removed) for each group of documents: `removed` flags the words that a repeated window covers."""
-    ex = Exchange(docs, id_col, text_col)
-    ex.ask(0, probe_question(window, ex.bits), probe_answer)
-    ex.ask(1, window_question(window), window_answer)
+def remove_repeats(docs: DataFrame, result, schema: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", **sizes) -> DataFrame:
+    """result(docs, words, removed) for each group of documents: `removed` flags the words that a repeated window covers. sizes: of groups, parts and blocks."""
+    ex = Exchange(docs, id_col, text_col, **sizes)
+    ex.ask(0, probes(window, ex.bits))
+    ex.ask(1, repeats(window))
     return ex.finish(lambda docs, replies: result(docs, *removed_words(docs, replies, window)), schema)
 
 
@@ -138,9 +136,9 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     return remove_repeats(docs, lambda d, w, r: pa.table([d.column("doc_id"), pa.array([k.decode() for k in kept_words(d, w, r)], pa.string())], names=["doc_id", "text"]), "doc_id long, text string", window, id_col, text_col)
 
 
-def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def digest(docs: DataFrame, window: int = WINDOW, **sizes) -> DataFrame:
     def result(table: pa.Table, words: K.Words, removed: np.ndarray) -> pa.Table:
         shas = [hashlib.sha256(k).hexdigest() for k in kept_words(table, words, removed)]
         return pa.table([table.column("doc_id"), pa.array(words.counts(), pa.int64()), pa.array(K.per_doc(removed, words.first), pa.int64()), pa.array(shas, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return remove_repeats(docs, result, "doc_id long, n_words long, n_removed long, kept_sha256 string", window)
+    return remove_repeats(docs, result, "doc_id long, n_words long, n_removed long, kept_sha256 string", window, **sizes)

@@ -103,6 +103,49 @@ def test_anchors(docs, rows, empty):
     assert {i: hashlib.sha256(left[i].encode()).hexdigest() for i, *_ in want} == {i: s for i, _, _, s in want}
 
 
+#: Sizes of groups, parts, blocks and relays that make an exchange go by way of relays.
+RELAYS = {"group_bytes": 4000, "part_bytes": 6000, "block_bytes": 1 << 20, "relay_bytes": 12_000}
+
+
+def test_exchange_by_way_of_relays(docs, empty):
+    """The same results whether groups ask parts themselves or relays do."""
+    from tessera.llm.exchange import Exchange
+
+    ex = Exchange(docs, "doc_id", "text", **RELAYS)
+    assert ex.n_coarse > 1 and ex.n_relays > 1 and Exchange(docs, "doc_id", "text").n_coarse == 0
+    assert collected(anchors.digest(docs, **RELAYS)) == collected(anchors.digest(docs))
+    assert collected(parsing.digest(docs, **RELAYS)) == collected(parsing.digest(docs))
+    assert collected(parsing.digest(docs, hot=1, **RELAYS)) == collected(parsing.digest(docs, hot=3)) == collected(parsing.digest(docs))
+    assert anchors.digest(empty, **RELAYS).count() == parsing.digest(empty, **RELAYS).count() == 0
+
+
+def test_suffix_array():
+    rng = random.Random(11)
+    for window in (3, 8, 13, 50):
+        text = bytes(rng.choice(b"ab\0\xff") for _ in range(400)) + b"ab" * 60
+        starts = np.array(sorted(rng.sample(range(len(text) - window + 1), 200)))
+        order, same = parsing.suffix_array(np.frombuffer(text, np.uint8), starts, window)
+        own = [text[s : s + window] for s in starts[order]]
+        assert own == sorted(own) and same.tolist() == [k > 0 and own[k] == own[k - 1] for k in range(200)]
+
+
+def test_triggers_are_the_last_least_hashes():
+    import pyarrow as pa
+
+    rng = random.Random(13)
+    texts = ["".join(rng.choices("ab", k=n)) for n in (10, 60, 300, 900)] + ["ab" * 200, "x" * 120, ""]
+    g = parsing.Group(pa.table({"doc_id": range(len(texts)), "text": texts}), 20, 6, 9)
+    grams = g.all_hashed(6)
+    want, at = [], 0
+    for t in texts:
+        for s in range(at, at + len(t) - 19):
+            own = grams[s : s + 15]
+            want.append((s, s + max(k for k in range(15) if own[k] == own.min())))
+        at += len(t)
+    got = [(s, t) for t, a, b in zip(g.trigger.tolist(), g.lo.tolist(), g.hi.tolist(), strict=True) for s in range(a, b + 1)]
+    assert got == want
+
+
 @pytest.mark.parametrize("window", [3, 8, 35])
 def test_anchors_of_other_windows(docs, rows, window):
     w = [WORD.findall(t or "") for _, t in rows]
@@ -510,13 +553,13 @@ def test_anchors_of_shared_heads_in_any_order(spark):
     assert collected(anchors.digest(docs).select("doc_id", "n_removed")) == expected(want)
     table = pa.table({"doc_id": pa.array([*range(len(texts)), None, None], pa.int64()), "text": [*texts, None, texts[3]]})
     whole = exchange.in_order(table)
-    asked = anchors.probe_question(35, 64)(whole, {})
-    hits = [exchange.pack(b) for b in anchors.probe_answer([asked[1]])]
+    first, second = anchors.probes(35, 64), anchors.repeats(35)
+    hits = [exchange.pack(b) for b in first.answer([first.ask(whole, {})[1:]])]
     results = set()
     for _ in range(20):
         mixed = exchange.in_order(table.take(pa.array(rng.sample(range(table.num_rows), table.num_rows))))
-        keys, (a, b, many) = anchors.window_question(35)(mixed, {0: hits})
-        again = [exchange.pack(x) for x in anchors.window_answer([[a, b, many]])]
+        keys, *asked = second.ask(mixed, {0: hits})
+        again = [exchange.pack(x) for x in second.answer([asked])]
         words, gone = anchors.removed_words(exchange.in_order(mixed.take(pa.array(range(table.num_rows)[::-1]))), {0: hits, 1: again}, 35)
         results.add((tuple(keys.tolist()), tuple(gone.tolist())))
         assert anchors.K.per_doc(gone, words.first).tolist()[: len(texts)] == [n if k != 3 else max(n, len(w[3])) for k, (_, n) in enumerate(want)]
