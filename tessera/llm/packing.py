@@ -8,7 +8,8 @@ and the remainder is cut at powers of two, which need no padding. A partition th
 padding, needs no shuffle, and a lost executor's partition packs again to the same result.
 
 Defined results: null and empty texts are their end id alone; null ids pass through; repeated rows
-are packed one by one; an empty table gives no pieces.
+are packed one by one; very long texts are encoded whole, in a slice of their own; other columns aren't
+read; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from tessera.llm import kernels as K
 from tessera.llm.frames import arrow_rows, bounded
 
 WINDOW = 4096
-#: Open windows that a worker holds; beyond it the fullest are emptied.
-OPEN = 2048
+#: Open windows that a worker holds (8 KB each, of ids below 2**16); beyond it the fullest are emptied.
+OPEN = 8192
 #: Words whose ids a worker remembers from one slice to the next; a slice of more words has them all in its table.
 REMEMBERED = 1_000_000
 #: Words that are encoded in one call.
@@ -148,7 +149,8 @@ class Packer:
             self.emit([(doc, start, ids[start : start + self.window], total)])
             start += self.window
         if start < total:
-            self.place((doc, start, ids[start:].copy(), total))
+            small = len(ids) == 0 or int(ids.max()) < 1 << 16
+            self.place((doc, start, ids[start:].astype(np.uint16 if small else np.uint32), total))
 
     def place(self, piece: tuple) -> None:
         size, n, c = len(piece[2]), self.window, self.count
