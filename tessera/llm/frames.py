@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -56,25 +59,58 @@ def map_text(docs: DataFrame, id_col: str, text_col: str, kernel: Callable[[pa.R
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *also).mapInArrow(run, schema)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The same columns as c0, c1 ...: whatever names a table has, they neither clash with ours nor read as paths."""
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+
+
+def number_of(docs: DataFrame, column: str) -> str:
+    """The name of a column in numbered(docs)."""
+    return f"c{docs.columns.index(column)}"
+
+
+@functools.cache
+def _own_dir() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='tessera-')}"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests), one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session (tests) gets one of its own; a cluster must name one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
+    if at:
+        return at
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return _own_dir()
+
+
+#: Lists of the tables that were written inside of tidy(), innermost last.
+_SCOPES: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the scratch tables that were written inside. Results must have been written elsewhere by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        discard(spark, _SCOPES.pop())
 
 
 def written(df: DataFrame, scratch: list[str] | None = None) -> DataFrame:
     """The rows of df as a Parquet table in the shared folder: lineage ends there, and a lost executor costs no recomputation.
 
-    The path is added to `scratch`, for discard() once nothing reads the table any more.
+    The path is added to `scratch`, for discard() once nothing reads the table any more. Tables that a result
+    reads stay until tidy() ends, or as long as the folder.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if scratch is not None:
         scratch.append(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -100,6 +136,5 @@ BROADCAST_ROWS = 1_000_000
 
 
 def without(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    """Rows whose `column` isn't among keys (a table of that one column); keys are broadcast only if they are few enough."""
-    keys = written(keys.distinct())
+    """Rows whose `column` isn't among keys (a written table of that one column); keys are broadcast only if they are few enough."""
     return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, column, "left_anti")

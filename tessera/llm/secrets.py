@@ -1,14 +1,18 @@
 """Secret scans with a worklist of decoded layers.
 
-A text is the first layer. Percent escapes and Unicode escapes are decoded in place, base64 runs
-(and compressed data in them) become layers of their own; each new layer goes on the worklist and
-is scanned and decoded like the first until nothing new appears. A text is decoded once in a document,
-so cycles end, but what it holds is reported at every place where it stands. Every layer knows which
+A text is the first layer. Percent escapes, and Unicode escapes and character entities, are decoded in
+place, base64 runs (and compressed data in them) become layers of their own; each new layer goes on the
+worklist and is scanned and decoded like the first until nothing new appears. A text is decoded once in
+a document, so cycles end, but what it holds is reported at every place where it stands. A layer of
+which all escapes are decoded, until none is left, is always among them; the layers between are, too,
+as long as each is shorter than the one before by a SHRINK-th, so that work stays in proportion to the
+text however deep escapes are nested. Every layer knows which
 characters of the original text each of its characters came from, and what it holds is reported as
 spans of the original. Decompressed data is read to its end, through all its members, in windows.
 
 Defined results: null texts count as empty; empty texts have no spans; null ids pass through;
-repeated rows are scanned one by one.
+repeated rows are scanned one by one; very long texts are scanned whole; other columns aren't read (redact
+keeps them); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ import lzma
 import re
 import zlib
 from bisect import bisect_right
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from tessera.llm import kernels as K
-from tessera.llm.frames import arrow_rows, bounded, map_text
+from tessera.llm.frames import arrow_rows, bounded, map_text, number_of, numbered
 
 KINDS = ("assign", "access", "hex")
 #: Bytes that are read from compressed data at once, bytes of a window of it, and bytes that tell whether it is compressed again.
@@ -40,8 +45,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 WORDS = (b"passw", b"secret", b"token", b"api")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
-ONE_ESCAPE = re.compile(r"\\u\{?([0-9A-Fa-f]+)\}?|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|(&#[xX]?[0-9A-Fa-f]+;)")
+ONE = r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&[A-Za-z][A-Za-z0-9]{1,31};"
+ESCAPE = re.compile(f"(?:{ONE})+")
+ONE_ESCAPE = re.compile(r"\\u\{?([0-9A-Fa-f]+)\}?|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|(&#[xX]?[0-9A-Fa-f]+;|&[A-Za-z][A-Za-z0-9]*;)")
+#: One escape of any kind, with all that it was escaped by again (%2541, &amp;amp;lt;), and the most characters of one.
+NESTED = re.compile(rf"%(?:25)*[0-9A-Fa-f]{{2}}|&(?:amp;)+(?=#?[A-Za-z0-9]{{1,32}};)|{ONE}")
+LONGEST = 36
+#: By what part of itself a layer must get shorter for the layers between it and its last one to be looked at.
+SHRINK = 64
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?=1AY&SY|\x17rE8P\x90)|\xfd7zXZ\0|\x28\xb5\x2f\xfd|\x78[\x01\x5e\x9c\xda]")
 WRAP = re.compile(r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t>]*")
@@ -50,6 +61,7 @@ CONTROLS = bytes({*range(32), 127} - {9, 10, 13})
 UTF16 = re.compile(rb"[\x01-\x7f]?(?:\0[\x01-\x7f]){7,}")
 #: Places inside no secret, escape, base64 run (wrapped or not) or UTF-16 word.
 CUT = re.compile(rb"""[^A-Za-z0-9+/_=.\-"'\x20\t\r\n:%\\{}&#;>\0]|(?<=[0-9A-Za-z])\x20(?=[0-9A-Za-z])|\0\0\0""")
+LETTERS = K.byte_class(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 HEX_BYTES, BASE64_BYTES = K.byte_class(b"0123456789abcdef"), K.byte_class(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
 
 
@@ -125,7 +137,7 @@ def escapes(run: str) -> list[tuple[str, int]] | None:
     for m in ONE_ESCAPE.finditer(run):
         code = m[1] or m[2] or m[3]
         if m[4]:
-            char = html.unescape(m[4])
+            char = html.unescape(m[4])  # an unknown name stays as it is
         elif int(code, 16) > 0x10FFFF:
             return None
         else:
@@ -254,13 +266,132 @@ def readable(text: str) -> bool:
     return len(data.translate(None, CONTROLS)) >= max(0.95 * len(data), 1)
 
 
+def character(escape: str) -> str | None:
+    """What one match of NESTED stands for; None if it is no escape."""
+    if escape[0] == "%":
+        return chr(int(escape[-2:], 16))
+    if escape[0] == "&":
+        if escape.endswith("amp;") and escape.count("&") == 1 and len(escape) > 5 or escape == "&amp;":
+            return "&"
+        return got if (got := html.unescape(escape)) != escape else None
+    code = int(escape.strip("\\uUx{}"), 16)
+    return chr(code) if code <= 0x10FFFF else None
+
+
+class Unwrapper:
+    """Decodes escapes in one pass over a layer, also those that decoding makes."""
+
+    def __init__(self, layer: Layer):
+        self.layer, self.text, self.at, self.changed = layer, layer.text, 0, False
+        #: What is finished: spans of the layer that stay as they are, and characters with the span that they stand for.
+        self.done: list[tuple[str, int, int, bool]] = []
+        #: The last characters of the result, LONGEST at most: a later character can still make an escape of them.
+        self.tail: deque[tuple[str, int, int, bool]] = deque()
+
+    def settle(self, leave: int) -> None:
+        while len(self.tail) > leave:
+            char, a, b, plain = self.tail.popleft()
+            if plain and self.done and self.done[-1][3] and self.done[-1][2] == a:
+                a = self.done.pop()[1]
+            self.done.append(("" if plain else char, a, b, plain))
+
+    def copy(self, to: int) -> None:
+        """Takes over the layer's text up to a place."""
+        if to - self.at > LONGEST:
+            self.settle(0)
+            self.done.append(("", self.at, to - LONGEST, True))
+            self.at = to - LONGEST
+        self.tail.extend((self.text[k], k, k + 1, True) for k in range(self.at, to))
+        self.at = to
+        self.settle(LONGEST)
+
+    def push(self, chars: str, begin: int) -> None:
+        """Puts down what an escape stands for that began there, and decodes what that completes."""
+        for n, char in enumerate(chars):
+            self.tail.append((char, begin, self.at, False))
+            if n == len(chars) - 1:
+                self.settle(LONGEST)
+            window = "".join(c for c, *_ in self.tail)
+            size = len(window)
+            window += chars[n + 1 :] + self.text[self.at : self.at + LONGEST]
+            for k in range(size):
+                m = NESTED.match(window, k) if window[k] in "%&\\" else None
+                if m and m.end() >= size and (new := character(m[0])) is not None:
+                    begin = min(begin, *(a for _, a, _, _ in list(self.tail)[k:]))
+                    for _ in range(size - k):
+                        self.tail.pop()
+                    rest = chars[n + 1 :][m.end() - size :]
+                    self.at += max(0, m.end() - size - len(chars[n + 1 :]))
+                    return self.push(new + rest, begin) if len(new + rest) > 1 else self.again(new, begin)
+        return None
+
+    def again(self, char: str, begin: int) -> None:
+        """push() of one character, by a loop, for chains of any length."""
+        while True:
+            self.tail.append((char, begin, self.at, False))
+            self.settle(LONGEST)
+            window = "".join(c for c, *_ in self.tail)
+            size = len(window)
+            window += self.text[self.at : self.at + LONGEST]
+            for k in range(size):
+                m = NESTED.match(window, k) if window[k] in "%&\\" else None
+                if m and m.end() >= size and (new := character(m[0])) is not None:
+                    break
+            else:
+                return
+            begin = min(begin, *(a for _, a, _, _ in list(self.tail)[k:]))
+            for _ in range(size - k):
+                self.tail.pop()
+            self.at += m.end() - size
+            if len(new) > 1:
+                return self.push(new, begin)
+            char = new
+
+    def run(self) -> Layer | None:
+        while m := NESTED.search(self.text, self.at):
+            char = character(m[0])
+            self.copy(m.start() if char is not None else m.start() + 1)
+            if char is not None:
+                self.at, self.changed = m.end(), True
+                if len(char) > 1:
+                    self.push(char, m.start())
+                else:
+                    self.again(char, m.start())
+        if not self.changed:
+            return None
+        self.copy(len(self.text))
+        self.settle(0)
+        parts, segments, size, layer = [], [], 0, self.layer
+        for char, a, b, plain in self.done:
+            if not plain:
+                segments.append((size, *layer.origin(a, b), False))
+                parts.append(char)
+                size += len(char)
+                continue
+            parts.append(self.text[a:b])
+            k = bisect_right(layer.begins, a) - 1
+            while a < b:
+                begin, start, end, exact = layer.segments[k]
+                to = min(b, layer.begins[k + 1] if k + 1 < len(layer.begins) else b)
+                segments.append((size, start + a - begin, end, True) if exact else (size, start, end, False))
+                size += to - a
+                a, k = to, k + 1
+        return Layer("".join(parts), segments)
+
+
 def substitutions(layer: Layer):
-    """The layer with its percent escapes decoded, and with its other escapes decoded."""
-    text = layer.text
-    if "%" in text and (new := substituted(layer, PERCENT, percent)):
-        yield new
-    if ("\\" in text or "&#" in text) and (new := substituted(layer, ESCAPE, escapes)):
-        yield new
+    """The layer with its percent escapes decoded, with its other escapes decoded, and with all decoded until none is left; each with whether to go on from it."""
+    by_percent = substituted(layer, PERCENT, percent) if "%" in layer.text else None
+    by_escape = substituted(layer, ESCAPE, escapes) if "\\" in layer.text or "&" in layer.text else None
+    for new in (by_percent, by_escape):
+        if new:
+            yield new, SHRINK * len(new.text) <= (SHRINK - 1) * len(layer.text)
+    if by_percent or by_escape:
+        both = (substituted(by_percent, ESCAPE, escapes) if by_escape else by_percent) if by_percent else by_escape
+        if both is not None and not any(character(m[0]) for m in NESTED.finditer(both.text)):
+            yield both, False  # nothing is left
+        elif left := Unwrapper(layer).run():
+            yield left, False
 
 
 def texts_in(run: str):
@@ -318,7 +449,7 @@ class Inside:
                 yield keys[-1], text
 
     def children(self, text: str, inner: list[list[bytes]]):
-        for new in substitutions(Layer(text, [(0, 0, 1, False)])):
+        for new, _ in substitutions(Layer(text, [(0, 0, 1, False)])):
             inner.append([key_of(new.text)])
             yield inner[-1][0], new.text
         for _, _, run in encoded_runs(text):
@@ -352,19 +483,21 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], set[tuple[str, int, int
     """Base spans, all spans, and the number of layers that look like text."""
     base = find(text)
     first = Layer(text, [(0, 0, len(text), True)])
-    spans, seen, inside = set(base), {(key_of(text), tuple(first.segments))}, Inside()
-    work = [first]
+    spans, seen, inside = set(base), {(key_of(text), hash(tuple(first.segments)))}, Inside()
+    work = [(first, True)]
     while work:
-        layer = work.pop()
+        layer, deep = work.pop()
         for start, end, run in encoded_runs(layer.text):
             if kinds := inside.kinds(run):
                 spans.update((kind, *layer.origin(start, end)) for kind in kinds)
-        for new in substitutions(layer):
-            key = key_of(new.text), tuple(new.segments)
+        if not deep:
+            continue
+        for new, on in substitutions(layer):
+            key = key_of(new.text), hash(tuple(new.segments))
             if key not in seen:
                 seen.add(key)
                 spans.update((kind, *new.origin(a, b)) for kind, a, b in find(new.text))
-                work.append(new)
+                work.append((new, on))
     return base, spans, len(seen) + inside.readable
 
 
@@ -381,7 +514,7 @@ def suspicious(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         np.cumsum(inside, out=sums[1:])
         return np.flatnonzero(sums[least:] - sums[:-least] == least) if len(buf) >= least else np.zeros(0, np.int64)
 
-    marks = np.concatenate([runs(BASE64_BYTES, 16), np.flatnonzero((buf == 37) | (buf == 92)), np.flatnonzero((buf[:-1] == 38) & (buf[1:] == 35)) if len(buf) else np.zeros(0, np.int64)])
+    marks = np.concatenate([runs(BASE64_BYTES, 16), np.flatnonzero((buf == 37) | (buf == 92)), np.flatnonzero((buf[:-1] == 38) & ((buf[1:] == 35) | LETTERS[buf[1:]])) if len(buf) else np.zeros(0, np.int64)])
     out = np.zeros(len(offsets) - 1, bool)
     out[np.searchsorted(offsets, marks, "right") - 1] = True
     raw = buf.tobytes().lower()
@@ -423,20 +556,20 @@ def redacted(text: str, spans, mark: str = "[SECRET]") -> str:
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs, with secrets in the text replaced; null texts stay null. An n_chars column, if there is one, follows."""
     bounded(docs.sparkSession)
-    names = docs.columns
-    kind = docs.schema
+    rows, text, length = numbered(docs), number_of(docs, text_col), number_of(docs, "n_chars") if "n_chars" in docs.columns else None
+    names = rows.columns
 
     def run(batches):
         for batch in batches:
-            for part in K.slices(batch, text_col):
-                texts = part.column(text_col)
+            for part in K.slices(batch, text):
+                texts = part.column(text)
                 look = suspicious(*K.text_of(texts))
                 new = [t if t is None or not s else redacted(t, scan(t)[1]) for t, s in zip(texts.to_pylist(), look.tolist(), strict=True)]
                 columns = list(part.columns)
-                columns[names.index(text_col)] = pa.array(new, texts.type)
-                if "n_chars" in names:
-                    old = part.column("n_chars")
-                    columns[names.index("n_chars")] = pa.array([o if o is None or t is None else len(t) for o, t in zip(old.to_pylist(), new, strict=True)], old.type)
+                columns[names.index(text)] = pa.array(new, texts.type)
+                if length:
+                    old = part.column(length)
+                    columns[names.index(length)] = pa.array([o if o is None or t is None else len(t) for o, t in zip(old.to_pylist(), new, strict=True)], old.type)
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, kind)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
