@@ -38,8 +38,8 @@ from tessera.llm.frames import bounded, parts_for, text_bytes
 
 #: Bytes of text in a group, of text for each part and each relay, and the least of a block.
 GROUP_BYTES, PART_BYTES, RELAY_BYTES, BLOCK_BYTES = 2 << 20, 8 << 20, 16 << 20, 1 << 10
-#: Groups and parts of small tables.
-LEAST = 24
+#: Groups of small tables, and parts: two for each partition of a shuffle, between these bounds.
+LEAST, MOST_LEAST = 24, 128
 
 
 def pack(columns: list[np.ndarray], blob: np.ndarray | None = None) -> bytes:
@@ -142,10 +142,10 @@ class Exchange:
         n_bytes = text_bytes(docs, text_col)
         n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
         self.n_groups = parts_for(docs.sparkSession, n_bytes, group_bytes, LEAST)
-        self.n_parts = parts_for(docs.sparkSession, n_bytes, part_bytes, LEAST)
+        self.n_parts = parts_for(docs.sparkSession, n_bytes, part_bytes, max(LEAST, min(2 * n, MOST_LEAST)))
         #: Coarse ranges, and relays of each; none while blocks are large enough.
         self.n_coarse = self.n_relays = 0
-        if self.n_groups * self.n_parts * block_bytes > max(n_bytes, LEAST * LEAST * BLOCK_BYTES):
+        if parts_for(docs.sparkSession, n_bytes, group_bytes) * parts_for(docs.sparkSession, n_bytes, part_bytes) * block_bytes > max(n_bytes, block_bytes):
             self.n_coarse = isqrt(self.n_parts - 1) + 1
             self.n_relays = parts_for(docs.sparkSession, n_bytes, relay_bytes * self.n_coarse)
         #: Leading bits of a fingerprint that a question needs where a false match only costs work: 34 within a part.

@@ -95,7 +95,7 @@ class Group:
         last = np.append(first[1:], len(s))[: len(first)] - 1
         self.trigger, self.lo, self.hi = t[first], s[first], s[last]
         self.doc = np.searchsorted(self.offsets, self.lo, "right") - 1
-        self.key = grams[self.trigger]
+        self.key = K.mix(grams[self.trigger])  # least hashes are small ones: mixed, they spread over all parts
 
     def all_hashed(self, length: int) -> np.ndarray:
         """hashed() at every place."""
