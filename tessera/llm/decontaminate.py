@@ -10,8 +10,9 @@ The item index is broadcast only while the benchmark's texts stay under `BLOCK_B
 benchmark is cut into blocks of items, each with its own pass, whose hits are merged per document.
 
 Defined results: null or wordless texts have no words and no hits; items without words match
-nothing; an item with a null id makes hits but isn't named; an empty benchmark hits nothing;
-repeated rows are judged one by one.
+nothing; an item with a null id makes hits but isn't named, and items of one id are one; an empty
+benchmark hits nothing; an empty table gives no rows; repeated rows are judged one by one; very long
+texts are matched whole, in a slice of their own; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels as K
-from tessera.llm.frames import map_text, text_bytes, without
+from tessera.llm.frames import bounded, map_text, number_of, numbered, text_bytes, without, written
 
 WINDOW, GRAM = 13, 7
 #: Text bytes of the items in one broadcast index.
@@ -118,16 +119,22 @@ class Index:
         return K.rolling(rows.ravel(), n, seed)[::n]
 
 
-def shared_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document: n_words, `spans` (maximal runs of words that items hold) and `items` (ids of the items whose windows occur, sorted as strings)."""
-    spark = docs.sparkSession
-    n_blocks = max(1, -(-text_bytes(items, item_text) // block_bytes))
+def blocks_of(items: DataFrame, item_text: str, block_bytes: int) -> int:
+    return max(1, -(-text_bytes(items, item_text) // block_bytes))
+
+
+def indexes(items: DataFrame, n_blocks: int, window: int, gram: int, item_col: str, item_text: str):
+    """The broadcast index of each block of items; a block's texts come to the driver alone."""
     items = items.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).cast("string").alias("t"))
     block = F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks))
-    parts = []
     for k in range(n_blocks):
-        index = spark.sparkContext.broadcast(Index([tuple(r) for r in items.where(block == k).collect()], window, gram))
-        parts.append(_pass(docs, index, id_col, text_col))
+        yield items.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in items.where(block == k).collect()], window, gram))
+
+
+def shared_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per document: n_words, `spans` (maximal runs of words that items hold) and `items` (ids of the items whose windows occur, sorted as strings)."""
+    n_blocks = blocks_of(items, item_text, block_bytes)
+    parts = [_pass(docs, index, id_col, text_col) for index in indexes(items, n_blocks, window, gram, item_col, item_text)]
     if n_blocks == 1:
         return parts[0].drop("text_key")
     merged = parts[0]
@@ -148,10 +155,7 @@ def _pass(docs: DataFrame, index, id_col: str, text_col: str) -> DataFrame:
         spans: list[list] = [[] for _ in range(part.num_rows)]
         names: list[list] = [[] for _ in range(part.num_rows)]
         if len(starts):
-            edge = np.zeros(len(words) + 1, np.int64)
-            np.add.at(edge, starts, 1)
-            np.add.at(edge, starts + lengths, -1)
-            hit = np.cumsum(edge[:-1]) > 0
+            hit = K.covered(len(words), starts, lengths)
             doc = np.repeat(np.arange(part.num_rows), words.counts())
             new = hit.copy()
             new[1:] &= ~hit[:-1] | (doc[1:] != doc[:-1])
@@ -179,12 +183,33 @@ def digest(docs: DataFrame, items: DataFrame) -> DataFrame:
     return judged(docs, items).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, with all their columns, that the rule doesn't call contaminated."""
-    key = "contaminated row"
-    rows = docs.withColumn(key, F.xxhash64(id_col, text_col))
-    bad = judged(rows, items, id_col=key, text_col=text_col, **options).where("contaminated").select(F.col("doc_id").alias(key))
-    return without(rows, bad, key).select(*docs.columns)
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = WINDOW, gram: int = GRAM, item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, with all their columns, that the rule doesn't call contaminated.
+
+    Every row is judged by itself, so repeated rows, repeated or null ids and columns of any names make no
+    difference. Null texts stay; empty tables stay empty. A benchmark of one block is matched in the scan;
+    for more blocks rows are written with a number each, by which hits of the blocks come together.
+    """
+    bounded(docs.sparkSession)
+    rows, text = numbered(docs), number_of(docs, text_col)
+    names = rows.columns
+    if blocks_of(items, item_text, block_bytes) > 1:
+        scratch: list[str] = []
+        rows = written(rows.withColumn("row", F.monotonically_increasing_id()), scratch)
+        found = judged(rows, items, id_col="row", text_col=text, window=window, gram=gram, item_col=item_col, item_text=item_text, block_bytes=block_bytes)
+        bad = written(found.where("contaminated").select(F.col("doc_id").alias("row")), scratch)
+        return without(rows, bad, "row").select(*names).toDF(*docs.columns)
+    index = next(indexes(items, 1, window, gram, item_col, item_text))
+
+    def run(batches):
+        for batch in batches:
+            for part in K.slices(batch, text):
+                words = K.Words(*K.text_of(part.column(text)), K.NOT_ALNUM)
+                starts, lengths, _ = index.value.scan(words)
+                n_hit = K.per_doc(K.covered(len(words), starts, lengths), words.first)
+                yield part.filter(pa.array((n_hit == 0) | (20 * n_hit < words.counts())))
+
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
 
 
 def brute(docs: list[tuple], items: list[tuple], window: int = WINDOW) -> dict:

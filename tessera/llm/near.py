@@ -11,12 +11,14 @@
 4. Only reachability is asked for. So each list first tests its members against one pivot (the most
    central, then one picked by hash), and only against members of other components. Members of lists
    that this leaves in several components are compared by their full sets in the order of rarity,
-   which finds the pairs that can still be similar. No link between different texts is lost, and a
-   list of g near copies costs about g tests, not g * g.
+   which finds the pairs that can still be similar, so a list of g near copies costs about g tests, not
+   g * g. With exact=True all representatives are compared so, and the chance of step 2 plays no part.
 
 Defined results: null, empty and wordless texts have an empty set and are linked with nothing; rows
-with a null id stay alone (component null, kept); repeated rows are copies of one document; an empty
-table gives no rows. Sets of fewer words than a shingle are the whole sequence as one shingle.
+with a null id stay alone (component null, kept); repeated rows are copies of one document; rows of
+one id with different texts are one document with both sets, which links what either links; very long
+texts are hashed whole; other columns aren't read; an empty table gives no rows. Sets of fewer words
+than a shingle are the whole sequence as one shingle.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import kernels as K
 from tessera.llm.components import components
-from tessera.llm.frames import BROADCAST_ROWS, discard, map_text, without, written
+from tessera.llm.frames import BROADCAST_ROWS, discard, map_text, number_of, numbered, without, written
 
 K_RETAINED = 32
 #: Chance of missing a pair at the threshold.
@@ -92,9 +94,9 @@ def signatures(docs: DataFrame, n: int, k: int, id_col: str, text_col: str, full
 
 
 class Search:
-    def __init__(self, docs: DataFrame, n: int, percent: int, k: int, id_col: str, text_col: str):
+    def __init__(self, docs: DataFrame, n: int, percent: int, k: int, id_col: str, text_col: str, exact: bool = False):
         self.docs, self.n, self.percent, self.k, self.id_col, self.text_col = docs, n, percent, k, id_col, text_col
-        self.m = least_overlap(k, percent)
+        self.m, self.exact = least_overlap(k, percent), exact
         self.signed = written(signatures(docs, n, k, id_col, text_col))
         has_set = self.signed.where("n > 0 and doc_id is not null")
         self.reps = written(has_set.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.min("values").alias("values")))
@@ -131,8 +133,15 @@ class Search:
         docs = self.docs.select(F.col(self.id_col).cast("long").alias("doc_id"), F.col(self.text_col).cast("string").alias("text")).join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi")
         return signatures(docs, self.n, self.k, "doc_id", "text", full=True).where("n > 0").dropDuplicates(["doc_id", "s1", "s2"]).select("doc_id", "n", "values")
 
-    def rest(self, members: DataFrame) -> DataFrame:
-        """Pairs of different components among the members of lists that pivots haven't settled (three members or more, two components or more).
+    def compared(self, members: DataFrame, found: DataFrame) -> DataFrame:
+        """(doc_id, comp): representatives whose full sets are to be compared: the members of lists that pivots haven't settled (three members or more, two components or more), or all."""
+        if self.exact:
+            return self.reps.select(F.col("rep").alias("doc_id")).join(found.toDF("doc_id", "to"), "doc_id", "left").select("doc_id", F.coalesce("to", "doc_id").alias("comp"))
+        mixed = members.groupBy("v").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("size > 2 and low <> high").select("v")
+        return members.join(mixed, "v", "left_semi").select(F.col("rep").alias("doc_id"), "comp").distinct()
+
+    def rest(self, wanted: DataFrame) -> DataFrame:
+        """Pairs of different components among some representatives.
 
         Full sets are put in the order of rarity among these members. The least place of a common shingle bounds
         what two sets can share, so a pair is listed only if its first common shingle comes early enough in both.
@@ -140,9 +149,8 @@ class Search:
         are spelled out. Near copies with many changes of their own fit nowhere, however many share the rest.
         """
         p = self.percent
-        mixed = members.groupBy("v").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("size > 2 and low <> high").select("v")
-        ids = written(members.join(mixed, "v", "left_semi").select(F.col("rep").alias("wanted")).distinct(), self.step)
-        comps = members.select(F.col("rep").alias("doc_id"), "comp").distinct()
+        comps = written(wanted, self.step)
+        ids = comps.select(F.col("doc_id").alias("wanted"))
         shingles = self.sets(ids).select("doc_id", "n", F.explode("values").alias("r"))
         counts = shingles.groupBy("r").agg(F.count("*").alias("c")).where("c > 1")
         shared = shingles.join(counts, "r").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("c", "r"))).alias("rs"))
@@ -180,11 +188,11 @@ class Search:
         found = self.docs.sparkSession.createDataFrame([], "u long, v long")
         for round_ in range(ROUNDS + 1):
             members = lists.join(found.toDF("rep", "to"), "rep", "left").withColumn("comp", F.coalesce("to", "rep")).drop("to")
-            pairs = (self.pivots(members, round_) if round_ < ROUNDS else self.rest(members)).distinct()
+            pairs = (self.pivots(members, round_) if round_ < ROUNDS else self.rest(self.compared(members, found))).distinct()
             if self.tested is not None:
                 pairs = pairs.join(self.tested, ["x", "y"], "left_anti")
             pairs = written(pairs, self.whole)
-            likely = written(self.likely(pairs), self.step)
+            likely = pairs if self.exact and round_ == ROUNDS else written(self.likely(pairs), self.step)
             if not likely.isEmpty():
                 new = written(self.links(likely), self.step)
                 found = components(new.unionByName(found.toDF("x", "y")))
@@ -194,9 +202,12 @@ class Search:
         return found
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, k: int = K_RETAINED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id reachable) and kept (whether that is the document itself)."""
-    search = Search(docs, n, percent, k, id_col, text_col)
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, k: int = K_RETAINED, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id reachable) and kept (whether that is the document itself).
+
+    exact: compare all representatives by full sets after the pivots, so that no link depends on the sketches' chance.
+    """
+    search = Search(docs, n, percent, k, id_col, text_col, exact)
     rows = search.signed.select("doc_id", "n", "s1", "s2")
     reps = search.reps.select("s1", "s2", "n", "rep").join(search.components().toDF("rep", "comp"), "rep", "left").select("s1", "s2", "n", F.coalesce("comp", "rep").alias("comp"))
     alone = rows.where("doc_id is null or n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
@@ -204,17 +215,21 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, k: int = K_R
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without those of another's group: the least doc_id of each stays, one row of it, and rows without an id."""
-    rows = near_duplicates(docs, n, percent, id_col=id_col, text_col=text_col)
-    rows = written(rows.select("doc_id", "kept"))
-    names = docs.columns
-    kept = without(docs, rows.where("not kept").select(F.col("doc_id").alias(id_col)), id_col).select(*names)
-    twice = rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_col))
-    if twice.isEmpty():
-        return kept
-    again = kept.join(twice, id_col, "left_semi").select(*names).dropDuplicates([id_col])
-    return without(kept, twice, id_col).select(*names).unionByName(again)
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
+    """The rows of docs without those of another's group: the least doc_id of each stays, one row of it, and rows without an id.
+
+    Columns may have any names; rows of one id are one document, of which one row stays, even if their texts differ.
+    """
+    scratch: list[str] = []
+    rows, id_ = numbered(docs), number_of(docs, id_col)
+    names = rows.columns
+    marks = written(near_duplicates(rows, n, percent, id_col=id_, text_col=number_of(docs, text_col), exact=exact).select(F.col("doc_id").alias(id_), "kept"), scratch)
+    kept = without(rows, written(marks.where("not kept").select(id_).distinct(), scratch), id_).select(*names)
+    twice = written(marks.where(f"{id_} is not null").groupBy(id_).count().where("count > 1").select(id_), scratch)
+    if not twice.isEmpty():
+        again = kept.join(twice, id_, "left_semi").select(*names).dropDuplicates([id_])
+        kept = without(kept, twice, id_).select(*names).unionByName(again)
+    return kept.toDF(*docs.columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -5,12 +5,12 @@ measurements, so a policy is only a mask over bits: applying another version, or
 policy would do without one of its rules, needs no second look at any text.
 
 Defined results: null and empty texts have no words and fail `few_words`; null ids pass through;
-repeated rows are judged one by one; an empty table gives an empty ledger.
+repeated rows are judged one by one; very long texts are measured whole, in a slice of their own; other
+columns aren't read; an empty table gives an empty ledger.
 """
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 import numpy as np
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import kernels as K
-from tessera.llm.frames import arrow_rows, bounded, map_text
+from tessera.llm.frames import arrow_rows, bounded, map_text, number_of, numbered
 
 SYMBOLS = K.byte_class(b"#*$%&|<>")
 WINDOW = 5
@@ -106,20 +106,22 @@ def ablation(rows: DataFrame, policy: str) -> DataFrame:
 
 
 def passing(docs: DataFrame, policy: str = "v1", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that a policy passes; judged in the scan, without a join."""
+    """The rows of docs, with all their columns, that a policy passes; judged in the scan, without a join.
+
+    Columns may have any names. Null texts count as empty; an empty table stays empty.
+    """
     bounded(docs.sparkSession)
-    names, prefix = docs.columns, "rule input "
+    rows, text = numbered(docs), number_of(docs, text_col)
+    names, schema = rows.columns, T.StructType([*rows.schema.fields, *(T.StructField(m, T.LongType()) for m in MEASURES)])
 
     def run(batches):
         for batch in batches:
-            for part in K.slices(batch, text_col):
-                found = measure(pa.RecordBatch.from_arrays([pa.nulls(part.num_rows, pa.int64()), part.column(text_col)], names=["doc_id", "text"]))
-                yield pa.RecordBatch.from_arrays([*part.columns, *found.columns[1:]], names=[*names, *(prefix + m for m in MEASURES)])
-
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(prefix + m, T.LongType()) for m in MEASURES)])
-    rows = docs.mapInArrow(run, schema)
-    failed = reduce(lambda a, b: a | b, (F.expr(re.sub(r"[a-z]\w*", lambda m: f"`{prefix}{m[0]}`" if m[0] in MEASURES else m[0], RULES[r])) for r in POLICIES[policy]))
-    return rows.where(~failed).select(*(F.col(f"`{c}`") for c in names))
+            for part in K.slices(batch, text):
+                found = measure(pa.RecordBatch.from_arrays([pa.nulls(part.num_rows, pa.int64()), part.column(text)], names=["doc_id", "text"]))
+                yield pa.RecordBatch.from_arrays([*part.columns, *found.columns[1:]], names=[*names, *MEASURES])
+
+    failed = reduce(lambda a, b: a | b, (F.expr(RULES[r]) for r in POLICIES[policy]))
+    return rows.mapInArrow(run, schema).where(~failed).select(*names).toDF(*docs.columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -479,6 +479,66 @@ def test_toxicity(spark, docs, empty):
     assert {r.score for r in none} == {0.0} and toxicity.digest(empty, marks).count() == 0
 
 
+def small_classifier():
+    rng = np.random.default_rng(8)
+    first = np.array([0, 7, 10, 40, 43])
+    words = rng.integers(1, 60, (43, 1 + len(toxicity.PREFIXES))).astype(np.int32)
+    for end in first[1:]:
+        words[end - toxicity.PAD : end] = 0
+    model = toxicity.Model()
+    model.bias += rng.normal(0, 0.1, model.bias.shape).astype(np.float32)
+    return model, words, first, np.array([1, 0, 1, 0], np.float32)
+
+
+def logits_by_loops(model, words, first):
+    out = []
+    for a, b in itertools.pairwise(first.tolist()):
+        top = []
+        for f, width in zip(model.filters, toxicity.WIDTHS, strict=True):
+            for c in range(toxicity.FILTERS):
+                responses = [sum(float(model.embed[bucket].astype(float) @ f[j, :, c].astype(float)) for j in range(width) for bucket in words[i + j]) for i in range(a, b - width + 1)]
+                top.append(max(responses))
+        out.append(sum(max(t + float(x), 0) * float(o) for t, x, o in zip(top, model.bias, model.out, strict=True)) + float(model.shift[0]))
+    return np.array(out)
+
+
+def test_toxicity_forward_pass_is_that_of_loops():
+    model, words, first, _ = small_classifier()
+    assert np.allclose(model.logits(words, first), logits_by_loops(model, words, first), atol=1e-5)
+
+
+def test_toxicity_gradients_are_those_of_finite_differences():
+    model, words, first, y = small_classifier()
+
+    def loss():
+        z = logits_by_loops(model, words, first)
+        return float(np.mean(np.log1p(np.exp(-np.where(y > 0, z, -z)))))
+
+    rng = random.Random(2)
+    for p, g in zip(model.parameters(), model.gradients(words, first, y), strict=True):
+        assert p.shape == g.shape
+        at = np.argwhere(np.abs(g) > 1e-5)
+        for k in rng.sample(range(len(at)), min(6, len(at))):
+            where, step = tuple(at[k]), 1e-3
+            old = p[where]
+            p[where] = old + step
+            up = loss()
+            p[where] = old - step
+            assert (up - loss()) / (2 * step) == pytest.approx(g[where], rel=0.02, abs=1e-5)
+            p[where] = old
+
+
+def test_toxicity_sample_is_bounded_in_words(spark, monkeypatch):
+    rows = [(i, f"w{i} " * (10 + i), "en") for i in range(90)] + [(7, "another text of that id", "en")]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(i, i % 2) for i in range(90)], "doc_id long, toxic int")
+    whole = toxicity.labelled(docs, labels)
+    assert sorted(r[0] for r in whole) == [i for i in range(90) if zlib.crc32(str(i).encode()) % 3 != 1]
+    monkeypatch.setattr(toxicity, "SAMPLE_WORDS", (300, 500))
+    part = toxicity.labelled(docs, labels)
+    for y, most in ((1, 300), (0, 500)):
+        assert 0 < sum(len(r[3]) for r in part if r[1] == y) <= most < sum(len(r[3]) for r in whole if r[1] == y)
+
+
 def test_lm(spark, docs, rows, empty):
     rng = random.Random(6)
     grammar = {"a": "bc", "b": "cd", "c": "de", "d": "ea", "e": "ab"}
