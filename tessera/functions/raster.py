@@ -438,12 +438,13 @@ def interior_point(mask: np.ndarray) -> tuple[int, int] | None:
 
 
 def negative_points(mask: np.ndarray, box, most: int = 2) -> list[tuple[int, int]]:
-    """Corners of the box, 12 % inwards, that the mask doesn't hold."""
+    """Corners of the box, 12 % inwards and cut to the frame, that the mask doesn't hold."""
     x0, y0, x1, y1 = box
     dx, dy = (x1 - x0) * 0.12, (y1 - y0) * 0.12
-    corners = [(x0 + dx, y0 + dy), (x1 - dx, y0 + dy), (x0 + dx, y1 - dy), (x1 - dx, y1 - dy)]
     h, w = mask.shape
-    return [(int(x), int(y)) for x, y in corners if 0 <= int(x) < w and 0 <= int(y) < h and not mask[int(y), int(x)]][:most]
+    corners = [(x0 + dx, y0 + dy), (x1 - dx, y0 + dy), (x0 + dx, y1 - dy), (x1 - dx, y1 - dy)]
+    places = [(int(min(max(x, 0), w - 1)), int(min(max(y, 0), h - 1))) for x, y in corners]
+    return [(x, y) for x, y in places if not mask[y, x]][:most]
 
 
 def binarised(values: np.ndarray) -> np.ndarray:

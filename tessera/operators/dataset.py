@@ -54,25 +54,28 @@ def class_histogram(annotations: DataFrame) -> DataFrame:
     return annotations.groupBy("class_id").agg(F.count("*").alias("n")).orderBy("class_id")
 
 
-def image_breakdown(annotations: DataFrame, key: str = "image_id") -> DataFrame:
-    """Per image: `class xN` for each class, by name."""
+def image_breakdown(annotations: DataFrame, names: DataFrame | None = None, key: str = "image_id") -> DataFrame:
+    """Per image: `class xN` for each class, by name; classes without a name (class_id, name) are class_<id>."""
     per = annotations.groupBy(key, "class_id").agg(F.count("*").alias("n"))
-    text = F.concat(F.lit("class_"), F.col("class_id").cast("string"), F.lit(" ×"), F.col("n").cast("string"))
+    name = F.concat(F.lit("class_"), F.col("class_id").cast("string"))
+    if names is not None:
+        per, name = per.join(F.broadcast(names), "class_id", "left"), F.coalesce("name", name)  # one row for each class
+    text = F.concat(name, F.lit(" ×"), F.col("n").cast("string"))
     return per.groupBy(key).agg(F.array_join(F.sort_array(F.collect_list(text)), ", ").alias("breakdown"))
 
 
-def layout(pairs: DataFrame) -> DataFrame:
-    """How labels lie beside their images: from image_path and label_path of all images."""
+def layout(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """How labels lie beside their images: from image_path and label_path (null: none) of all images, of each dataset if columns name it."""
     same = F.count_if(L.parent(F.col("label_path")) == L.parent(F.col("image_path")))
     apart = F.count_if(L.parent(F.col("label_path")) != L.parent(F.col("image_path")))
-    return pairs.agg(F.count("*").alias("n"), same.alias("same"), apart.alias("apart")).select(
+    words = (
         F.when(F.col("n") == 0, "unknown")
         .when((F.col("same") > 0) & (F.col("apart") == 0), "images and labels in the same folder")
         .when((F.col("apart") > 0) & (F.col("same") == 0), "separate images/ and labels/ folders")
         .when((F.col("apart") > 0) | (F.col("same") > 0), "mixed (some labels beside images, some in labels/)")
         .otherwise("no label files found")
-        .alias("layout")
     )
+    return pairs.groupBy(*by).agg(F.count("*").alias("n"), same.alias("same"), apart.alias("apart")).select(*by, words.alias("layout"))
 
 
 def issue_table(dataset_issues: DataFrame, issues: DataFrame) -> DataFrame:

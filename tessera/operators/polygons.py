@@ -35,10 +35,15 @@ def as_mask(mask: np.ndarray, x0: int = 0, y0: int = 0) -> dict:
     return {"x0": x0, "y0": y0, "w": mask.shape[1], "h": mask.shape[0], "words": R.pack(mask).tolist()}
 
 
-def mapped(rows: DataFrame, added: str, f: Callable[[dict], dict], keep: list[str], reads: list[str]) -> DataFrame:
-    """Adds columns (DDL) that f makes of each row: Arrow batches in and out, only the needed columns shipped."""
+def mapped(rows: DataFrame, added: str, f: Callable[[dict], dict], keep: list[str], reads: list[str], spread: bool = True) -> DataFrame:
+    """Adds columns (DDL) that f makes of each row: Arrow batches in and out, only the needed columns shipped.
+
+    A row's kernel costs far more than its bytes tell, so rows are dealt over all cores first.
+    """
     columns = list(dict.fromkeys([*keep, *reads]))
     plain = rows.select(*columns)
+    if spread:
+        plain = plain.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     schema = ", ".join([*(f"`{c.name}` {c.dataType.simpleString()}" for c in plain.schema if c.name in keep), added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,7 +63,7 @@ _MASK = pa.struct([("x0", pa.int32()), ("y0", pa.int32()), ("w", pa.int32()), ("
 NESTED = {
     "parts": pa.list_(pa.struct([("exterior", pa.list_(_POINT)), ("holes", pa.list_(pa.list_(_POINT)))])),
     "rings": pa.list_(pa.list_(_POINT)), "mask": _MASK, "areas": pa.list_(pa.int64()), "point": _POINT, "box": pa.list_(pa.int32()),
-    "n": pa.int32(), "lost": pa.int32(), "vertices": pa.int32(), "area": pa.int64(), "fidelity": pa.float64(), "score": pa.float64(), "value": pa.float64(), "flags": pa.list_(pa.bool_()),
+    "n": pa.int32(), "lost": pa.int32(), "vertices": pa.int32(), "area": pa.int64(), "fidelity": pa.float64(), "score": pa.float64(), "scores": pa.list_(pa.struct([("vec_id", pa.int64()), *((c, pa.float64()) for c in ("stability", "leakage", "fragmentation", "quality"))])), "value": pa.float64(), "flags": pa.list_(pa.bool_()),
 }
 
 

@@ -44,15 +44,33 @@ def image_rollup(report: DataFrame) -> DataFrame:
     return report.groupBy("image").agg(F.count("*").alias("objects"), (F.floor((2 * total + n) / (2 * n)) / 10000.0).alias("mean_quality"), F.count_if(F.col("state") == "review").alias("review"))
 
 
-def run_stats(report: DataFrame, parts: int = 64) -> DataFrame:
-    """Running totals in image order: totals of key ranges first, so that no window holds the whole table."""
-    per = report.groupBy("image_id").agg(F.count("*").alias("objects"), F.count_if(F.col("state") == "accepted").alias("accepted"))
-    ranged = per.withColumn("bucket", F.floor(F.col("image_id") / 1000))
-    inside = Window.partitionBy("bucket").orderBy("image_id").rowsBetween(Window.unboundedPreceding, 0)
-    totals = ranged.groupBy("bucket").agg(F.count("*").alias("bi"), F.sum("objects").alias("bo"), F.sum("accepted").alias("ba"))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # over one row per thousand ids
-    base = totals.select("bucket", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("bi", "bo", "ba")))
-    return ranged.select("image_id", "bucket", F.count("*").over(inside).alias("i"), F.sum("objects").over(inside).alias("o"), F.sum("accepted").over(inside).alias("a")).join(base, "bucket").select("image_id", (F.col("i") + F.col("bi")).alias("images"), (F.col("o") + F.col("bo")).alias("objects"), (F.col("a") + F.col("ba")).alias("accepted"))
+def run_stats(report: DataFrame, width: int = 1000) -> DataFrame:
+    """Running totals in image order.
+
+    Totals of ranges of `width` ids, of ranges of width * width ids and so on come first, so no window holds
+    more than `width` rows however large the ids are.
+    """
+    sums = ["images", "objects", "accepted"]
+    per = report.groupBy("image_id").agg(F.lit(1).cast("long").alias("images"), F.count("*").alias("objects"), F.count_if(F.col("state") == "accepted").alias("accepted"))
+    levels, key = [per.withColumn("k0", F.col("image_id").cast("long"))], "k0"
+    for n in range(1, 7):  # ids below 2 ** 63 have at most seven levels of 1000
+        finer = levels[-1].withColumn(f"k{n}", F.floor(F.col(key) / width))
+        levels[-1], key = finer, f"k{n}"
+        levels.append(finer.groupBy(key).agg(*(F.sum(c).alias(c) for c in sums)))
+        if n == 6 or levels[-1].agg(F.max(F.abs(key))).first()[0] in (None, 0):
+            break
+    before = None  # totals of all before each key of the coarser level
+    for n in range(len(levels) - 1, 0, -1):
+        own, up = levels[n], f"k{n + 1}"
+        window = Window.partitionBy(up) if up in own.columns else Window.partitionBy(F.lit(0))
+        ranged = window.orderBy(f"k{n}").rowsBetween(Window.unboundedPreceding, -1)
+        rows = own.select(*(c for c in own.columns if c not in sums), *(F.coalesce(F.sum(c).over(ranged), F.lit(0)).alias(f"b_{c}") for c in sums))
+        if before is not None:
+            rows = rows.join(before, up).select(f"k{n}", *((F.col(f"b_{c}") + F.col(f"a_{c}")).alias(f"b_{c}") for c in sums))
+        before = rows.select(f"k{n}", *(F.col(f"b_{c}").alias(f"a_{c}") for c in sums))
+    inside = Window.partitionBy("k1").orderBy("image_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = levels[0].select("image_id", "k1", *(F.sum(c).over(inside).alias(c) for c in sums)).join(before, "k1")
+    return rows.select("image_id", *((F.col(c) + F.col(f"a_{c}")).alias(c) for c in sums))
 
 
 def duration(seconds: Column) -> Column:

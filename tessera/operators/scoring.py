@@ -85,10 +85,10 @@ def stability(masks: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "cand", F.when(F.col("n") == 0, 1.0).otherwise(F.aggregate(top, F.lit(0.0), lambda s, x: s + x) / F.greatest(k, F.lit(1))).alias("stability"))
 
 
-def leakage(masks: DataFrame, box: str, growth_words: str) -> Column:
-    """Share of a mask outside its grown box; an empty mask leaks whole."""
-    total = B.area(F.col(box))
-    return F.when(total == 0, 1.0).otherwise((total - B.overlap(F.col(box), F.col(growth_words))) / total)
+def leakage(mask: str, grown_box: str) -> Column:
+    """Share of a mask outside its grown box, both as words; an empty mask leaks whole."""
+    total = B.area(F.col(mask))
+    return F.when(total == 0, 1.0).otherwise((total - B.overlap(F.col(mask), F.col(grown_box))) / total)
 
 
 def fragmentation(components: DataFrame, keys: list[str], min_area: Column) -> DataFrame:

@@ -76,6 +76,15 @@ def leak(mask: np.ndarray, box: tuple, w: int, h: int) -> float:
     return (n - inside) / n
 
 
+def quality(score: float, v: dict, agreement: float, max_leakage: float) -> float:
+    """The weighted sum of a candidate's metrics, less a penalty for leakage."""
+    k = S.WEIGHTS
+    q = k["sam"] * min(1.0, max(0.0, score)) + k["stability"] * v["stability"] + k["edge"] * v["edge_alignment"] + k["inside"] * (1 - min(1.0, v["leakage"])) + k["whole"] * (1 - min(1.0, v["fragmentation"])) + k["agreement"] * agreement
+    if v["leakage"] > max_leakage:
+        q -= min(0.12, (v["leakage"] - max_leakage) * 0.5)
+    return min(1.0, max(0.0, q))
+
+
 def refined(annotation: dict, profile: dict, backend, preset: str, edges: np.ndarray) -> dict:
     """One object: candidates, vote, post-processing, metrics, the best candidate and its rings."""
     h, w = edges.shape
@@ -97,11 +106,7 @@ def refined(annotation: dict, profile: dict, backend, preset: str, edges: np.nda
     for c in found:
         m = R.post_processed(c.mask, profile["close_kernel"], profile["open_kernel"], profile["min_component_area"], profile["preserve_thin"])
         v = {"stability": stability(m, raw), "edge_alignment": R.edge_alignment(m, near), "leakage": leak(m, own, x1 - x0, y1 - y0), "fragmentation": fragments(m, profile["min_component_area"])}
-        k = S.WEIGHTS
-        q = k["sam"] * min(1.0, max(0.0, c.score)) + k["stability"] * v["stability"] + k["edge"] * v["edge_alignment"] + k["inside"] * (1 - min(1.0, v["leakage"])) + k["whole"] * (1 - min(1.0, v["fragmentation"])) + k["agreement"] * (1.0 if agree is None else R.iou(m, agree))
-        if v["leakage"] > profile["max_leakage"]:
-            q -= min(0.12, (v["leakage"] - profile["max_leakage"]) * 0.5)
-        q = min(1.0, max(0.0, q))
+        q = quality(c.score, v, 1.0 if agree is None else R.iou(m, agree), profile["max_leakage"])
         if best is None or q > best[0]:
             best = (q, m, c, v)
     q, m, c, v = best
@@ -137,14 +142,14 @@ def refine(images: DataFrame, annotations: DataFrame, folder_uri: str, known: di
     per = annotations.groupBy("relative_image").agg(F.sort_array(F.collect_list(F.struct("instance_index", "class_id", "kind", "bbox", "polygon"))).alias("annotations"))
     n_tasks = max(images.sparkSession.sparkContext.defaultParallelism, -(-n_images // IMAGES_PER_TASK))
     rows = images.select("relative_image", "width", "height").join(per, "relative_image").repartition(n_tasks, "relative_image")
-    name, preset = settings.backend, settings.preset
+    make, preset = backends.maker(settings.backend), settings.preset
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         backend = None
         for batch in batches:
             for row in batch.to_pylist():
                 if backend is None:
-                    backend = backends.build(name)
+                    backend = make()
                     backend.load()
                 base = {k: row[k] for k in ("relative_image", "width", "height")}
                 try:

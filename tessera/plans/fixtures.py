@@ -5,6 +5,8 @@ Every view has one SQL text, which Spark and DuckDB both run (DuckDB with varcha
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 VIEWS = {
@@ -26,6 +28,8 @@ VIEWS = {
     "fx_annotations": """select image_id, relative_image, width, height, class_id, x0,y0,x1,y1,
  cast(row_number() over (partition by image_id order by line_no)-1 as int) as instance_index
  from fx_boxes where bw>0 and bh>0 and x1>x0 and y1>y0""",
+    # boxes so thin that many prompts made of them are degenerate
+    "fx_slivers": """select image_id, instance_index, width, height, class_id, relative_image, x0, y0, x0+(x1-x0)/400 as x1, y1 from fx_annotations""",
     "fx_issues": """select image_id, relative_image, line_no, concat('Line ', cast(line_no as string), ': ',
  case when bw<=0 or bh<=0 then 'YOLO box width/height must be positive' else 'degenerate bounding box' end) as issue
  from fx_boxes where not (bw>0 and bh>0 and x1>x0 and y1>y0)""",
@@ -52,12 +56,12 @@ TABLES = ("orders", "lineitem", "embeddings", "documents", "part", "supplier", "
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view as a DataFrame; what it reads is registered under names of its own session-wide temp views."""
-    for t in TABLES:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    """A table, or a view over the tables that it names; nothing is registered in the session."""
     if name in TABLES:
-        return spark.table(name)
-    return spark.sql(spark_sql(name))
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    sql = spark_sql(name)
+    used = [t for t in TABLES if re.search(rf"\bfrom {t}\b", sql)]
+    return spark.sql(re.sub(rf"\bfrom ({'|'.join(used)})\b", r"from {\1}", sql), **{t: load(spark, sf_dir, t) for t in used})
 
 
 def needed(name: str) -> list[str]:

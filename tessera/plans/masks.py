@@ -17,7 +17,7 @@ from tessera.functions import raster as R
 from tessera.operators import polygons as V
 from tessera.operators import report as Z
 from tessera.operators import scoring as Q
-from tessera.plans.fixtures import load
+from tessera.plans.fixtures import duck, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,7 +126,7 @@ def leakage(spark, d):
     """Share outside the box from (2, 2) to (6, 6)."""
     box = sum(1 << (8 * y + x) for y in range(2, 7) for x in range(2, 7))
     rows = _words(spark, d).withColumn("box", F.array(F.lit(box).cast("long")))
-    return rows.select("vec_id", Q.leakage(rows, "words", "box").alias("leakage"))
+    return rows.select("vec_id", Q.leakage("words", "box").alias("leakage"))
 
 
 @query("select vec_id, cast(len(list_filter(embedding, lambda v: v > case when list_min(embedding)>=0 and list_max(embedding)<=1 then 0.5 else 0 end)) as bigint) as area from embeddings")
@@ -152,15 +152,28 @@ def backend_agreement(spark, d):
 # --- raster kernels
 
 
-@query()
+@query(COMPONENTS + f" select m.vec_id, cast(coalesce(sum({SCALE * SCALE}*cp.area) filter (where {SCALE * SCALE}*cp.area>=40),0) as bigint) as area from m left join cp on cp.vec_id=m.vec_id group by 1")
 def despeckle(spark, d):
     """Masks without components of fewer than 40 pixels."""
     return V.mapped(_large(spark, d), "area bigint", lambda r: {"area": int(R.without_small(V.mask_of(r["mask"]), 40).sum())}, ["vec_id"], ["mask"])
 
 
-@query()
+def _window(name: str, source: str, low: int, high: int, grow: bool) -> str:
+    """Pixels of `source` dilated or eroded by the square from (low, low) to (high, high) around each pixel; only pixels of the frame decide."""
+    inside = f"s.y between g.y{low:+d} and g.y{high:+d} and s.x between g.x{low:+d} and g.x{high:+d}"
+    size = f"(least(g.y{high:+d},7)-greatest(g.y{low:+d},0)+1)*(least(g.x{high:+d},7)-greatest(g.x{low:+d},0)+1)"
+    return f", {name} as (select g.vec_id, g.y, g.x from gr g join {source} s on s.vec_id=g.vec_id and {inside} group by 1,2,3{'' if grow else f' having count(*)={size}'})"
+
+
+_MORPHED = PIXELS.replace("with m", "with recursive m").replace(", px as (", ", p0 as (") + ", gr as (select vec_id, cast(i//8 as int) as y, cast(i%8 as int) as x from m, (select unnest(range(0,64)) as i))"
+_MORPHED += _window("p1", "p0", -1, 1, True) + _window("p2", "p1", -1, 1, False) + _window("p3", "p2", -1, 0, False) + _window("px", "p3", -1, 0, True)
+POSTPROCESS = _MORPHED + COMPONENTS[COMPONENTS.index(", rc(") :]
+
+
+@query(POSTPROCESS + " select m.vec_id, cast(coalesce(sum(cp.area) filter (where cp.area>=3),0) as bigint) as area from m left join cp on cp.vec_id=m.vec_id group by 1")
 def postprocess(spark, d):
-    return V.mapped(_large(spark, d), "area bigint", lambda r: {"area": int(R.post_processed(V.mask_of(r["mask"]), 5, 3, 40, False).sum())}, ["vec_id"], ["mask"])
+    """Closing by 3, opening by 2, and removal of components of fewer than 3 pixels."""
+    return V.mapped(_small(spark, d), "area bigint", lambda r: {"area": int(R.post_processed(V.mask_of(r["mask"]), 3, 2, 3, False).sum())}, ["vec_id"], ["mask"])
 
 
 @query()
@@ -203,11 +216,22 @@ def raster_parts(spark, d):
     return V.mapped(_large(spark, d), "area bigint", f, ["vec_id"], ["mask"])
 
 
-@query("with i as (select o_orderkey as id, o_orderkey%40 as a, o_orderkey%25 as b from orders) select id, cast((a+1)*(b+1) as bigint) as area from i where a>0 and b>0")
+#: Corners of quadrilaterals by a number k below 1,000: slanted, self-crossing, partly or wholly outside of a 64 x 64 frame.
+CORNERS = ("k%50-5", "k*7%45-3"), ("k*13%75", "k*3%50"), ("k*29%55", "k*11%80-8"), ("k*17%48-20", "k*23%52")
+POLYGONS = """with ks as (select distinct o_orderkey%1000 as k from orders), ed as (""" + " union all ".join(f"select k, {ax} as ax, {ay} as ay, {bx} as bx, {by} as by_ from ks" for (ax, ay), (bx, by) in zip(CORNERS, (*CORNERS[1:], CORNERS[0]), strict=True)) + """),
+ cr as (select k, y, ceil(ax+((y-ay)*(bx-ax))/cast(by_-ay as double)) as x from (select *, unnest(range(least(ay,by_), greatest(ay,by_))) as y from ed) where y between 0 and 63),
+ ins as (select k, y, x from (select cr.k, cr.y, g.x, count(*) filter (where cr.x<=g.x) as n from cr, (select unnest(range(0,64)) as x) g group by 1,2,3) where n%2=1),
+ ln as (select *, greatest(abs(bx-ax),abs(by_-ay)) as n from ed), ou as (select k, cast(floor(ay+(by_-ay)*(t/cast(greatest(n,1) as double))+0.5) as bigint) as y, cast(floor(ax+(bx-ax)*(t/cast(greatest(n,1) as double))+0.5) as bigint) as x from (select *, unnest(range(0,n+1)) as t from ln)),
+ al as (select k, y, x from ins union select k, y, x from ou where x between 0 and 63 and y between 0 and 63), ar as (select k, count(*) as area from al group by 1)"""
+
+
+@query(POLYGONS + " select o_orderkey as id, cast(coalesce(area,0) as bigint) as area from orders left join ar on ar.k=o_orderkey%1000")
 def raster_polygon(spark, d):
-    """Filled rectangles with their outlines."""
-    rows = load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 40).alias("a"), (F.col("o_orderkey") % 25).alias("b")).where("a > 0 and b > 0")
-    return V.mapped(rows, "area bigint", lambda r: {"area": int(R.from_polygon([(2, 3), (2 + r["a"], 3), (2 + r["a"], 3 + r["b"]), (2, 3 + r["b"])], 64, 64).sum())}, ["id"], ["a", "b"])
+    """Polygons filled by the even-odd rule, with their outlines; each shape is drawn once."""
+    rows = load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 1000).alias("k"))
+    shapes = rows.select("k").distinct().withColumn("ring", F.array(*(F.array(F.expr(x), F.expr(y)) for x, y in CORNERS)))
+    areas = V.mapped(shapes, "area bigint", lambda r: {"area": int(R.from_polygon(r["ring"], 64, 64).sum())}, ["k"], ["ring"])
+    return rows.join(F.broadcast(areas), "k").select("id", "area")  # 1,000 rows at most
 
 
 def _ringed(spark: SparkSession, d: str) -> DataFrame:
@@ -228,13 +252,35 @@ def bridge_holes(spark, d):
     return V.mapped(_large(spark, d), "vertices int", f, ["vec_id"], ["mask"])
 
 
-@query()
+_SHARE = "greatest(cast(0 as double),least(cast(1 as double),({v})/cast({n} as double)))"
+_SIX = "(cast(floor(round_even({v}*1e6,0)/1e6) as bigint) || '.' || lpad(cast(cast(round_even({v}*1e6,0) as bigint)%1000000 as varchar),6,'0'))"
+
+
+def _line(points: list[tuple[str, str]]) -> str:
+    numbers = [_SIX.format(v=_SHARE.format(v=v, n=n)) for x, y in points for v, n in ((x, "width"), (y, "height"))]
+    return "class_id || ' ' || " + " || ' ' || ".join(numbers)
+
+
+_BOX = [("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1")]
+_KITE = [("x0-9", "y0"), ("x1*2", "(y0+y1)/3"), ("x0/7", "y1+600")]
+
+
+@query(duck(f"select image_id, instance_index, 0 as part, {_line(_BOX)} as line from fx_annotations union all select image_id, instance_index, 1, {_line(_KITE)} from fx_annotations"))
 def label_lines_out(spark, d):
-    rows = _ringed(spark, d).withColumns({"class_id": F.lit(0), "width": F.lit(48), "height": F.lit(48)})
-    return V.label_rows(rows, ["vec_id"])
+    """Label rows of rings inside and outside of the frame; rings of two points have none."""
+    ring = lambda points: F.array(*(F.struct(F.expr(x).cast("double").alias("x"), F.expr(y).cast("double").alias("y")) for x, y in points))
+    rows = load(spark, d, "fx_annotations").withColumn("rings", F.array(ring(_BOX), ring(_KITE), ring(_BOX[:2])))
+    return V.label_rows(rows, ["image_id", "instance_index"])
 
 
-@query()
+#: Squared distances of all pixels of the enlarged masks to the nearest unset block, or to outside of the frame.
+DEPTHS = MASKS + f""", bl as (select vec_id, cast(i//8 as int) as by_, cast(i%8 as int) as bx, b[i+1] as on_ from m, (select unnest(range(0,64)) as i)),
+ pi as (select vec_id, by_*{SCALE}+u as y, bx*{SCALE}+v as x from bl, (select unnest(range(0,{SCALE})) as u), (select unnest(range(0,{SCALE})) as v) where on_),
+ fa as (select pi.vec_id, pi.y, pi.x, min(power(greatest(bx*{SCALE}-pi.x,pi.x-bx*{SCALE}-{SCALE - 1},0),2)+power(greatest(by_*{SCALE}-pi.y,pi.y-by_*{SCALE}-{SCALE - 1},0),2)) as far from pi left join bl on bl.vec_id=pi.vec_id and not on_ group by 1,2,3),
+ de as (select vec_id, y, x, least(coalesce(far,1e9), power(least(x+1,y+1,{8 * SCALE}-x,{8 * SCALE}-y),2)) as deep from fa)"""
+
+
+@query(DEPTHS + " select m.vec_id, cast(arg_max(x, row(deep,-y,-x)) as double) as x, cast(arg_max(y, row(deep,-y,-x)) as double) as y from m left join de on de.vec_id=m.vec_id group by 1")
 def interior_point(spark, d):
     def f(r: dict) -> dict:
         at = R.interior_point(V.mask_of(r["mask"]))
@@ -260,10 +306,59 @@ def edge_alignment(spark, d):
     return V.mapped(_large(spark, d), "value double", f, ["vec_id"], ["mask"])
 
 
-@query()
+def _ellipses() -> str:
+    from tessera.plans.relational import ORACLES as other
+
+    far = "cast(floor(ax*sqrt(greatest(0,1-power(cast(dy as double)/ay,2)))) as bigint)"
+    fits = "power(cast({v} as double)/ax,2)+power(cast(dy as double)/ay,2)<=1"
+    return f"""with fc as ({other["fallback_candidates"]}), sh as (select distinct ax, ay from fc), ro as (select *, {far} as f from (select *, unnest(range(-ay, ay+1)) as dy from sh)),
+ rw as (select ax, ay, case when {fits.format(v="f+1")} then f+1 when {fits.format(v="f")} then f else f-1 end as f from ro), sz as (select ax, ay, cast(sum(2*f+1) as bigint) as area from rw group by 1,2)
+ select image_id, instance_index, prompt, area from fc join sz using (ax, ay)"""
+
+
+@query(_ellipses())
 def fallback_masks(spark, d):
-    """Area of the placeholder backend's masks, drawn in the region around each box."""
+    """Area of the placeholder backend's masks; each shape is drawn once."""
     from tessera.plans.relational import fallback_candidates
 
-    rows = fallback_candidates(spark, d)
-    return V.mapped(rows, "area bigint", lambda r: {"area": int(R.ellipse(2 * r["ax"] + 3, 2 * r["ay"] + 3, r["ax"] + 1, r["ay"] + 1, r["ax"], r["ay"]).sum())}, ["image_id", "instance_index", "prompt"], ["ax", "ay"])
+    rows = fallback_candidates(spark, d).select("image_id", "instance_index", "prompt", "ax", "ay")
+    shapes = rows.select("ax", "ay").distinct()
+    areas = V.mapped(shapes, "area bigint", lambda r: {"area": int(R.ellipse(2 * r["ax"] + 3, 2 * r["ay"] + 3, r["ax"] + 1, r["ay"] + 1, r["ax"], r["ay"]).sum())}, ["ax", "ay"], ["ax", "ay"])
+    return rows.join(areas, ["ax", "ay"]).select("image_id", "instance_index", "prompt", "area")
+
+
+# --- the scores that a conversion computes in its kernels, against the same SQL as those above
+
+SCORES = (
+    PIXELS.replace("with m", "with recursive m")
+    + PAIRS[len(MASKS) :]
+    + STABILITY[len(PAIRS) : STABILITY.index(" select obj, cand, round")]
+    + COMPONENTS[COMPONENTS.index(", rc(") :]
+    + """, st as (select obj*5+cand as vec_id, round(case when len(v)=0 then 1 else list_avg(v[1:greatest(2,len(v)//3)]) end,6) as stability from r),
+ bx as (select greatest(0,2-4*cast(0.15 as double)/2) as lo, least(7,6+4*cast(0.15 as double)/2) as hi),
+ lk as (select vec_id, count(*) as t, count(*) filter (where not (x>=floor(lo) and x<floor(hi) and y>=floor(lo) and y<floor(hi))) as o from px, bx group by 1),
+ fr as (select vec_id, count(*) as n, max(area) as top, sum(area) as total from cp where area>=2 group by 1),
+ sc as (select m.vec_id, sam_score, stability, case when t is null then cast(1 as double) else o/cast(t as double) end as leakage, case when n is null or n<=1 then cast(0 as double) else least(cast(1 as double), 1-top/cast(total as double)+cast(0.05 as double)*(n-1)) end as fragmentation
+ from m left join st on st.vec_id=m.vec_id left join lk on lk.vec_id=m.vec_id left join fr on fr.vec_id=m.vec_id),
+ qu as (select *, cast(0.38 as double)*sam_score+cast(0.27 as double)*stability+cast(0.13 as double)*0.5+cast(0.10 as double)*(1-leakage)+cast(0.07 as double)*(1-fragmentation)+cast(0.05 as double)*0.25 as base from sc)
+ select vec_id, stability, round(leakage,6) as leakage, round(fragmentation,6) as fragmentation, round(greatest(0,least(1,case when leakage>0.2 then base-least(cast(0.12 as double),(leakage-0.2)*cast(0.5 as double)) else base end)),6) as quality from qu"""
+)
+
+
+@query(SCORES)
+def object_scores(spark, d):
+    """The scores that a conversion's kernels compute, of the same masks as the expressions above: a box from (2, 2) to (6, 6), edges 0.5, agreement 0.25."""
+    from tessera.plans import convert as C
+
+    def f(r: dict) -> dict:
+        masks = [V.mask_of(c["mask"]) for c in sorted(r["found"], key=lambda c: c["cand"])]
+        out = []
+        for c, m in zip(sorted(r["found"], key=lambda c: c["cand"]), masks, strict=True):
+            v = {"stability": round(C.stability(m, masks), 6), "edge_alignment": 0.5, "leakage": C.leak(m, (2, 2, 6, 6), 8, 8), "fragmentation": C.fragments(m, 2)}
+            out.append({"vec_id": c["vec_id"], **{k: v[k] for k in ("stability", "leakage", "fragmentation")}, "quality": C.quality(c["sam_score"], v, 0.25, 0.2)})
+        return {"scores": out}
+
+    per = _small(spark, d).groupBy("obj").agg(F.collect_list(F.struct("vec_id", "cand", "sam_score", "mask")).alias("found"))
+    rows = V.mapped(per, "scores array<struct<vec_id:bigint,stability:double,leakage:double,fragmentation:double,quality:double>>", f, ["obj"], ["found"])
+    each = rows.select(F.inline("scores"))
+    return each.select("vec_id", "stability", *(F.round(c, 6).alias(c) for c in ("leakage", "fragmentation", "quality")))

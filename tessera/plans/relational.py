@@ -121,10 +121,19 @@ def label_issues(spark, d):
     return D.issues_of(load(spark, d, "fx_lines")).select("image_id", "relative_image", "line_no", "issue")
 
 
-@query("select 'separate images/ and labels/ folders' as layout")
+LAYOUTS = """with i as (select image_id, image_id % 4 as dataset, relative_image as image_path, replace(relative_image, 'images/', 'labels/') as apart from fx_images),
+ p as (select *, case when dataset=0 or (dataset=2 and image_id % 3 = 0) then image_path when dataset<3 then apart end as label_path from i)"""
+
+
+@query(LAYOUTS + """ select dataset, case dataset when 0 then 'images and labels in the same folder' when 1 then 'separate images/ and labels/ folders' when 2 then 'mixed (some labels beside images, some in labels/)' else 'no label files found' end as layout from p group by 1
+ union all select cast(-1 as bigint), 'unknown'""")
 def layout(spark, d):
-    i = load(spark, d, "fx_images").select(F.col("relative_image").alias("image_path"), L.with_suffix(F.regexp_replace("relative_image", "^images/", "labels/"), ".txt").alias("label_path"))
-    return D.layout(i)
+    """Datasets of every layout, and one without images."""
+    p = load(spark, d, "fx_images").select((F.col("image_id") % 4).alias("dataset"), "image_id", F.col("relative_image").alias("image_path"))
+    apart = L.with_suffix(F.regexp_replace("image_path", "^images/", "labels/"), ".txt")
+    beside = (F.col("dataset") == 0) | ((F.col("dataset") == 2) & (F.col("image_id") % 3 == 0))
+    pairs = p.withColumn("label_path", F.when(beside, L.with_suffix(F.col("image_path"), ".txt")).when(F.col("dataset") < 3, apart))
+    return D.layout(pairs, ("dataset",)).unionByName(D.layout(pairs.where("false")).withColumn("dataset", F.lit(-1).cast("long")))
 
 
 # --- dataset
@@ -194,14 +203,15 @@ def profile_resolve(spark, d):
     return P.resolved(classes, class_profiles(spark, d), own)
 
 
-@query()
+@query(PROFILES + """ select class_id, 'derived (' || case when preserve_thin then 'thin/elongated' else 'compact' end || ', n=' || n || ', thinness=' || printf('%.2f', thin) || ', min_dim=' || printf('%.0f', mind) || 'px)' as origin from pr""")
 def profile_origin(spark, d):
     return P.with_origin(class_profiles(spark, d)).select("class_id", "origin")
 
 
-@query("select image_id, string_agg('class_' || class_id || ' ×' || n, ', ' order by 'class_' || class_id || ' ×' || n) as breakdown from (select image_id, class_id, count(*) as n from fx_annotations group by 1,2) group by 1")
+@query("""with nm as (select unnest([0,2,5,10]) as class_id, unnest(['hair','cable','leaf','wire']) as name), c as (select image_id, class_id, count(*) as n from fx_annotations group by 1,2), t as (select image_id, coalesce(name, 'class_' || c.class_id) || ' ×' || n as t from c left join nm on nm.class_id=c.class_id)
+ select image_id, string_agg(t, ', ' order by t) as breakdown from t group by 1""")
 def image_breakdown(spark, d):
-    return D.image_breakdown(_annotations(spark, d))
+    return D.image_breakdown(_annotations(spark, d), _names(spark))
 
 
 @query("select 0 as rank, 'Dataset' as image, 0 as line_no, 'No supported images were found.' as issue union all select 1, relative_image, line_no, issue from fx_issues")
@@ -209,17 +219,30 @@ def issue_table(spark, d):
     return D.issue_table(spark.createDataFrame([("No supported images were found.",)], "issue string"), load(spark, d, "fx_issues"))
 
 
-@query("""select (select count(*) from fx_images) as images, (select count(*) from fx_annotations) as objects, (select count(*) from fx_annotations) as boxes, cast(0 as bigint) as polygons, (select count(distinct image_id) from fx_issues) as problems, 1 as exit_code""")
+@query("""with g as (select count(*) as images from fx_images), a as (select count(*) as objects, count(*) filter (where image_id % 3 > 0) as boxes, count(*) filter (where image_id % 3 = 0) as polygons from fx_annotations)
+ select 'as it is' as dataset, images, objects, boxes, polygons, (select count(distinct image_id) from fx_issues) as problems, 1 as exit_code from g, a
+ union all select 'without problems', images, objects, boxes, polygons, 0, 0 from g, a""")
 def verify_output(spark, d):
-    """The counts of an output check; any problem makes the exit code 1."""
-    return dataset_summary(spark, d).select("images", "objects", "boxes", "polygons", "problems", F.when(F.col("problems") > 0, 1).otherwise(0).alias("exit_code"))
+    """The counts of an output check; any problem makes the exit code 1. Objects of every third image are polygons."""
+    images, issues = load(spark, d, "fx_images"), load(spark, d, "fx_issues")
+    objects = load(spark, d, "fx_annotations").withColumn("kind", F.when(F.col("image_id") % 3 == 0, "polygon").otherwise("detection"))
+    rows = [D.summary(images, objects, x).withColumn("dataset", F.lit(name)) for name, x in (("as it is", issues), ("without problems", issues.where("false")))]
+    return rows[0].unionByName(rows[1]).select("dataset", "images", "objects", "boxes", "polygons", "problems", F.when(F.col("problems") > 0, 1).otherwise(0).alias("exit_code"))
 
 
-@query("""select (select count(distinct image_id) from fx_annotations where image_id not in (select image_id from fx_issues)) as ready_images, (select count(*) from fx_annotations) as objects,
- (select count(*) from fx_images i where not exists (select 1 from fx_rows r where r.image_id=i.image_id)) as backgrounds, (select count(distinct image_id) from fx_issues) as problems, 'ready' as status""")
+@query("""with b as (select count(*) as backgrounds from fx_images i where not exists (select 1 from fx_rows r where r.image_id=i.image_id)), o as (select count(*) as objects from fx_annotations), n as (select count(*) as images from fx_images)
+ select 'as it is' as dataset, (select count(distinct image_id) from fx_annotations where image_id not in (select image_id from fx_issues)) as ready_images, objects, backgrounds, (select count(distinct image_id) from fx_issues) as problems, 'ready' as status from b, o
+ union all select 'without objects', 0, 0, images, 0, 'no objects' from n
+ union all select 'all with problems', 0, objects, 0, images, 'all images have problems' from o, n""")
 def dataset_status(spark, d):
-    ready = D.convertible_images(load(spark, d, "fx_images"), load(spark, d, "fx_issues")).join(_annotations(spark, d).select("image_id"), "image_id", "left_semi")
-    return D.status(dataset_summary(spark, d), ready)
+    """Whether each of three datasets can be converted."""
+    images, objects, issues = load(spark, d, "fx_images"), _annotations(spark, d), load(spark, d, "fx_issues")
+    bad = images.select("image_id", "relative_image", F.lit(0).alias("line_no"), F.lit("unreadable").alias("issue"))
+    out = []
+    for name, a, x in (("as it is", objects, issues), ("without objects", objects.where("false"), issues.where("false")), ("all with problems", objects, bad)):
+        ready = D.convertible_images(images, x).join(a.select("image_id"), "image_id", "left_semi")
+        out.append(D.status(D.summary(images, a, x), ready).withColumn("dataset", F.lit(name)))
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 NAMES = "select unnest([0,2,5,10]) as class_id, unnest(['hair','cable','leaf','wire']) as name"
@@ -242,11 +265,11 @@ def clamp_boxes(spark, d):
     return load(spark, d, "fx_boxes").select("image_id", "line_no", G.clamp(F.col("x0") * 2 - 50, F.col("width") - 1).alias("cx0"), G.clamp(F.col("y0") * 2 - 50, F.col("height") - 1).alias("cy0"))
 
 
-def prompt_sql(backend: str, preset: str) -> str:
+def prompt_sql(backend: str, preset: str, boxes: str = "fx_annotations") -> str:
     rows = " union all ".join(f"select {i} as ordinal, '{n}' as prompt, cast({s} as double) as scale, cast({x} as double) as dx, cast({y} as double) as dy" for i, (n, s, x, y) in enumerate(S.PROMPTS[backend][preset]))
     side = "greatest(cast(1 as double),x1-x0)", "greatest(cast(1 as double),y1-y0)"
     new = lambda c, w, m, sign: f"greatest(cast(0 as double),least(cast({m}-1 as double),{c}{sign}{w}*scale/2+{w}*{'dx' if m == 'width' else 'dy'})) as p{c}"
-    return f"with pt as ({rows}) select image_id, instance_index, width, height, ordinal, prompt, {new('x0', side[0], 'width', '-')}, {new('y0', side[1], 'height', '-')}, {new('x1', side[0], 'width', '+')}, {new('y1', side[1], 'height', '+')} from fx_annotations, pt"
+    return f"with pt as ({rows}) select image_id, instance_index, width, height, ordinal, prompt, {new('x0', side[0], 'width', '-')}, {new('y0', side[1], 'height', '-')}, {new('x1', side[0], 'width', '+')}, {new('y1', side[1], 'height', '+')} from {boxes}, pt"
 
 
 PROMPTED = ["image_id", "instance_index", "ordinal", "prompt", "px0", "py0", "px1", "py1"]
@@ -276,9 +299,9 @@ def fallback_candidates(spark, d):
     return C.fallback(_annotations(spark, d), "maximum").select("image_id", "instance_index", "prompt", "cx", "cy", "ax", "ay", "score")
 
 
-@query(f"with q as ({duck(prompt_sql('sam2', 'balanced'))}) select {', '.join(PROMPTED)} from q where px1-px0<1 or py1-py0<1")
+@query(f"with q as ({duck(prompt_sql('sam2', 'balanced', 'fx_slivers'))}) select {', '.join(PROMPTED)} from q where px1-px0<1 or py1-py0<1")
 def degenerate_prompts(spark, d):
-    return C.degenerate(C.prompted(_annotations(spark, d), "sam2", "balanced")).select(*PROMPTED)
+    return C.degenerate(C.prompted(load(spark, d, "fx_slivers").withColumn("kind", F.lit("detection")), "sam2", "balanced")).select(*PROMPTED)
 
 
 PAD = "greatest(cast(64 as double),x1-x0,y1-y0)"
@@ -340,10 +363,10 @@ def polygon_area(spark, d):
 
 # --- scoring and reports
 
-QUALITY = """with q as (select *, cast(0.38 as double)*greatest(0,least(1,sam_score))+cast(0.27 as double)*stability+cast(0.13 as double)*edge_alignment+cast(0.10 as double)*(1-least(1,leakage))+cast(0.07 as double)*(1-least(1,fragmentation))+cast(0.05 as double)*1 as base from fx_metrics),
- s as (select *, greatest(0,least(1, case when leakage>cast(0.2 as double) then base-least(cast(0.12 as double),(leakage-cast(0.2 as double))*cast(0.5 as double)) else base end)) as quality from q),
- w as (select *, list_filter([case when stability<cast(0.65 as double) then 'Candidate masks disagree' end, case when leakage>cast(0.2 as double) then 'Mask extends unusually far outside the YOLO box' end, case when fragmentation>cast(0.30 as double) then 'Mask is fragmented' end,
-  case when edge_alignment<cast(0.12 as double) then 'Weak image-edge support' end, case when quality<cast(0.5 as double) then 'Low overall quality; manual review recommended' end,
+QUALITY = """with q as (select *, cast(0.38 as double)*greatest(0,least(1,sam_score))+cast(0.27 as double)*stability+cast(0.13 as double)*edge_alignment+cast(0.10 as double)*(1-least(1,leakage))+cast(0.07 as double)*(1-least(1,fragmentation))+cast(0.05 as double)*agreement as base from (select *, cast((image_id*17+instance_index*13) % 101 as double)/100 as agreement, case when class_id % 2 = 0 then cast(0.2 as double) else cast(0.28 as double) end as most from fx_metrics)),
+ s as (select *, greatest(0,least(1, case when leakage>most then base-least(cast(0.12 as double),(leakage-most)*cast(0.5 as double)) else base end)) as quality from q),
+ w as (select *, list_filter([case when stability<cast(0.65 as double) then 'Candidate masks disagree' end, case when leakage>most then 'Mask extends unusually far outside the YOLO box' end, case when fragmentation>cast(0.30 as double) then 'Mask is fragmented' end,
+  case when edge_alignment<cast(0.12 as double) then 'Weak image-edge support' end, case when holes>0 then holes || ' hole(s) could not be encoded as a polygon' end, case when quality<cast(0.5 as double) then 'Low overall quality; manual review recommended' end,
   case when fidelity<cast(0.9 as double) then 'Polygon only reproduces ' || cast(cast(round_even(fidelity*1000,0) as bigint)//10 as varchar) || '.' || cast(cast(round_even(fidelity*1000,0) as bigint)%10 as varchar) || '% of the mask' end], lambda x: x is not null) as warnings,
   case when quality>=cast(0.78 as double) and fidelity>=cast(0.9 as double) then 'accepted' else 'review' end as state from s)"""
 
@@ -355,9 +378,11 @@ def two(c: str) -> str:
 
 def _scored(spark, d):
     m = load(spark, d, "fx_metrics")
-    q = Q.quality(F.col("sam_score"), F.col("stability"), F.col("edge_alignment"), F.col("leakage"), F.col("fragmentation"), F.lit(1.0), F.lit(0.2))
+    agreement = ((F.col("image_id") * 17 + F.col("instance_index") * 13) % 101).cast("double") / 100
+    most = F.when(F.col("class_id") % 2 == 0, 0.2).otherwise(0.28)
+    q = Q.quality(F.col("sam_score"), F.col("stability"), F.col("edge_alignment"), F.col("leakage"), F.col("fragmentation"), agreement, most)
     rows = m.withColumn("quality", q)
-    return rows.withColumn("warnings", Q.warnings(Q.percent(F.col("fidelity")), F.lit(0.2))).withColumn("state", Q.state())
+    return rows.withColumn("warnings", Q.warnings(Q.percent(F.col("fidelity")), most, dropped_holes=F.col("holes"))).withColumn("state", Q.state())
 
 
 @query(QUALITY + " select image_id, instance_index, quality from s")
