@@ -2,10 +2,13 @@
 
 Every stage but the last returns the columns of documents, for all that its predecessor kept. Between
 stages the rows are written as Parquet in the shared folder and read again, so a lost executor costs
-at most a part of one stage.
+at most a part of one stage; a stage's scratch tables and its predecessor's rows are deleted once its
+own are written.
 
-Null texts count as empty (the quality rules reject them); null ids pass through; rows of one id are
-one document; empty tables give no rows; columns of any other name are carried along to the last stage.
+Defined results, of every stage: null texts count as empty (the quality rules reject them); null ids
+pass through; rows of one id are one document, of which near-dedup keeps one row; texts of any length
+are handled whole; empty tables give no rows; columns of any other name are carried along to the last
+stage.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontaminate, near, packing, quality, secrets
-from tessera.llm.frames import table, written
+from tessera.llm.frames import discard, table, tidy
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, old = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        new: list[str] = []
+        with tidy(spark) as keep:
+            docs = keep(stage(spark, docs, sf_dir), new)
+        discard(spark, old)
+        old = new
     return STAGES[-1][1](spark, docs, sf_dir)

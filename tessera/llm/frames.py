@@ -89,11 +89,17 @@ _SCOPES: list[list[str]] = []
 
 
 @contextlib.contextmanager
-def tidy(spark: SparkSession) -> Iterator[None]:
-    """Deletes, at its end, the scratch tables that were written inside. Results must have been written elsewhere by then."""
+def tidy(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
+    """Deletes, at its end, the scratch tables that were written inside, but for those that it was given to keep (like written())."""
     _SCOPES.append([])
+
+    def keep(df: DataFrame, scratch: list[str] | None = None) -> DataFrame:
+        out = written(df, scratch)
+        _SCOPES[-1].pop()
+        return out
+
     try:
-        yield
+        yield keep
     finally:
         discard(spark, _SCOPES.pop())
 

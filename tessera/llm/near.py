@@ -182,10 +182,20 @@ class Search:
         both = pairs.join(sets.toDF("x", "xn", "xs"), "x").join(sets.toDF("y", "yn", "ys"), "y").withColumn("shared", F.expr("size(array_intersect(xs, ys))"))
         return both.where(f"100 * shared >= {self.percent} * (xn + yn - shared)").select("x", "y").distinct()
 
+    def of_one_id(self) -> DataFrame:
+        """(u, v) of the representatives whose sets rows of one id have."""
+        kinds = F.struct("s1", "s2", "n")
+        several = self.signed.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(kinds).alias("low"), F.max(kinds).alias("high")).where("low <> high").select("doc_id")
+        several = written(several, self.whole)
+        if several.isEmpty():
+            return self.docs.sparkSession.createDataFrame([], "u long, v long")
+        reps = self.signed.join(several, "doc_id", "left_semi").join(self.reps.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"]).select("doc_id", "rep").distinct()
+        return components(reps.join(reps.groupBy("doc_id").agg(F.min("rep").alias("x")), "doc_id").select("x", F.col("rep").alias("y")))
+
     def components(self) -> DataFrame:
         """(u, v): representatives that aren't the least of their component, and that least one."""
         lists = self.lists()
-        found = self.docs.sparkSession.createDataFrame([], "u long, v long")
+        found = self.of_one_id()
         for round_ in range(ROUNDS + 1):
             members = lists.join(found.toDF("rep", "to"), "rep", "left").withColumn("comp", F.coalesce("to", "rep")).drop("to")
             pairs = (self.pivots(members, round_) if round_ < ROUNDS else self.rest(self.compared(members, found))).distinct()

@@ -58,4 +58,14 @@ OP8 = """with d as (select doc_id, hex(encode(coalesce(text,''))) as h, octet_le
  a as (select doc_id, cast(sum(hit) as bigint) as n_removed, count(*) filter (where new) as n_spans, string_agg(b, '' order by i) filter (where hit=0) as kept from s group by 1)
  select d.doc_id, cast(n as bigint) as n_bytes, coalesce(n_removed,0) as n_removed, coalesce(n_spans,0) as n_spans, sha256(unhex(coalesce(kept,''))) as kept_sha256 from d left join a on a.doc_id=d.doc_id"""
 
-ORACLES = {"op1_quality_rules": OP1, "op3_substring_dedup": OP3, "op5_near_dedup": OP5, "op7_decontamination": OP7, "op8_suffix_dedup": OP8}
+ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+)"""
+_KINDS = [("assign", ASSIGN.replace("'", "''"), 2, 8), ("access", "AKIA[A-Z0-9]+", 0, 16), ("hex", "[0-9a-f]+", 0, 32)]
+_MATCHES = " union all ".join(f"select doc_id, '{kind}' as kind, {k} as k, string_split_regex(t, '{rule}') as gaps, regexp_extract_all(t, '{rule}') as found, regexp_extract_all(t, '{rule}', {group}) as value, {least} as least from d" for k, (kind, rule, group, least) in enumerate(_KINDS))
+#: The base spans alone: layers are beyond SQL.
+OP6_BASE = f"""with d as (select doc_id, coalesce(text,'') as t from documents), m as ({_MATCHES}),
+ s as (select doc_id, kind, k, gaps, found, unnest(range(1, len(found)+1)) as i from m where len(found)>0),
+ p as (select s.doc_id, s.kind, s.k, list_sum(list_transform(s.gaps[1:s.i], lambda x: length(x))) + coalesce(list_sum(list_transform(s.found[1:s.i-1], lambda x: length(x))),0) as a, length(s.found[s.i]) as n, length(m.value[s.i]) as size, least from s join m on m.doc_id=s.doc_id and m.k=s.k),
+ g as (select doc_id, count(*) filter (where k=0) as n_assign, count(*) filter (where k=1) as n_access, count(*) filter (where k=2) as n_hex, string_agg(kind || ':' || cast(a as bigint) || ':' || cast(a+n as bigint), ',' order by a, k) as spans from p where size>=least group by 1)
+ select d.doc_id, coalesce(n_assign,0) as n_assign, coalesce(n_access,0) as n_access, coalesce(n_hex,0) as n_hex, sha256(coalesce(spans,'')) as base_sha256 from d left join g on g.doc_id=d.doc_id"""
+
+ORACLES = {"op1_quality_rules": OP1, "op3_substring_dedup": OP3, "op5_near_dedup": OP5, "op6_base_spans": OP6_BASE, "op7_decontamination": OP7, "op8_suffix_dedup": OP8}
