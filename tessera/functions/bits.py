@@ -24,4 +24,7 @@ def iou(a: Column, b: Column, area_a: Column, area_b: Column) -> Column:
 
 def signs(values: Column) -> Column:
     """One word whose bit i tells whether value i is positive (64 values at most)."""
-    return F.aggregate(F.transform(values, lambda v, i: F.when(v > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    return F.aggregate(
+        F.transform(values, lambda v, i: F.when(v > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))),
+        F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b),
+    )

@@ -40,7 +40,10 @@ def parse(line: Column, w: Column, h: Column) -> Column:
             clamp((at(1) - at(3) / 2) * w, w - 1).alias("x0"), clamp((at(2) - at(4) / 2) * h, h - 1).alias("y0"),
             clamp((at(1) + at(3) / 2) * w, w - 1).alias("x1"), clamp((at(2) + at(4) / 2) * h, h - 1).alias("y1"),
         )
-        pairs = F.transform(F.sequence(F.lit(0), F.greatest((n / 2).cast("int") - 1, F.lit(0))), lambda i: F.struct(clamp(F.get(v, 2 * i + 1) * w, w - 1).alias("x"), clamp(F.get(v, 2 * i + 2) * h, h - 1).alias("y")))
+        pairs = F.transform(
+            F.sequence(F.lit(0), F.greatest((n / 2).cast("int") - 1, F.lit(0))),
+            lambda i: F.struct(clamp(F.get(v, 2 * i + 1) * w, w - 1).alias("x"), clamp(F.get(v, 2 * i + 2) * h, h - 1).alias("y")),
+        )
 
         def judged(p: Column) -> Column:
             b = p["box"]
@@ -54,7 +57,12 @@ def parse(line: Column, w: Column, h: Column) -> Column:
 
             def result(i: Column) -> Column:
                 valid = i.isNull() & (F.size(v) > 0)
-                return F.struct(valid.alias("valid"), F.when(valid, p["cls"]).alias("class_id"), F.when(valid & is_box, "detection").when(valid, "polygon").alias("kind"), F.when(valid & is_box, b).when(valid, ring_bbox(p["polygon"])).alias("bbox"), F.when(valid & is_polygon, p["polygon"]).alias("polygon"), i.alias("issue"))
+                return F.struct(
+                    valid.alias("valid"), F.when(valid, p["cls"]).alias("class_id"),
+                    F.when(valid & is_box, "detection").when(valid, "polygon").alias("kind"),
+                    F.when(valid & is_box, b).when(valid, ring_bbox(p["polygon"])).alias("bbox"),
+                    F.when(valid & is_polygon, p["polygon"]).alias("polygon"), i.alias("issue"),
+                )
 
             return let(issue, result)
 
@@ -86,6 +94,12 @@ def label_candidates(path: Column, root: Column) -> Column:
     parts = F.split(path, "/")
     folders = F.slice(parts, 1, F.size(parts) - 1)
     last = F.size(folders) - F.array_position(F.reverse(folders), "images") + 1  # 1-based place of the last one
-    swapped = F.when(F.array_contains(folders, "images"), with_suffix(F.concat_ws("/", F.slice(parts, 1, last.cast("int") - 1), F.lit("labels"), F.slice(parts, last.cast("int") + 1, F.size(parts))), ".txt"))
+    swapped = F.when(
+        F.array_contains(folders, "images"),
+        with_suffix(
+            F.concat_ws("/", F.slice(parts, 1, last.cast("int") - 1), F.lit("labels"), F.slice(parts, last.cast("int") + 1, F.size(parts))),
+            ".txt",
+        ),
+    )
     relative = F.substring(path, F.length(root) + 2, F.length(path))
     return F.array_distinct(F.array_compact(F.array(swapped, with_suffix(path, ".txt"), with_suffix(F.concat(root, F.lit("/labels/"), relative), ".txt"))))

@@ -45,7 +45,9 @@ def perturbed(box: tuple, w: int, h: int, scale: float, dx: float, dy: float) ->
     x0, y0, x1, y1 = box
     bw, bh = max(1.0, x1 - x0), max(1.0, y1 - y0)
     clamp = lambda v, hi: max(0.0, min(float(hi), v))
-    return clamp(x0 - bw * scale / 2 + bw * dx, w - 1), clamp(y0 - bh * scale / 2 + bh * dy, h - 1), clamp(x1 + bw * scale / 2 + bw * dx, w - 1), clamp(y1 + bh * scale / 2 + bh * dy, h - 1)
+    return clamp(
+        x0 - bw * scale / 2 + bw * dx, w - 1,
+    ), clamp(y0 - bh * scale / 2 + bh * dy, h - 1), clamp(x1 + bw * scale / 2 + bw * dx, w - 1), clamp(y1 + bh * scale / 2 + bh * dy, h - 1)
 
 
 class Fallback(Backend):

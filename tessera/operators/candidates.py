@@ -31,7 +31,12 @@ def fallback(annotations: DataFrame, preset: str) -> DataFrame:
     """Ellipses of the deterministic placeholder backend: centre, semi-axes and score of each candidate."""
     rows = prompted(annotations, "fallback", preset)
     half = lambda lo, hi: F.greatest(F.lit(1), ((F.col(hi) - F.col(lo)) * 0.45).cast("int"))
-    return rows.withColumns({"cx": ((F.col("px0") + F.col("px1")) / 2).cast("int"), "cy": ((F.col("py0") + F.col("py1")) / 2).cast("int"), "ax": half("px0", "px1"), "ay": half("py0", "py1"), "score": 0.70 - F.col("ordinal") * 0.02})
+    return rows.withColumns(
+        {
+            "cx": ((F.col("px0") + F.col("px1")) / 2).cast("int"), "cy": ((F.col("py0") + F.col("py1")) / 2).cast("int"),
+            "ax": half("px0", "px1"), "ay": half("py0", "py1"), "score": 0.70 - F.col("ordinal") * 0.02,
+        }
+    )
 
 
 def degenerate(prompts: DataFrame) -> DataFrame:

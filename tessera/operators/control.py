@@ -20,7 +20,9 @@ def generated_marker(spark: SparkSession, path: str) -> str | None:
     """The output folder that a path lies in, if it is one of ours."""
     at = path.rstrip("/")
     while at and not at.endswith(":"):
-        if exists(spark, f"{at}/{STATE}/run.json") or (exists(spark, f"{at}/reports/summary.json") and (exists(spark, f"{at}/overlays") or exists(spark, f"{at}/dataset"))):
+        if exists(spark, f"{at}/{STATE}/run.json") or (
+            exists(spark, f"{at}/reports/summary.json") and (exists(spark, f"{at}/overlays") or exists(spark, f"{at}/dataset"))
+        ):
             return at
         at = at.rpartition("/")[0]
     return None
@@ -47,7 +49,10 @@ def guard_run(spark: SparkSession, output: str, backend: str, preset: str) -> No
 
 
 #: Folders of an output that hold one folder for each run.
-PER_RUN = (f"{STATE}/completed", f"{STATE}/scan", f"{STATE}/annotations", f"{STATE}/objects", *(f"_debug_and_logs/reports/{r}.csv" for r in ("objects", "review_queue", "failures")))
+PER_RUN = (
+    f"{STATE}/completed", f"{STATE}/scan", f"{STATE}/annotations", f"{STATE}/objects",
+    *(f"_debug_and_logs/reports/{r}.csv" for r in ("objects", "review_queue", "failures")),
+)
 
 
 def ended_runs(spark: SparkSession, output: str) -> list[str]:

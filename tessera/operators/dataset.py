@@ -46,7 +46,9 @@ def summary(images: DataFrame, annotations: DataFrame, issues: DataFrame, key: s
     rows = images.select(key).join(per, key, "left").join(bad, key, "left").na.fill(0)
     return rows.agg(
         F.count("*").alias("images"), F.sum("n").alias("objects"), F.sum("boxes").alias("boxes"), F.sum(F.col("n") - F.col("boxes")).alias("polygons"),
-        F.count_if((F.col("n") == 0) & (F.col("bad") == 0)).alias("backgrounds"), F.count_if(F.col("bad") > 0).alias("problems"), F.count_if(F.col("n") + F.col("bad") > 0).alias("labelled"),
+        F.count_if(
+            (F.col("n") == 0) & (F.col("bad") == 0)
+        ).alias("backgrounds"), F.count_if(F.col("bad") > 0).alias("problems"), F.count_if(F.col("n") + F.col("bad") > 0).alias("labelled"),
     )
 
 
@@ -80,7 +82,9 @@ def layout(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 def issue_table(dataset_issues: DataFrame, issues: DataFrame) -> DataFrame:
     """Dataset-level issues first, then those of images."""
-    return dataset_issues.select(F.lit(0).alias("rank"), F.lit("Dataset").alias("image"), F.lit(0).alias("line_no"), "issue").unionByName(issues.select(F.lit(1).alias("rank"), F.col("relative_image").alias("image"), "line_no", "issue"))
+    return dataset_issues.select(F.lit(0).alias("rank"), F.lit("Dataset").alias("image"), F.lit(0).alias("line_no"), "issue").unionByName(
+        issues.select(F.lit(1).alias("rank"), F.col("relative_image").alias("image"), "line_no", "issue")
+    )
 
 
 def status(counts: DataFrame, convertible_with_objects: DataFrame) -> DataFrame:
@@ -95,4 +99,19 @@ def status(counts: DataFrame, convertible_with_objects: DataFrame) -> DataFrame:
 def contiguous_names(annotations: DataFrame, names: DataFrame) -> DataFrame:
     """Names for every id from 0 to the largest that is used or named; gaps are class_<id>. Negative ids get none."""
     ids = annotations.select("class_id").unionByName(names.select("class_id")).where("class_id >= 0").agg(F.max("class_id").alias("top")).where("top is not null")
-    return ids.select(F.explode(F.sequence(F.lit(0), "top")).alias("class_id")).join(names, "class_id", "left").select("class_id", F.coalesce("name", F.concat(F.lit("class_"), F.col("class_id").cast("string"))).alias("name"))
+    return ids.select(F.explode(F.sequence(F.lit(0), "top")).alias("class_id")).join(names, "class_id", "left").select(
+        "class_id", F.coalesce("name", F.concat(F.lit("class_"), F.col("class_id").cast("string"))).alias("name"),
+    )
+
+
+def neighbours(images: DataFrame, annotations: DataFrame, current: DataFrame, key: str = "image_id") -> DataFrame:
+    """For each current image (a small table of `current`): the next and the previous annotated image, around the ends.
+
+    Keys are compared in one pass, so no window over all images is needed to page through them.
+    """
+    annotated = images.select(key).join(annotations.select(key), key, "left_semi")
+    k, c = F.col(key), F.col("current")
+    found = annotated.crossJoin(F.broadcast(current)).groupBy("current").agg(  # a page's few rows
+        F.min(F.when(k > c, k)).alias("after"), F.min(k).alias("first"), F.max(F.when(k < c, k)).alias("before"), F.max(k).alias("last")
+    )
+    return found.select("current", F.coalesce("after", "first").alias("next"), F.coalesce("before", "last").alias("previous"))

@@ -52,7 +52,13 @@ def mapped(rows: DataFrame, added: str, f: Callable[[dict], dict], keep: list[st
             names = list(made[0]) if made else []
             if not made:
                 continue
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array([m[n] for m in made]) if n not in NESTED else pa.array([m[n] for m in made], NESTED[n]) for n in names)], names=[*keep, *names])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(c) for c in keep),
+                    *(pa.array([m[n] for m in made]) if n not in NESTED else pa.array([m[n] for m in made], NESTED[n]) for n in names),
+                ],
+                names=[*keep, *names],
+            )
 
     return plain.mapInArrow(run, schema)
 
@@ -63,7 +69,9 @@ _MASK = pa.struct([("x0", pa.int32()), ("y0", pa.int32()), ("w", pa.int32()), ("
 NESTED = {
     "parts": pa.list_(pa.struct([("exterior", pa.list_(_POINT)), ("holes", pa.list_(pa.list_(_POINT)))])),
     "rings": pa.list_(pa.list_(_POINT)), "mask": _MASK, "areas": pa.list_(pa.int64()), "point": _POINT, "box": pa.list_(pa.int32()),
-    "n": pa.int32(), "lost": pa.int32(), "vertices": pa.int32(), "area": pa.int64(), "fidelity": pa.float64(), "score": pa.float64(), "scores": pa.list_(pa.struct([("vec_id", pa.int64()), *((c, pa.float64()) for c in ("stability", "leakage", "fragmentation", "quality"))])), "value": pa.float64(), "flags": pa.list_(pa.bool_()),
+    "n": pa.int32(), "lost": pa.int32(), "vertices": pa.int32(), "area": pa.int64(), "fidelity": pa.float64(), "score": pa.float64(), "scores": pa.list_(
+        pa.struct([("vec_id", pa.int64()), *((c, pa.float64()) for c in ("stability", "leakage", "fragmentation", "quality"))])
+    ), "value": pa.float64(), "flags": pa.list_(pa.bool_()),
 }
 
 

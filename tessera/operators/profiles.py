@@ -14,7 +14,9 @@ def class_stats(annotations: DataFrame) -> DataFrame:
     """Exact medians per class of area, shorter side and side ratio; sides count as 1 at least."""
     w, h = F.greatest(F.lit(1.0), F.col("x1") - F.col("x0")), F.greatest(F.lit(1.0), F.col("y1") - F.col("y0"))
     return annotations.select("class_id", w.alias("w"), h.alias("h")).groupBy("class_id").agg(
-        F.count("*").alias("n"), F.median(F.col("w") * F.col("h")).alias("area"), F.median(F.least("w", "h")).alias("mind"), F.median(F.least("w", "h") / F.greatest("w", "h")).alias("thin")
+        F.count("*").alias("n"), F.median(F.col("w") * F.col("h")).alias("area"), F.median(F.least("w", "h")).alias("mind"), F.median(
+            F.least("w", "h") / F.greatest("w", "h")
+        ).alias("thin")
     )
 
 
@@ -34,7 +36,10 @@ def derived(stats: DataFrame) -> DataFrame:
 
 
 def with_origin(profiles: DataFrame) -> DataFrame:
-    text = F.format_string("derived (%s, n=%d, thinness=%.2f, min_dim=%.0fpx)", F.when(F.col("preserve_thin"), "thin/elongated").otherwise("compact"), F.col("n"), F.col("thin"), F.col("mind"))
+    text = F.format_string(
+        "derived (%s, n=%d, thinness=%.2f, min_dim=%.0fpx)",
+        F.when(F.col("preserve_thin"), "thin/elongated").otherwise("compact"), F.col("n"), F.col("thin"), F.col("mind"),
+    )
     return profiles.withColumn("origin", text)
 
 
@@ -45,4 +50,7 @@ def resolved(classes: DataFrame, profiles: DataFrame, overrides: DataFrame) -> D
     rows = classes.join(pack(overrides, "own"), "class_id", "left").join(pack(profiles, "got"), "class_id", "left")
     origin = F.when(F.col("own").isNotNull(), "user override").when(F.col("got").isNotNull(), "derived").otherwise("no samples")
     kinds = "struct<target_fidelity:double,min_component_area:int,close_kernel:int,open_kernel:int,preserve_thin:boolean,max_leakage:double>"
-    return rows.select("class_id", F.coalesce(F.col("own").cast(kinds), F.col("got").cast(kinds), default.cast(kinds)).alias("p"), origin.alias("origin")).select("class_id", "p.*", "origin")
+    return rows.select(
+        "class_id", F.coalesce(F.col("own").cast(kinds), F.col("got").cast(kinds), default.cast(kinds)).alias("p"),
+        origin.alias("origin"),
+    ).select("class_id", "p.*", "origin")

@@ -12,7 +12,12 @@ def object_report(objects: DataFrame, names: DataFrame) -> DataFrame:
     """Report rows: objects with their class names, numbers rounded as the report writes them."""
     named = objects.join(names, "class_id", "left").withColumn("class_name", F.coalesce("name", F.concat(F.lit("class_"), F.col("class_id").cast("string"))))
     four = [F.round(c, 4).alias(c) for c in ("sam_score", "stability", "edge_alignment", "leakage", "fragmentation", "fidelity", "quality")]
-    return named.select(F.col("relative_image").alias("image"), F.col("instance_index").alias("instance"), "class_id", "class_name", F.lit("detection").alias("source_kind"), "prompt", *four, "parts", "holes", "points", "state", F.array_join("warnings", " | ").alias("warnings"), F.regexp_replace(F.regexp_replace("relative_image", "^images/", "labels/"), r"\.[^/.]+$", ".txt").alias("output_label"))
+    return named.select(
+        F.col("relative_image").alias("image"), F.col("instance_index").alias("instance"), "class_id", "class_name",
+        F.lit("detection").alias("source_kind"), "prompt", *four, "parts", "holes", "points", "state",
+        F.array_join("warnings", " | ").alias("warnings"),
+        F.regexp_replace(F.regexp_replace("relative_image", "^images/", "labels/"), r"\.[^/.]+$", ".txt").alias("output_label"),
+    )
 
 
 def run_summary(images: DataFrame, report: DataFrame, failures: DataFrame, min_fidelity: float = S.MIN_FIDELITY) -> DataFrame:
@@ -20,7 +25,9 @@ def run_summary(images: DataFrame, report: DataFrame, failures: DataFrame, min_f
     rows = report.agg(
         F.count("*").alias("processed_object_rows"), F.count_if(F.col("state") == "accepted").alias("accepted"), F.count_if(F.col("state") == "review").alias("review"),
         F.round(F.avg("quality"), 4).alias("mean_quality"), F.round(F.avg("fidelity"), 4).alias("mean_polygon_fidelity"), F.min("fidelity").alias("min_polygon_fidelity"),
-        F.count_if(F.col("fidelity") < min_fidelity).alias("below_fidelity_threshold"), F.coalesce(F.bool_or(F.col("prompt").startswith("fallback")), F.lit(False)).alias("placeholder"),
+        F.count_if(F.col("fidelity") < min_fidelity).alias("below_fidelity_threshold"), F.coalesce(
+            F.bool_or(F.col("prompt").startswith("fallback")), F.lit(False),
+        ).alias("placeholder"),
     )
     return rows.crossJoin(images.agg(F.count("*").alias("images"))).crossJoin(failures.agg(F.count("*").alias("failed_images")))  # one row each
 
@@ -41,7 +48,10 @@ def review_filters(report: DataFrame) -> DataFrame:
 def image_rollup(report: DataFrame) -> DataFrame:
     # in whole ten-thousandths, as the report has them: sums are exact in any order
     total, n = F.sum(F.round(F.col("quality") * 10000).cast("long")), F.count("*")
-    return report.groupBy("image").agg(F.count("*").alias("objects"), (F.floor((2 * total + n) / (2 * n)) / 10000.0).alias("mean_quality"), F.count_if(F.col("state") == "review").alias("review"))
+    return report.groupBy("image").agg(
+        F.count("*").alias("objects"), (F.floor((2 * total + n) / (2 * n)) / 10000.0).alias("mean_quality"),
+        F.count_if(F.col("state") == "review").alias("review"),
+    )
 
 
 def run_stats(report: DataFrame, width: int = 1000) -> DataFrame:
@@ -78,7 +88,9 @@ def duration(seconds: Column) -> Column:
     s = F.greatest(F.lit(0).cast("long"), seconds.cast("long"))
     two = lambda x: F.lpad(x.cast("string"), 2, "0")
     whole = lambda x, n: F.floor(x / n).cast("string")
-    return F.when(s >= 3600, F.concat(whole(s, 3600), F.lit("h "), two(F.floor((s % 3600) / 60)), F.lit("m"))).when(s >= 60, F.concat(whole(s, 60), F.lit("m "), two(s % 60), F.lit("s"))).otherwise(F.concat(s.cast("string"), F.lit("s")))
+    return F.when(
+        s >= 3600, F.concat(whole(s, 3600), F.lit("h "), two(F.floor((s % 3600) / 60)), F.lit("m")),
+    ).when(s >= 60, F.concat(whole(s, 60), F.lit("m "), two(s % 60), F.lit("s"))).otherwise(F.concat(s.cast("string"), F.lit("s")))
 
 
 def throughput(current: Column, total: Column, elapsed: Column) -> dict[str, Column]:
@@ -91,14 +103,21 @@ def throughput(current: Column, total: Column, elapsed: Column) -> dict[str, Col
 def backend_summary(runs: DataFrame) -> DataFrame:
     ok = F.col("error").isNull()
     return runs.groupBy("backend").agg(
-        F.round(F.avg(F.when(ok, F.col("quality"))), 6).alias("quality"), F.round(F.avg(F.when(ok, F.col("fidelity"))), 6).alias("fidelity"), F.round(F.avg(F.when(ok, F.col("parts"))), 6).alias("parts"),
-        F.round(F.avg(F.when(ok, F.col("points"))), 6).alias("points"), F.count_if(~ok).alias("failed"), F.round(F.sum("seconds") / F.count("*"), 6).alias("seconds_per_object"),
+        F.round(F.avg(F.when(ok, F.col("quality"))), 6).alias("quality"), F.round(
+            F.avg(F.when(ok, F.col("fidelity"))), 6,
+        ).alias("fidelity"), F.round(F.avg(F.when(ok, F.col("parts"))), 6).alias("parts"),
+        F.round(
+            F.avg(F.when(ok, F.col("points"))), 6,
+        ).alias("points"), F.count_if(~ok).alias("failed"), F.round(F.sum("seconds") / F.count("*"), 6).alias("seconds_per_object"),
     )
 
 
 def agreement(ious: DataFrame) -> DataFrame:
     """Per pair of backends: mean and median IoU, and how many objects are below one half."""
-    return ious.groupBy("backend_a", "backend_b").agg(F.count("*").alias("n"), F.round(F.avg("iou"), 6).alias("mean_iou"), F.round(F.median("iou"), 6).alias("median_iou"), F.count_if(F.col("iou") < 0.5).alias("below_half"))
+    return ious.groupBy("backend_a", "backend_b").agg(
+        F.count("*").alias("n"), F.round(F.avg("iou"), 6).alias("mean_iou"), F.round(F.median("iou"), 6).alias("median_iou"),
+        F.count_if(F.col("iou") < 0.5).alias("below_half"),
+    )
 
 
 def pending(images: DataFrame, done: DataFrame, label_files: DataFrame, key: str = "image_id") -> DataFrame:

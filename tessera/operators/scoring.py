@@ -15,7 +15,9 @@ def clip01(x: Column) -> Column:
 
 def quality(sam: Column, stability: Column, edge: Column, leakage: Column, fragmentation: Column, agreement: Column, max_leakage: Column) -> Column:
     w = S.WEIGHTS
-    base = w["sam"] * clip01(sam) + w["stability"] * stability + w["edge"] * edge + w["inside"] * (1 - F.least(F.lit(1.0), leakage)) + w["whole"] * (1 - F.least(F.lit(1.0), fragmentation)) + w["agreement"] * agreement
+    base = w["sam"] * clip01(sam) + w["stability"] * stability + w["edge"] * edge + w["inside"] * (1 - F.least(F.lit(1.0), leakage)) + w["whole"] * (
+        1 - F.least(F.lit(1.0), fragmentation)
+    ) + w["agreement"] * agreement
     return clip01(F.when(leakage > max_leakage, base - F.least(F.lit(0.12), (leakage - max_leakage) * 0.5)).otherwise(base))
 
 
@@ -54,7 +56,9 @@ def state(accept: float = S.ACCEPT, review: float = S.REVIEW, min_fidelity: floa
 def pairs(masks: DataFrame, keys: list[str]) -> DataFrame:
     """IoU of every two candidates of an object: an equi-join on the object, within its few candidates."""
     m = masks.withColumn("area", B.area(F.col("words")))
-    a, b = m.select(*keys, F.col("cand").alias("a"), F.col("words").alias("aw"), F.col("area").alias("aa")), m.select(*keys, F.col("cand").alias("b"), F.col("words").alias("bw"), F.col("area").alias("ba"))
+    a, b = m.select(
+        *keys, F.col("cand").alias("a"), F.col("words").alias("aw"), F.col("area").alias("aa"),
+    ), m.select(*keys, F.col("cand").alias("b"), F.col("words").alias("bw"), F.col("area").alias("ba"))
     return a.join(b, keys).withColumn("iou", B.iou(F.col("aw"), F.col("bw"), F.col("aa"), F.col("ba")))
 
 
@@ -67,9 +71,17 @@ def consensus(masks: DataFrame, keys: list[str], threshold: float = S.CLUSTER_IO
     best = masks.withColumn("_r", F.row_number().over(first)).where("_r = 1").select(*keys, F.col("cand").alias("best"))
     voters = pairs(masks, keys).join(best, keys).where(F.col("a") == F.col("best")).where(F.col("iou") >= threshold).select(*keys, F.col("b").alias("cand"))
     rows = masks.join(voters, [*keys, "cand"]).withColumn("weight", F.greatest(F.lit(0.05), F.col("sam_score")))
-    votes = F.transform(F.sequence(F.lit(0), F.size("words") * n_bits - 1), lambda i: F.get(F.col("words"), (i / n_bits).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (i % n_bits).cast("int"))) != 0)
+    votes = F.transform(
+        F.sequence(F.lit(0), F.size("words") * n_bits - 1),
+        lambda i: F.get(F.col("words"), (i / n_bits).cast("int")).bitwiseAND(
+            F.call_function("shiftleft", F.lit(1).cast("long"), (i % n_bits).cast("int"))
+        ) != 0,
+    )
     pixels = rows.select(*keys, "cand", "weight", "sam_score", F.posexplode(votes).alias("pixel", "on"))
-    per = pixels.groupBy(*keys, "pixel").agg(F.sum(F.when(F.col("on"), F.col("weight")).otherwise(0.0)).alias("yes"), F.sum("weight").alias("all"), F.count("*").alias("k"))
+    per = pixels.groupBy(*keys, "pixel").agg(
+        F.sum(F.when(F.col("on"), F.col("weight")).otherwise(0.0)).alias("yes"), F.sum("weight").alias("all"),
+        F.count("*").alias("k"),
+    )
     kept = per.groupBy(*keys).agg(F.max("k").alias("voters"), F.count_if(F.round(F.col("yes") / F.col("all"), 9) >= 0.5).alias("area"))
     score = rows.groupBy(*keys).agg((F.sum(F.col("weight") * F.col("sam_score")) / F.sum("weight")).alias("score"))
     return kept.where("voters >= 2").join(score, keys)
@@ -82,7 +94,10 @@ def stability(masks: DataFrame, keys: list[str]) -> DataFrame:
     rows = lists.withColumn("v", rest).withColumn("n", F.size("v"))
     k = F.least(F.col("n"), F.greatest(F.lit(2), F.floor(F.col("n") / 3).cast("int")))
     top = F.slice("v", 1, k)
-    return rows.select(*keys, "cand", F.when(F.col("n") == 0, 1.0).otherwise(F.aggregate(top, F.lit(0.0), lambda s, x: s + x) / F.greatest(k, F.lit(1))).alias("stability"))
+    return rows.select(
+        *keys, "cand",
+        F.when(F.col("n") == 0, 1.0).otherwise(F.aggregate(top, F.lit(0.0), lambda s, x: s + x) / F.greatest(k, F.lit(1))).alias("stability"),
+    )
 
 
 def leakage(mask: str, grown_box: str) -> Column:
@@ -91,10 +106,23 @@ def leakage(mask: str, grown_box: str) -> Column:
     return F.when(total == 0, 1.0).otherwise((total - B.overlap(F.col(mask), F.col(grown_box))) / total)
 
 
+def box_coverage(mask: str, box: str) -> Column:
+    """Share of a box that a mask covers, both as words; nothing of an empty box."""
+    size = B.area(F.col(box))
+    return F.when(size == 0, 0.0).otherwise(B.overlap(F.col(mask), F.col(box)) / size)
+
+
 def fragmentation(components: DataFrame, keys: list[str], min_area: Column) -> DataFrame:
     """From component areas: 0 for one piece, else the share outside the largest piece and 0.05 for each further one."""
-    big = components.where(F.col("area") >= F.greatest(F.lit(2), min_area)).groupBy(*keys).agg(F.count("*").alias("n"), F.max("area").alias("top"), F.sum("area").alias("total"))
-    return big.select(*keys, F.when(F.col("n") <= 1, 0.0).otherwise(F.least(F.lit(1.0), 1 - F.col("top") / F.col("total") + 0.05 * (F.col("n") - 1))).alias("fragmentation"))
+    big = components.where(F.col("area") >= F.greatest(F.lit(2), min_area)).groupBy(*keys).agg(
+        F.count("*").alias("n"), F.max("area").alias("top"), F.sum("area").alias("total"),
+    )
+    return big.select(
+        *keys,
+        F.when(F.col("n") <= 1, 0.0).otherwise(
+            F.least(F.lit(1.0), 1 - F.col("top") / F.col("total") + 0.05 * (F.col("n") - 1))
+        ).alias("fragmentation"),
+    )
 
 
 def failed_images(objects: DataFrame, key: str = "image_id") -> DataFrame:

@@ -79,7 +79,9 @@ def leak(mask: np.ndarray, box: tuple, w: int, h: int) -> float:
 def quality(score: float, v: dict, agreement: float, max_leakage: float) -> float:
     """The weighted sum of a candidate's metrics, less a penalty for leakage."""
     k = S.WEIGHTS
-    q = k["sam"] * min(1.0, max(0.0, score)) + k["stability"] * v["stability"] + k["edge"] * v["edge_alignment"] + k["inside"] * (1 - min(1.0, v["leakage"])) + k["whole"] * (1 - min(1.0, v["fragmentation"])) + k["agreement"] * agreement
+    q = k["sam"] * min(1.0, max(0.0, score)) + k["stability"] * v["stability"] + k["edge"] * v["edge_alignment"] + k["inside"] * (1 - min(1.0, v["leakage"])) + k["whole"] * (
+        1 - min(1.0, v["fragmentation"])
+    ) + k["agreement"] * agreement
     if v["leakage"] > max_leakage:
         q -= min(0.12, (v["leakage"] - max_leakage) * 0.5)
     return min(1.0, max(0.0, q))
@@ -105,7 +107,10 @@ def refined(annotation: dict, profile: dict, backend, preset: str, edges: np.nda
     best = None
     for c in found:
         m = R.post_processed(c.mask, profile["close_kernel"], profile["open_kernel"], profile["min_component_area"], profile["preserve_thin"])
-        v = {"stability": stability(m, raw), "edge_alignment": R.edge_alignment(m, near), "leakage": leak(m, own, x1 - x0, y1 - y0), "fragmentation": fragments(m, profile["min_component_area"])}
+        v = {
+            "stability": stability(m, raw), "edge_alignment": R.edge_alignment(m, near),
+            "leakage": leak(m, own, x1 - x0, y1 - y0), "fragmentation": fragments(m, profile["min_component_area"]),
+        }
         q = quality(c.score, v, 1.0 if agree is None else R.iou(m, agree), profile["max_leakage"])
         if best is None or q > best[0]:
             best = (q, m, c, v)
@@ -114,10 +119,23 @@ def refined(annotation: dict, profile: dict, backend, preset: str, edges: np.nda
     rings, fidelity, lost = R.export_rings(m, parts)
     if not rings:
         raise RuntimeError("no polygon could be made of the mask")
-    return v | {"prompt": c.prompt, "sam_score": c.score, "quality": q, "fidelity": fidelity, "parts": len(parts), "holes": sum(len(p[1]) for p in parts), "points": sum(map(len, rings)), "lost": lost, "rings": [as_points(r + (x0, y0)) for r in rings]}
-
-
-OUT = pa.schema([("relative_image", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("instance_index", pa.int32()), ("class_id", pa.int32()), ("source_kind", pa.string()), ("prompt", pa.string()), *((c, pa.float64()) for c in ("sam_score", "stability", "edge_alignment", "leakage", "fragmentation", "fidelity", "quality")), *((c, pa.int32()) for c in ("parts", "holes", "points", "lost")), ("rings", pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))), ("error_type", pa.string()), ("error", pa.string()), ("traceback", pa.string())])
+    return v | {
+        "prompt": c.prompt, "sam_score": c.score, "quality": q, "fidelity": fidelity, "parts": len(parts),
+        "holes": sum(len(p[1]) for p in parts), "points": sum(map(len, rings)), "lost": lost,
+        "rings": [as_points(r + (x0, y0)) for r in rings],
+    }
+
+
+OUT = pa.schema(
+    [
+        ("relative_image", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("instance_index", pa.int32()),
+        ("class_id", pa.int32()), ("source_kind", pa.string()), ("prompt", pa.string()),
+        *((c, pa.float64()) for c in ("sam_score", "stability", "edge_alignment", "leakage", "fragmentation", "fidelity", "quality")),
+        *((c, pa.int32()) for c in ("parts", "holes", "points", "lost")),
+        ("rings", pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))), ("error_type", pa.string()),
+        ("error", pa.string()), ("traceback", pa.string()),
+    ]
+)
 OUT_DDL = "relative_image string, width int, height int, instance_index int, class_id int, source_kind string, prompt string, sam_score double, stability double, edge_alignment double, leakage double, fragmentation double, fidelity double, quality double, parts int, holes int, points int, lost int, rings array<array<struct<x:double,y:double>>>, error_type string, error string, traceback string"
 
 
@@ -156,7 +174,11 @@ def refine(images: DataFrame, annotations: DataFrame, folder_uri: str, known: di
                     rgb = pixels(files.read(f"{folder_uri}/{row['relative_image']}"))
                     backend.set_image(rgb)
                     edges = R.edge_map(grey(rgb))
-                    out = [base | {"instance_index": a["instance_index"], "class_id": a["class_id"], "source_kind": a["kind"]} | refined(a, known.get(a["class_id"], default), backend, preset, edges) for a in row["annotations"]]
+                    out = [
+                        base | {
+                            "instance_index": a["instance_index"], "class_id": a["class_id"], "source_kind": a["kind"],
+                        } | refined(a, known.get(a["class_id"], default), backend, preset, edges) for a in row["annotations"]
+                    ]
                 except Exception as e:  # a failing image is a result: it is reported, and the others go on
                     out = [base | {"error_type": type(e).__name__, "error": str(e), "traceback": traceback.format_exc()}]
                 finally:

@@ -43,7 +43,10 @@ PIXELS = MASKS + ", px as (select vec_id, cast(i//8 as int) as y, cast(i%8 as in
 def _words(spark: SparkSession, d: str) -> DataFrame:
     """(vec_id, obj, cand, sam_score, words)."""
     v = F.col("vec_id")
-    return load(spark, d, "embeddings").select(v, F.floor(v / 5).alias("obj"), (v % 5).cast("int").alias("cand"), (((v * 37) % 100).cast("double") / 100).alias("sam_score"), F.array(B.signs(F.col("embedding"))).alias("words"))
+    return load(spark, d, "embeddings").select(
+        v, F.floor(v / 5).alias("obj"), (v % 5).cast("int").alias("cand"),
+        (((v * 37) % 100).cast("double") / 100).alias("sam_score"), F.array(B.signs(F.col("embedding"))).alias("words"),
+    )
 
 
 def _small(spark: SparkSession, d: str) -> DataFrame:
@@ -77,7 +80,13 @@ def mask_bbox(spark, d):
     m = _small(spark, d).select("vec_id", F.col("mask.words").alias("w"))
     rows = F.filter(F.transform("w", lambda w, i: F.when(w != 0, i)), lambda i: i.isNotNull())
     union = F.aggregate("w", F.lit(0).cast("long"), lambda s, w: s.bitwiseOR(w))
-    columns = F.filter(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda x: F.when(F.call_function("shiftrightunsigned", F.col("u"), x).bitwiseAND(F.lit(1).cast("long")) != 0, x)), lambda x: x.isNotNull())
+    columns = F.filter(
+        F.transform(
+            F.sequence(F.lit(0), F.lit(7)),
+            lambda x: F.when(F.call_function("shiftrightunsigned", F.col("u"), x).bitwiseAND(F.lit(1).cast("long")) != 0, x),
+        ),
+        lambda x: x.isNotNull(),
+    )
     out = m.withColumn("u", union).where("u <> 0").withColumn("r", rows).withColumn("c", columns)
     return out.select("vec_id", F.array_min("c").alias("x0"), F.array_min("r").alias("y0"), (F.array_max("c") + 1).alias("x1"), (F.array_max("r") + 1).alias("y1"))
 
@@ -94,7 +103,9 @@ def mask_components(spark, d):
     return rows.select("vec_id", F.size("areas").cast("long").alias("n"), F.array_max("areas").alias("largest"))
 
 
-@query(COMPONENTS + ", big as (select vec_id, count(*) as n, max(area) as top, sum(area) as total from cp where area>=2 group by 1) select vec_id, case when n<=1 then cast(0 as double) else least(cast(1 as double), 1-top/cast(total as double)+cast(0.05 as double)*(n-1)) end as fragmentation from big")
+@query(
+    COMPONENTS + ", big as (select vec_id, count(*) as n, max(area) as top, sum(area) as total from cp where area>=2 group by 1) select vec_id, case when n<=1 then cast(0 as double) else least(cast(1 as double), 1-top/cast(total as double)+cast(0.05 as double)*(n-1)) end as fragmentation from big"
+)
 def fragmentation(spark, d):
     parts = V.component_areas(_small(spark, d), ["vec_id"]).select("vec_id", F.explode("areas").alias("area"))
     return Q.fragmentation(parts, ["vec_id"], F.lit(2))
@@ -121,7 +132,9 @@ def stability(spark, d):
     return Q.stability(_words(spark, d), ["obj"]).select("obj", "cand", F.round("stability", 6).alias("stability"))
 
 
-@query(PIXELS + ", n as (select vec_id, count(*) as t, count(*) filter (where x<2 or x>6 or y<2 or y>6) as o from px group by 1) select m.vec_id, case when t is null then cast(1 as double) else o/cast(t as double) end as leakage from m left join n on n.vec_id=m.vec_id")
+@query(
+    PIXELS + ", n as (select vec_id, count(*) as t, count(*) filter (where x<2 or x>6 or y<2 or y>6) as o from px group by 1) select m.vec_id, case when t is null then cast(1 as double) else o/cast(t as double) end as leakage from m left join n on n.vec_id=m.vec_id"
+)
 def leakage(spark, d):
     """Share outside the box from (2, 2) to (6, 6)."""
     box = sum(1 << (8 * y + x) for y in range(2, 7) for x in range(2, 7))
@@ -129,7 +142,19 @@ def leakage(spark, d):
     return rows.select("vec_id", Q.leakage("words", "box").alias("leakage"))
 
 
-@query("select vec_id, cast(len(list_filter(embedding, lambda v: v > case when list_min(embedding)>=0 and list_max(embedding)<=1 then 0.5 else 0 end)) as bigint) as area from embeddings")
+@query(
+    PIXELS + ", n as (select vec_id, count(*) filter (where x between 2 and 6 and y between 2 and 6) as i from px group by 1) select m.vec_id, coalesce(i,0)/cast(25 as double) as coverage from m left join n on n.vec_id=m.vec_id"
+)
+def box_coverage(spark, d):
+    """How much of the box from (2, 2) to (6, 6) each mask covers."""
+    box = sum(1 << (8 * y + x) for y in range(2, 7) for x in range(2, 7))
+    rows = _words(spark, d).withColumn("box", F.array(F.lit(box).cast("long")))
+    return rows.select("vec_id", Q.box_coverage("words", "box").alias("coverage"))
+
+
+@query(
+    "select vec_id, cast(len(list_filter(embedding, lambda v: v > case when list_min(embedding)>=0 and list_max(embedding)<=1 then 0.5 else 0 end)) as bigint) as area from embeddings"
+)
 def binarize(spark, d):
     """Model output to masks: above one half if all values look like probabilities, else above zero."""
     e = load(spark, d, "embeddings")
@@ -141,7 +166,9 @@ def binarize(spark, d):
 BACKENDS = MASKS + ", k as (select vec_id//5 as obj, cand, b, area from m where cand<3), j as (select a.obj, a.cand as ca, c.cand as cc, a.area as aa, c.area as ba, len(list_filter(list_zip(a.b,c.b), lambda z: z[1] and z[2])) as i from k a join k c on a.obj=c.obj and a.cand<c.cand), u as (select 'backend-' || ca as backend_a, 'backend-' || cc as backend_b, case when aa+ba-i=0 then 1 else i/cast(aa+ba-i as double) end as iou from j)"
 
 
-@query(BACKENDS + " select backend_a, backend_b, count(*) as n, round(avg(iou),6) as mean_iou, round(median(iou),6) as median_iou, count(*) filter (where iou<0.5) as below_half from u group by 1,2")
+@query(
+    BACKENDS + " select backend_a, backend_b, count(*) as n, round(avg(iou),6) as mean_iou, round(median(iou),6) as median_iou, count(*) filter (where iou<0.5) as below_half from u group by 1,2"
+)
 def backend_agreement(spark, d):
     """Three backends' masks of the same objects, compared in pairs."""
     name = lambda c: F.concat(F.lit("backend-"), F.col(c).cast("string"))
@@ -152,7 +179,9 @@ def backend_agreement(spark, d):
 # --- raster kernels
 
 
-@query(COMPONENTS + f" select m.vec_id, cast(coalesce(sum({SCALE * SCALE}*cp.area) filter (where {SCALE * SCALE}*cp.area>=40),0) as bigint) as area from m left join cp on cp.vec_id=m.vec_id group by 1")
+@query(
+    COMPONENTS + f" select m.vec_id, cast(coalesce(sum({SCALE * SCALE}*cp.area) filter (where {SCALE * SCALE}*cp.area>=40),0) as bigint) as area from m left join cp on cp.vec_id=m.vec_id group by 1"
+)
 def despeckle(spark, d):
     """Masks without components of fewer than 40 pixels."""
     return V.mapped(_large(spark, d), "area bigint", lambda r: {"area": int(R.without_small(V.mask_of(r["mask"]), 40).sum())}, ["vec_id"], ["mask"])
@@ -265,7 +294,11 @@ _BOX = [("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1")]
 _KITE = [("x0-9", "y0"), ("x1*2", "(y0+y1)/3"), ("x0/7", "y1+600")]
 
 
-@query(duck(f"select image_id, instance_index, 0 as part, {_line(_BOX)} as line from fx_annotations union all select image_id, instance_index, 1, {_line(_KITE)} from fx_annotations"))
+@query(
+    duck(
+        f"select image_id, instance_index, 0 as part, {_line(_BOX)} as line from fx_annotations union all select image_id, instance_index, 1, {_line(_KITE)} from fx_annotations"
+    )
+)
 def label_lines_out(spark, d):
     """Label rows of rings inside and outside of the frame; rings of two points have none."""
     ring = lambda points: F.array(*(F.struct(F.expr(x).cast("double").alias("x"), F.expr(y).cast("double").alias("y")) for x, y in points))
@@ -280,7 +313,9 @@ DEPTHS = MASKS + f""", bl as (select vec_id, cast(i//8 as int) as by_, cast(i%8
  de as (select vec_id, y, x, least(coalesce(far,1e9), power(least(x+1,y+1,{8 * SCALE}-x,{8 * SCALE}-y),2)) as deep from fa)"""
 
 
-@query(DEPTHS + " select m.vec_id, cast(arg_max(x, row(deep,-y,-x)) as double) as x, cast(arg_max(y, row(deep,-y,-x)) as double) as y from m left join de on de.vec_id=m.vec_id group by 1")
+@query(
+    DEPTHS + " select m.vec_id, cast(arg_max(x, row(deep,-y,-x)) as double) as x, cast(arg_max(y, row(deep,-y,-x)) as double) as y from m left join de on de.vec_id=m.vec_id group by 1"
+)
 def interior_point(spark, d):
     def f(r: dict) -> dict:
         at = R.interior_point(V.mask_of(r["mask"]))
@@ -289,7 +324,36 @@ def interior_point(spark, d):
     return V.mapped(_large(spark, d), "point struct<x:double,y:double>", f, ["vec_id"], ["mask"]).select("vec_id", "point.x", "point.y")
 
 
-@query()
+def _pixel(dy: int, dx: int) -> str:
+    """Whether a pixel beside (y, x) of an enlarged mask is set, frames being mirrored."""
+    n = 8 * SCALE
+    mirrored = [f"(case when {v}{d:+d}<0 then 1 when {v}{d:+d}>{n - 1} then {n - 2} else {v}{d:+d} end)//{SCALE}" for v, d in (("y", dy), ("x", dx))]
+    return f"b[({mirrored[0]})*8+({mirrored[1]})+1]"
+
+
+def _sobel(along: str) -> str:
+    weights = [(dy, dx, (dx if along == "x" else dy) * (2 if (dy if along == "x" else dx) == 0 else 1)) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+    return "+".join(f"{w}*(case when {_pixel(dy, dx)} then 200 else 30 end)" for dy, dx, w in weights if w).replace("+-", "-")
+
+
+def _beside(dy: int, dx: int) -> str:
+    """The magnitude beside (y, x), 0 outside of the frame."""
+    n, step = 8 * SCALE, dy * 8 * SCALE + dx
+    value = f"{'lead' if step > 0 else 'lag'}(mag,{abs(step)}) over (partition by vec_id order by y,x)"
+    return f"(case when y{dy:+d} between 0 and {n - 1} and x{dx:+d} between 0 and {n - 1} then {value} else 0 end)"
+
+
+_AHEAD, _BEHIND = ([(0, d), (d, 0), (d, d), (d, -d)] for d in (1, -1))
+#: Canny's edges of the enlarged masks, drawn in two greys: gradients, peaks across them, and what hangs together with strong ones.
+EDGES = MASKS.replace("with m", "with recursive m") + f""", gd as (select vec_id, b, cast(i//{8 * SCALE} as int) as y, cast(i%{8 * SCALE} as int) as x from m, (select unnest(range(0,{64 * SCALE * SCALE})) as i)),
+ gr as (select vec_id, y, x, {_sobel("x")} as gx, {_sobel("y")} as gy from gd), mg as (select *, abs(gx)+abs(gy) as mag, case when abs(gy)<=cast(0.41421356 as double)*abs(gx) then 0 when abs(gy)>cast(2.41421356 as double)*abs(gx) then 1 when (gx>=0)=(gy>=0) then 2 else 3 end as way from gr),
+ nb as (select *, case way {" ".join(f"when {k} then {_beside(*d)}" for k, d in enumerate(_AHEAD))} end as ahead, case way {" ".join(f"when {k} then {_beside(*d)}" for k, d in enumerate(_BEHIND))} end as behind from mg),
+ pk as (select vec_id, y, x, mag from nb where mag>40 and mag>behind and mag>=ahead),
+ sg(vec_id, y, x) as (select vec_id, y, x from pk where mag>120 union select pk.vec_id, pk.y, pk.x from sg join pk on pk.vec_id=sg.vec_id and abs(pk.y-sg.y)<=1 and abs(pk.x-sg.x)<=1),
+ eg as (select distinct vec_id, y+dy as y, x+dx as x from sg, (select unnest(range(-2,3)) as dy), (select unnest(range(-2,3)) as dx) where y+dy between 0 and {8 * SCALE - 1} and x+dx between 0 and {8 * SCALE - 1})"""
+
+
+@query(EDGES + " select m.vec_id, count(eg.y) as area from m left join eg on eg.vec_id=m.vec_id group by 1")
 def edge_map(spark, d):
     def f(r: dict) -> dict:
         return {"area": int(R.edge_map(np.where(V.mask_of(r["mask"]), 200, 30)).sum())}
@@ -297,11 +361,19 @@ def edge_map(spark, d):
     return V.mapped(_large(spark, d), "area bigint", f, ["vec_id"], ["mask"])
 
 
-@query()
+_NEAR = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+_IN = [f"(y{dy:+d} between 0 and {8 * SCALE - 1} and x{dx:+d} between 0 and {8 * SCALE - 1})" for dy, dx in _NEAR]
+_SET = [f"{i} and {_pixel(dy, dx)}" for i, (dy, dx) in zip(_IN, _NEAR, strict=True)]
+_UNSET = [f"{i} and not {_pixel(dy, dx)}" for i, (dy, dx) in zip(_IN, _NEAR, strict=True)]
+
+
+@query(
+    EDGES + f", bo as (select vec_id, y, x from gd where ({' or '.join(f'({c})' for c in _SET)}) and ({' or '.join(f'({c})' for c in _UNSET)})), al as (select bo.vec_id, count(*) as n, count(eg.y) as on_ from bo left join eg on eg.vec_id=bo.vec_id and eg.y=bo.y and eg.x=bo.x group by 1) select m.vec_id, round(coalesce(on_/cast(n as double),0),9) as value from m left join al on al.vec_id=m.vec_id"
+)
 def edge_alignment(spark, d):
     def f(r: dict) -> dict:
         m = V.mask_of(r["mask"])
-        return {"value": R.edge_alignment(m, R.edge_map(np.where(m, 200, 30)))}
+        return {"value": round(R.edge_alignment(m, R.edge_map(np.where(m, 200, 30))), 9)}
 
     return V.mapped(_large(spark, d), "value double", f, ["vec_id"], ["mask"])
 
@@ -323,7 +395,11 @@ def fallback_masks(spark, d):
 
     rows = fallback_candidates(spark, d).select("image_id", "instance_index", "prompt", "ax", "ay")
     shapes = rows.select("ax", "ay").distinct()
-    areas = V.mapped(shapes, "area bigint", lambda r: {"area": int(R.ellipse(2 * r["ax"] + 3, 2 * r["ay"] + 3, r["ax"] + 1, r["ay"] + 1, r["ax"], r["ay"]).sum())}, ["ax", "ay"], ["ax", "ay"])
+    areas = V.mapped(
+        shapes, "area bigint",
+        lambda r: {"area": int(R.ellipse(2 * r["ax"] + 3, 2 * r["ay"] + 3, r["ax"] + 1, r["ay"] + 1, r["ax"], r["ay"]).sum())},
+        ["ax", "ay"], ["ax", "ay"],
+    )
     return rows.join(areas, ["ax", "ay"]).select("image_id", "instance_index", "prompt", "area")
 
 

@@ -35,7 +35,9 @@ def query(oracle: str | None = None):
 # --- sources
 
 
-@query("select image_id, relative_image from fx_images where regexp_matches(lower(relative_image), '[.](jpg|jpeg|png|bmp|tif|tiff|webp)$') and list_contains(string_split(relative_image,'/'),'images') order by relative_image")
+@query(
+    "select image_id, relative_image from fx_images where regexp_matches(lower(relative_image), '[.](jpg|jpeg|png|bmp|tif|tiff|webp)$') and list_contains(string_split(relative_image,'/'),'images') order by relative_image"
+)
 def image_paths(spark, d):
     """Images below an images/ folder that lies in no output folder, if there is any; else all images."""
     from tessera.sources.images import image_listing
@@ -50,7 +52,10 @@ SWAP = r"regexp_replace(concat(case when contains(path,'/images/') then regexp_r
 def _paths(spark, d):
     i = F.col("image_id")
     folder = F.when(i % 3 == 0, "a/images/b.c/").when(i % 3 == 1, "images/x/images/").otherwise("plain/")
-    return load(spark, d, "fx_images").select("image_id", F.concat(F.lit("/data/"), folder, i.cast("string"), F.when(i % 2 == 0, ".jpg").otherwise(".v2.png")).alias("path"))
+    return load(spark, d, "fx_images").select(
+        "image_id",
+        F.concat(F.lit("/data/"), folder, i.cast("string"), F.when(i % 2 == 0, ".jpg").otherwise(".v2.png")).alias("path"),
+    )
 
 
 CANDIDATES = f"""with p as ({PATHS}), c as (select image_id, 0 as o, case when contains(path,'/images/') then {SWAP} end as c from p
@@ -69,7 +74,10 @@ def label_resolve(spark, d):
     """The first candidate that exists (here: whose length is a multiple of 4), else the first."""
     rows = label_candidates(spark, d)
     files = rows.where(F.length("candidate") % 4 == 0).select(F.col("candidate").alias("file")).distinct()
-    found = rows.join(files, F.col("candidate") == F.col("file"), "left").groupBy("image_id").agg(F.min_by(F.when(F.col("file").isNotNull(), F.col("candidate")), F.when(F.col("file").isNotNull(), F.col("ordinal"))).alias("hit"), F.min_by("candidate", "ordinal").alias("first"))
+    found = rows.join(files, F.col("candidate") == F.col("file"), "left").groupBy("image_id").agg(
+        F.min_by(F.when(F.col("file").isNotNull(), F.col("candidate")), F.when(F.col("file").isNotNull(), F.col("ordinal"))).alias("hit"),
+        F.min_by("candidate", "ordinal").alias("first"),
+    )
     return found.select("image_id", F.coalesce("hit", "first").alias("label_path"))
 
 
@@ -82,7 +90,9 @@ TOKENS = r"""with t as (select *, list_filter(regexp_split_to_array(line, '\s+')
   when n=4 and (x1<=x0 or y1<=y0) then 'degenerate bounding box' when n<>4 and not (n>=6 and n%2=0) then 'unsupported YOLO row: expected class + 4 box values or class + polygon coordinate pairs' end as issue from b)"""
 
 
-@query(TOKENS + " select image_id, line_no, cast(v[1] as int) as class_id, x0, y0, x1, y1, cast(row_number() over (partition by image_id order by line_no)-1 as int) as instance_index from p where issue is null qualify n = 4")
+@query(
+    TOKENS + " select image_id, line_no, cast(v[1] as int) as class_id, x0, y0, x1, y1, cast(row_number() over (partition by image_id order by line_no)-1 as int) as instance_index from p where issue is null qualify n = 4"
+)
 def parse_boxes(spark, d):
     """Box rows in pixels; instances are numbered over all valid rows."""
     rows = D.annotations_of(load(spark, d, "fx_lines"))
@@ -109,7 +119,9 @@ def parse_errors(spark, d):
     return L.parsed(load(spark, d, "fx_lines")).where("issue is not null").groupBy("issue").agg(F.count("*").alias("n"))
 
 
-@query("select count(*) as n_lines, count(distinct doc_id) as n_docs, cast(sum(length(l)) as bigint) as n_chars from (select doc_id, unnest(string_split(case when text like '%' || chr(10) then substr(text,1,length(text)-1) else text end, chr(10))) as l from documents)")
+@query(
+    "select count(*) as n_lines, count(distinct doc_id) as n_docs, cast(sum(length(l)) as bigint) as n_chars from (select doc_id, unnest(string_split(case when text like '%' || chr(10) then substr(text,1,length(text)-1) else text end, chr(10))) as l from documents)"
+)
 def label_lines(spark, d):
     """Physical lines of text files."""
     rows = load(spark, d, "documents").select("doc_id", F.posexplode(D.lines_of(F.col("text"))).alias("i", "l"))
@@ -199,11 +211,16 @@ def class_profiles(spark, d):
  case when c.class_id in (2,7) then 'user override' when pr.class_id is not null then 'derived' else 'no samples' end as origin from c left join pr on c.class_id=pr.class_id""")
 def profile_resolve(spark, d):
     classes = spark.range(9).select(F.col("id").cast("int").alias("class_id"))
-    own = spark.createDataFrame([(c, 0.97, 5, 1, 0, True, 0.5) for c in (2, 7)], "class_id int, target_fidelity double, min_component_area int, close_kernel int, open_kernel int, preserve_thin boolean, max_leakage double")
+    own = spark.createDataFrame(
+        [(c, 0.97, 5, 1, 0, True, 0.5) for c in (2, 7)],
+        "class_id int, target_fidelity double, min_component_area int, close_kernel int, open_kernel int, preserve_thin boolean, max_leakage double",
+    )
     return P.resolved(classes, class_profiles(spark, d), own)
 
 
-@query(PROFILES + """ select class_id, 'derived (' || case when preserve_thin then 'thin/elongated' else 'compact' end || ', n=' || n || ', thinness=' || printf('%.2f', thin) || ', min_dim=' || printf('%.0f', mind) || 'px)' as origin from pr""")
+@query(
+    PROFILES + """ select class_id, 'derived (' || case when preserve_thin then 'thin/elongated' else 'compact' end || ', n=' || n || ', thinness=' || printf('%.2f', thin) || ', min_dim=' || printf('%.0f', mind) || 'px)' as origin from pr"""
+)
 def profile_origin(spark, d):
     return P.with_origin(class_profiles(spark, d)).select("class_id", "origin")
 
@@ -214,6 +231,16 @@ def image_breakdown(spark, d):
     return D.image_breakdown(_annotations(spark, d), _names(spark))
 
 
+@query("""with a as (select distinct image_id from fx_annotations), c as (select unnest([(select min(image_id) from a), (select max(image_id) from a), 1601, -5, 10000000000]) as current)
+ select current, coalesce(min(image_id) filter (where image_id>current), min(image_id)) as next, coalesce(max(image_id) filter (where image_id<current), max(image_id)) as previous from a, c group by 1""")
+def annotated_neighbours(spark, d):
+    """Next and previous annotated images of the first, the last, and of keys between and beyond them."""
+    images, a = load(spark, d, "fx_images"), _annotations(spark, d)
+    ends = a.agg(F.min("image_id").alias("lo"), F.max("image_id").alias("hi"))
+    current = ends.select(F.explode(F.array("lo", "hi", *(F.lit(k).cast("long") for k in (1601, -5, 10**10)))).alias("current"))
+    return D.neighbours(images, a, current)
+
+
 @query("select 0 as rank, 'Dataset' as image, 0 as line_no, 'No supported images were found.' as issue union all select 1, relative_image, line_no, issue from fx_issues")
 def issue_table(spark, d):
     return D.issue_table(spark.createDataFrame([("No supported images were found.",)], "issue string"), load(spark, d, "fx_issues"))
@@ -227,7 +254,10 @@ def verify_output(spark, d):
     images, issues = load(spark, d, "fx_images"), load(spark, d, "fx_issues")
     objects = load(spark, d, "fx_annotations").withColumn("kind", F.when(F.col("image_id") % 3 == 0, "polygon").otherwise("detection"))
     rows = [D.summary(images, objects, x).withColumn("dataset", F.lit(name)) for name, x in (("as it is", issues), ("without problems", issues.where("false")))]
-    return rows[0].unionByName(rows[1]).select("dataset", "images", "objects", "boxes", "polygons", "problems", F.when(F.col("problems") > 0, 1).otherwise(0).alias("exit_code"))
+    return rows[0].unionByName(rows[1]).select(
+        "dataset", "images", "objects", "boxes", "polygons", "problems",
+        F.when(F.col("problems") > 0, 1).otherwise(0).alias("exit_code"),
+    )
 
 
 @query("""with b as (select count(*) as backgrounds from fx_images i where not exists (select 1 from fx_rows r where r.image_id=i.image_id)), o as (select count(*) as objects from fx_annotations), n as (select count(*) as images from fx_images)
@@ -252,7 +282,9 @@ def _names(spark):
     return spark.createDataFrame([(0, "hair"), (2, "cable"), (5, "leaf"), (10, "wire")], "class_id int, name string")
 
 
-@query(f"with nm as ({NAMES}) select cast(i as int) as class_id, coalesce(name, 'class_' || i) as name from (select unnest(range(0,11)) as i) left join nm on nm.class_id=i")
+@query(
+    f"with nm as ({NAMES}) select cast(i as int) as class_id, coalesce(name, 'class_' || i) as name from (select unnest(range(0,11)) as i) left join nm on nm.class_id=i"
+)
 def contiguous_names(spark, d):
     return D.contiguous_names(_annotations(spark, d), _names(spark))
 
@@ -260,9 +292,14 @@ def contiguous_names(spark, d):
 # --- boxes
 
 
-@query("select image_id, line_no, greatest(cast(0 as double),least(cast(width-1 as double),x0*2-50)) as cx0, greatest(cast(0 as double),least(cast(height-1 as double),y0*2-50)) as cy0 from fx_boxes")
+@query(
+    "select image_id, line_no, greatest(cast(0 as double),least(cast(width-1 as double),x0*2-50)) as cx0, greatest(cast(0 as double),least(cast(height-1 as double),y0*2-50)) as cy0 from fx_boxes"
+)
 def clamp_boxes(spark, d):
-    return load(spark, d, "fx_boxes").select("image_id", "line_no", G.clamp(F.col("x0") * 2 - 50, F.col("width") - 1).alias("cx0"), G.clamp(F.col("y0") * 2 - 50, F.col("height") - 1).alias("cy0"))
+    return load(spark, d, "fx_boxes").select(
+        "image_id", "line_no", G.clamp(F.col("x0") * 2 - 50, F.col("width") - 1).alias("cx0"),
+        G.clamp(F.col("y0") * 2 - 50, F.col("height") - 1).alias("cy0"),
+    )
 
 
 def prompt_sql(backend: str, preset: str, boxes: str = "fx_annotations") -> str:
@@ -294,7 +331,9 @@ def prompt_expand_sam3(spark, d):
     return C.prompted(_annotations(spark, d), "sam3", "maximum").select(*PROMPTED)
 
 
-@query(f"with q as ({duck(prompt_sql('fallback', 'maximum'))}) select image_id, instance_index, prompt, cast(trunc((px0+px1)/2) as int) as cx, cast(trunc((py0+py1)/2) as int) as cy, greatest(1, cast(trunc((px1-px0)*cast(0.45 as double)) as int)) as ax, greatest(1, cast(trunc((py1-py0)*cast(0.45 as double)) as int)) as ay, cast(0.7 as double)-ordinal*cast(0.02 as double) as score from q")
+@query(
+    f"with q as ({duck(prompt_sql('fallback', 'maximum'))}) select image_id, instance_index, prompt, cast(trunc((px0+px1)/2) as int) as cx, cast(trunc((py0+py1)/2) as int) as cy, greatest(1, cast(trunc((px1-px0)*cast(0.45 as double)) as int)) as ax, greatest(1, cast(trunc((py1-py0)*cast(0.45 as double)) as int)) as ay, cast(0.7 as double)-ordinal*cast(0.02 as double) as score from q"
+)
 def fallback_candidates(spark, d):
     return C.fallback(_annotations(spark, d), "maximum").select("image_id", "instance_index", "prompt", "cx", "cy", "ax", "ay", "score")
 
@@ -307,7 +346,9 @@ def degenerate_prompts(spark, d):
 PAD = "greatest(cast(64 as double),x1-x0,y1-y0)"
 
 
-@query(f"select image_id, instance_index, cast(greatest(0,floor(x0-{PAD})) as int) as rx0, cast(greatest(0,floor(y0-{PAD})) as int) as ry0, cast(least(width,ceil(x1+{PAD})) as int) as rx1, cast(least(height,ceil(y1+{PAD})) as int) as ry1 from fx_annotations")
+@query(
+    f"select image_id, instance_index, cast(greatest(0,floor(x0-{PAD})) as int) as rx0, cast(greatest(0,floor(y0-{PAD})) as int) as ry0, cast(least(width,ceil(x1+{PAD})) as int) as rx1, cast(least(height,ceil(y1+{PAD})) as int) as ry1 from fx_annotations"
+)
 def roi_windows(spark, d):
     return C.regions(_annotations(spark, d)).select("image_id", "instance_index", "rx0", "ry0", "rx1", "ry1")
 
@@ -315,7 +356,9 @@ def roi_windows(spark, d):
 FOCUS = "greatest(cast(24 as double),cast(0.6 as double)*greatest(x1-x0,y1-y0))"
 
 
-@query(f"select image_id, x0-{FOCUS} as fx0, y0-{FOCUS} as fy0, x1+{FOCUS} as fx1, y1+{FOCUS} as fy1 from (select image_id, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1 from fx_annotations group by 1)")
+@query(
+    f"select image_id, x0-{FOCUS} as fx0, y0-{FOCUS} as fy0, x1+{FOCUS} as fx1, y1+{FOCUS} as fy1 from (select image_id, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1 from fx_annotations group by 1)"
+)
 def focus_rect(spark, d):
     return C.focus(_annotations(spark, d))
 
@@ -343,7 +386,9 @@ def ring_perimeter(spark, d):
     return _rings(spark, d).select("vec_id", F.round(G.ring_perimeter(F.col("ring")), 6).alias("perimeter"))
 
 
-@query(RINGS + " select vec_id, round(case when abs(area)<=0 or perim<=0 then greatest(1,cast(0.02 as double)*greatest(w,h)*1000) else least(greatest(1,cast(0.02 as double)*greatest(w,h)*1000),greatest(1,3*abs(area)*1000000/(perim*1000))) end,6) as epsilon from r")
+@query(
+    RINGS + " select vec_id, round(case when abs(area)<=0 or perim<=0 then greatest(1,cast(0.02 as double)*greatest(w,h)*1000) else least(greatest(1,cast(0.02 as double)*greatest(w,h)*1000),greatest(1,3*abs(area)*1000000/(perim*1000))) end,6) as epsilon from r"
+)
 def epsilon_bound(spark, d):
     b = G.ring_bbox(F.col("ring"))
     rows = _rings(spark, d).select("vec_id", (F.abs(G.ring_area(F.col("ring"))) * 1e6).alias("a"), (G.ring_perimeter(F.col("ring")) * 1000).alias("p"), b.alias("b"))
@@ -447,12 +492,16 @@ def review_filters(spark, d):
     return R.review_filters(review_queue(spark, d))
 
 
-@query(REPORT + " select image, count(*) as objects, ((2*sum(cast(round(quality*10000) as bigint))+count(*))//(2*count(*)))/cast(10000 as double) as mean_quality, count(*) filter (where state='review') as review from rp group by 1")
+@query(
+    REPORT + " select image, count(*) as objects, ((2*sum(cast(round(quality*10000) as bigint))+count(*))//(2*count(*)))/cast(10000 as double) as mean_quality, count(*) filter (where state='review') as review from rp group by 1"
+)
 def image_rollup(spark, d):
     return R.image_rollup(_report(spark, d))
 
 
-@query(QUALITY + ", p as (select image_id, count(*) as objects, count(*) filter (where state='accepted') as accepted from w group by 1) select image_id, count(*) over o as images, cast(sum(objects) over o as bigint) as objects, cast(sum(accepted) over o as bigint) as accepted from p window o as (order by image_id)")
+@query(
+    QUALITY + ", p as (select image_id, count(*) as objects, count(*) filter (where state='accepted') as accepted from w group by 1) select image_id, count(*) over o as images, cast(sum(objects) over o as bigint) as objects, cast(sum(accepted) over o as bigint) as accepted from p window o as (order by image_id)"
+)
 def run_stats(spark, d):
     return R.run_stats(_scored(spark, d))
 
@@ -465,7 +514,9 @@ def format_duration(spark, d):
     return load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), R.duration(F.col("o_totalprice").cast("long") % 9000 - 10).alias("text"))
 
 
-@query("select o_orderkey as id, case when o_orderkey%500>1 then round((o_orderkey%77+1)/cast(o_orderkey%500-1 as double),6) end as per_image, case when o_orderkey%500>1 then round((500-o_orderkey%500)*((o_orderkey%77+1)/cast(o_orderkey%500-1 as double)),6) end as remaining from orders")
+@query(
+    "select o_orderkey as id, case when o_orderkey%500>1 then round((o_orderkey%77+1)/cast(o_orderkey%500-1 as double),6) end as per_image, case when o_orderkey%500>1 then round((500-o_orderkey%500)*((o_orderkey%77+1)/cast(o_orderkey%500-1 as double)),6) end as remaining from orders"
+)
 def throughput_eta(spark, d):
     i = F.col("o_orderkey")
     t = R.throughput(i % 500, F.lit(500), (i % 77 + 1).cast("double"))
@@ -477,15 +528,23 @@ RUNS = "select image_id, instance_index, cast((image_id+instance_index)%3 as int
 
 def _runs(spark, d):
     k = F.col("image_id") + F.col("instance_index")
-    return load(spark, d, "fx_metrics").select("image_id", "instance_index", F.concat(F.lit("backend-"), (k % 3).cast("string")).alias("backend"), "fidelity", "parts", "points", F.col("stability").alias("quality"), F.when(k % 91 == 0, "failed").alias("error"), (((F.col("image_id") * 7 + F.col("instance_index")) % 50).cast("double") / 100).alias("seconds"))
+    return load(spark, d, "fx_metrics").select(
+        "image_id", "instance_index", F.concat(F.lit("backend-"), (k % 3).cast("string")).alias("backend"), "fidelity", "parts",
+        "points", F.col("stability").alias("quality"), F.when(k % 91 == 0, "failed").alias("error"),
+        (((F.col("image_id") * 7 + F.col("instance_index")) % 50).cast("double") / 100).alias("seconds"),
+    )
 
 
-@query(f"select 'backend-' || b as backend, round(avg(quality) filter (where error is null),6) as quality, round(avg(fidelity) filter (where error is null),6) as fidelity, round(avg(parts) filter (where error is null),6) as parts, round(avg(points) filter (where error is null),6) as points, count(error) as failed, round(sum(seconds)/count(*),6) as seconds_per_object from ({RUNS}) group by 1")
+@query(
+    f"select 'backend-' || b as backend, round(avg(quality) filter (where error is null),6) as quality, round(avg(fidelity) filter (where error is null),6) as fidelity, round(avg(parts) filter (where error is null),6) as parts, round(avg(points) filter (where error is null),6) as points, count(error) as failed, round(sum(seconds)/count(*),6) as seconds_per_object from ({RUNS}) group by 1"
+)
 def backend_summary(spark, d):
     return R.backend_summary(_runs(spark, d))
 
 
-@query("select image_id, relative_image, instance_index from fx_annotations where image_id not in (select image_id from fx_issues) order by image_id, instance_index limit 100")
+@query(
+    "select image_id, relative_image, instance_index from fx_annotations where image_id not in (select image_id from fx_issues) order by image_id, instance_index limit 100"
+)
 def sample_objects(spark, d):
     """The first hundred objects of convertible images, in dataset order: the sample that backends are compared on."""
     a = D.convertible_images(_annotations(spark, d), load(spark, d, "fx_issues"))
@@ -506,7 +565,9 @@ def resume_pending(spark, d):
     return R.pending(i, i.where("image_id % 3 = 0").select("image_id"), i.where("image_id % 4 <> 1")).select("image_id", "relative_image")
 
 
-@query(f"select image_id, instance_index, 'class_' || class_id || '  Q' || {two('stability')} || '  F' || {two('fidelity')} || case when parts>1 then '  x' || parts else '' end as caption from fx_metrics")
+@query(
+    f"select image_id, instance_index, 'class_' || class_id || '  Q' || {two('stability')} || '  F' || {two('fidelity')} || case when parts>1 then '  x' || parts else '' end as caption from fx_metrics"
+)
 def overlay_caption(spark, d):
     from tessera.operators.render import caption
 
@@ -521,6 +582,14 @@ def geometry_counts(spark, d):
 
     m = load(spark, d, "fx_metrics").where("points >= 3")
     point = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
-    parts = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda i: F.struct(F.array_repeat(point, F.lit(3)).alias("exterior"), F.when(i == 1, F.array_repeat(F.array_repeat(point, F.lit(4)), F.col("holes"))).otherwise(F.array().cast("array<array<struct<x:double,y:double>>>")).alias("holes")))
+    parts = F.transform(
+        F.sequence(F.lit(1), F.col("parts")),
+        lambda i: F.struct(
+            F.array_repeat(point, F.lit(3)).alias("exterior"),
+            F.when(
+                i == 1, F.array_repeat(F.array_repeat(point, F.lit(4)), F.col("holes")),
+            ).otherwise(F.array().cast("array<array<struct<x:double,y:double>>>")).alias("holes"),
+        ),
+    )
     rows = m.select("image_id", "instance_index", parts.alias("parts"), F.array(F.array_repeat(point, F.col("points"))).alias("rings"))
     return rows.select("image_id", "instance_index", *counts())

@@ -99,7 +99,10 @@ def described(images: DataFrame, folder: Folder) -> DataFrame:
                 label = next((c for c in inside if files.is_file(uri + c[len(top) :])), None)
                 content = None if label is None else files.read(uri + label[len(top) :])
                 out.append((path, *(size or (None, None)), label or candidates[0], content))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, DESCRIBED.types, strict=True)], names=DESCRIBED.names)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, DESCRIBED.types, strict=True)],
+                names=DESCRIBED.names,
+            )
 
     return images.select("path", "candidates").mapInArrow(run, "path string, width int, height int, label string, content binary")
 
@@ -139,9 +142,14 @@ def scan(spark: SparkSession, root: str, only: DataFrame | None = None, keep: st
         found.write.mode("overwrite").parquet(keep)
         found = spark.read.schema(found.schema).parquet(files.literal(keep))
     broken = found.where("width is null")
-    images = found.where("width is not null").select(F.col("path").alias("relative_image"), "width", "height", F.concat(F.lit(top + "/"), "path").alias("image_path"), F.col("label").alias("label_path"), F.col("content").isNotNull().alias("labelled"), "content")
+    images = found.where("width is not null").select(
+        F.col("path").alias("relative_image"), "width", "height", F.concat(F.lit(top + "/"), "path").alias("image_path"),
+        F.col("label").alias("label_path"), F.col("content").isNotNull().alias("labelled"), "content",
+    )
     readable = F.expr("is_valid_utf8(content)")
-    lines = images.where(F.col("labelled") & readable).select("relative_image", "width", "height", F.posexplode(lines_of(F.col("content").cast("string"))).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
+    lines = images.where(F.col("labelled") & readable).select(
+        "relative_image", "width", "height", F.posexplode(lines_of(F.col("content").cast("string"))).alias("line_no", "line"),
+    ).withColumn("line_no", F.col("line_no") + 1)
     rows = L.parsed(lines)
     order = Window.partitionBy("relative_image").orderBy("line_no")
     index = (F.row_number().over(order) - 1).cast("int")
@@ -149,9 +157,21 @@ def scan(spark: SparkSession, root: str, only: DataFrame | None = None, keep: st
     annotations = rows.where("valid").withColumn("instance_index", index).select(*columns, F.trim("line").alias("source_line"))
     name = F.regexp_extract("path", "[^/]+$", 0)
     issues = (
-        broken.select(F.lit(None).cast("string").alias("relative_image"), F.lit(0).alias("line_no"), F.concat(F.lit("Cannot open "), name, F.lit(": unreadable header")).alias("issue"))
-        .unionByName(rows.where("issue is not null").select("relative_image", "line_no", F.concat(F.lit("Line "), F.col("line_no").cast("string"), F.lit(": "), "issue").alias("issue")))
-        .unionByName(images.where(F.col("labelled") & ~readable).select("relative_image", F.lit(0).alias("line_no"), F.lit("Cannot read label file: not UTF-8").alias("issue")))
+        broken.select(
+            F.lit(None).cast("string").alias("relative_image"), F.lit(0).alias("line_no"),
+            F.concat(F.lit("Cannot open "), name, F.lit(": unreadable header")).alias("issue"),
+        )
+        .unionByName(
+            rows.where("issue is not null").select(
+                "relative_image", "line_no",
+                F.concat(F.lit("Line "), F.col("line_no").cast("string"), F.lit(": "), "issue").alias("issue"),
+            )
+        )
+        .unionByName(
+            images.where(F.col("labelled") & ~readable).select(
+                "relative_image", F.lit(0).alias("line_no"), F.lit("Cannot read label file: not UTF-8").alias("issue"),
+            )
+        )
     )
     if found.isEmpty():
         issues = spark.createDataFrame([(None, 0, "No supported images were found.")], "relative_image string, line_no int, issue string")

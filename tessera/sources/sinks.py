@@ -56,7 +56,12 @@ def write_files(rows: DataFrame, root: str) -> None:
 
 def label_files(images: DataFrame, lines: DataFrame) -> DataFrame:
     """(path, content): each image's label file; images without lines get an empty one. images: label; lines: label, instance_index, part, line."""
-    text = lines.groupBy("label").agg(F.concat(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("instance_index", "part", "line"))), lambda r: r["line"]), "\n"), F.lit("\n")).alias("t"))
+    text = lines.groupBy("label").agg(
+        F.concat(
+            F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("instance_index", "part", "line"))), lambda r: r["line"]), "\n"),
+            F.lit("\n"),
+        ).alias("t")
+    )
     return images.select("label").join(text, "label", "left").select(F.col("label").alias("path"), F.coalesce("t", F.lit("")).cast("binary").alias("content"))
 
 

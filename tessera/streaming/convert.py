@@ -33,7 +33,10 @@ def name_table(spark: SparkSession, names: dict[int, str]) -> DataFrame:
     return spark.createDataFrame(list(names.items()), "class_id int, name string")
 
 
-def convert(spark: SparkSession, root: str, output: str, settings: C.Settings | None = None, overrides: dict[int, dict] | None = None, only: DataFrame | None = None, steering: control.Steering | None = None, round_images: int | None = None) -> dict:
+def convert(
+    spark: SparkSession, root: str, output: str, settings: C.Settings | None = None, overrides: dict[int, dict] | None = None,
+    only: DataFrame | None = None, steering: control.Steering | None = None, round_images: int | None = None,
+) -> dict:
     """Converts what isn't completed yet; returns the summary.
 
     only: a table of relative_image to restrict the run to; class statistics then cover earlier runs as well.
@@ -93,7 +96,10 @@ def convert_round(spark: SparkSession, data: I.Dataset, todo: DataFrame, uri: st
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "issue"))), lambda r: r["issue"]), "; ")
     bad = malformed.groupBy(F.col("relative_image").alias("image")).agg(F.lit("RuntimeError").alias("error_type"), text.alias("error"), F.lit("").alias("traceback"))
     lost = annotations.select("relative_image").distinct().join(objects.select("relative_image"), "relative_image", "left_anti")
-    lost = lost.select(F.col("relative_image").alias("image"), F.lit("RuntimeError").alias("error_type"), F.lit("the conversion gave no result").alias("error"), F.lit("").alias("traceback"))
+    lost = lost.select(
+        F.col("relative_image").alias("image"), F.lit("RuntimeError").alias("error_type"),
+        F.lit("the conversion gave no result").alias("error"), F.lit("").alias("traceback"),
+    )
     failures = failed.unionByName(bad).unionByName(lost)
     clean = todo.join(failures.select(F.col("image").alias("relative_image")), "relative_image", "left_anti").withColumn("label", C.label_path(F.col("relative_image")))
     lines = polygons.label_rows(good.withColumn("label", C.label_path(F.col("relative_image"))), ["label", "instance_index"])
@@ -113,7 +119,10 @@ def convert_round(spark: SparkSession, data: I.Dataset, todo: DataFrame, uri: st
         sinks.write_files(instance_masks(good), f"{logs}/masks")
     if settings.copy_images:
         sinks.write_files(contents(clean, uri), f"{output}/dataset")
-    per = good.groupBy("relative_image").agg(F.count("*").alias("objects"), F.round(F.avg("quality"), 4).alias("mean_quality"), F.count_if(F.col("state") == "review").alias("review"))
+    per = good.groupBy("relative_image").agg(
+        F.count("*").alias("objects"), F.round(F.avg("quality"), 4).alias("mean_quality"),
+        F.count_if(F.col("state") == "review").alias("review"),
+    )
     control.mark_completed(clean.select("relative_image").join(per, "relative_image", "left").na.fill(0, ["objects", "review"]), output, run)
 
 
@@ -183,7 +192,12 @@ def instance_masks(objects: DataFrame) -> DataFrame:
         for b in batches:
             for r in b.to_pylist():
                 m = raster.from_parts([(points(ring), []) for ring in r["rings"]], r["width"], r["height"])
-                yield pa.RecordBatch.from_pydict({"path": [f"{r['relative_image'].rsplit('.', 1)[0]}/instance_{r['instance_index']:03d}.png"], "content": pa.array([render.png(m.astype(np.uint8) * 255)], pa.binary())})
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "path": [f"{r['relative_image'].rsplit('.', 1)[0]}/instance_{r['instance_index']:03d}.png"],
+                        "content": pa.array([render.png(m.astype(np.uint8) * 255)], pa.binary()),
+                    }
+                )
 
     return spread(objects.select("relative_image", "width", "height", "instance_index", "rings")).mapInArrow(run, "path string, content binary")
 
@@ -198,6 +212,8 @@ def convert_batch(rows: DataFrame, _: int, root: str, output: str, settings: C.S
 def convert_stream(spark: SparkSession, root: str, output: str, checkpoint: str, settings: C.Settings | None = None, trigger: dict | None = None) -> StreamingQuery:
     """Follows a folder: each micro-batch of new images is converted and committed."""
     schema = "path string, modificationTime timestamp, length long, content binary"
-    stream = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(C.S.SUFFIXES) + "}").load(files.literal(root))
+    stream = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option(
+        "pathGlobFilter", "*.{" + ",".join(C.S.SUFFIXES) + "}",
+    ).load(files.literal(root))
     batch = functools.partial(convert_batch, root=root, output=output, settings=settings)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -189,3 +189,16 @@ def test_pictures():
     assert render.comparison(rgb, rgb).shape == (20, 72, 3)
     drawn = render.overlay(rgb, [(2, 2, 8, 8)], [([np.array([(10, 5), (20, 5), (20, 15), (10, 15)])], "accepted")])
     assert (drawn != rgb).any() and drawn.shape == rgb.shape
+
+
+@pytest.mark.parametrize("kind", ["JPEG", "TIFF", "WEBP"])
+def test_formats_of_the_image_library(kind):
+    """Where an image library is installed, its formats are read too; sizes are read without it."""
+    import io
+
+    image = pytest.importorskip("PIL.Image")
+    out = io.BytesIO()
+    image.fromarray(np.full((20, 30, 3), 90, np.uint8)).save(out, kind)
+    assert I.image_size(out.getvalue()) == (30, 20)
+    got = pixels(out.getvalue())
+    assert got.shape == (20, 30, 3) and abs(int(got.mean()) - 90) < 3
