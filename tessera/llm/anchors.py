@@ -133,12 +133,22 @@ def kept_words(docs: pa.Table, words: K.Words, removed: np.ndarray) -> list[byte
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the text that is left."""
-    return remove_repeats(docs, lambda d, w, r: pa.table([d.column("doc_id"), pa.array([k.decode() for k in kept_words(d, w, r)], pa.string())], names=["doc_id", "text"]), "doc_id long, text string", window, id_col, text_col)
+    return remove_repeats(
+        docs,
+        lambda d, w, r: pa.table([d.column("doc_id"), pa.array([k.decode() for k in kept_words(d, w, r)], pa.string())], names=["doc_id", "text"]),
+        "doc_id long, text string", window, id_col, text_col,
+    )
 
 
 def digest(docs: DataFrame, window: int = WINDOW, **sizes) -> DataFrame:
     def result(table: pa.Table, words: K.Words, removed: np.ndarray) -> pa.Table:
         shas = [hashlib.sha256(k).hexdigest() for k in kept_words(table, words, removed)]
-        return pa.table([table.column("doc_id"), pa.array(words.counts(), pa.int64()), pa.array(K.per_doc(removed, words.first), pa.int64()), pa.array(shas, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+        return pa.table(
+            [
+                table.column("doc_id"), pa.array(words.counts(), pa.int64()),
+                pa.array(K.per_doc(removed, words.first), pa.int64()), pa.array(shas, pa.string()),
+            ],
+            names=["doc_id", "n_words", "n_removed", "kept_sha256"],
+        )
 
     return remove_repeats(docs, result, "doc_id long, n_words long, n_removed long, kept_sha256 string", window, **sizes)

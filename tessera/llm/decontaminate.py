@@ -131,7 +131,10 @@ def indexes(items: DataFrame, n_blocks: int, window: int, gram: int, item_col: s
         yield items.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in items.where(block == k).collect()], window, gram))
 
 
-def shared_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def shared_spans(
+    docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text",
+    item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
     """Per document: n_words, `spans` (maximal runs of words that items hold) and `items` (ids of the items whose windows occur, sorted as strings)."""
     n_blocks = blocks_of(items, item_text, block_bytes)
     parts = [_pass(docs, index, id_col, text_col) for index in indexes(items, n_blocks, window, gram, item_col, item_text)]
@@ -140,8 +143,14 @@ def shared_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     merged = parts[0]
     for p in parts[1:]:
         merged = merged.unionByName(p)
-    grouped = merged.groupBy("doc_id", "text_key").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count("*") / n_blocks).cast("int").alias("n"))
-    joined = F.expr("aggregate(array_sort(spans), cast(array() as array<struct<start:int,end:int>>), (a, s) -> if(size(a) > 0 and element_at(a, -1).end >= s.start, concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, s.end)))), concat(a, array(s))))")
+    grouped = merged.groupBy("doc_id", "text_key").agg(
+        F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        (F.count("*") / n_blocks).cast("int").alias("n"),
+    )
+    joined = F.expr(
+        "aggregate(array_sort(spans), cast(array() as array<struct<start:int,end:int>>), (a, s) -> if(size(a) > 0 and element_at(a, -1).end >= s.start, concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, s.end)))), concat(a, array(s))))"
+    )
     return grouped.select("doc_id", "n_words", joined.alias("spans"), "items", F.explode(F.sequence(F.lit(1), "n")).alias("n")).drop("n")
 
 
@@ -167,7 +176,13 @@ def _pass(docs: DataFrame, index, id_col: str, text_col: str) -> DataFrame:
                 if here.ids[i] is not None:
                     names[d].append(here.ids[i])
         keys = K.span_hash(words.buf, words.offsets[:-1], words.offsets[1:], 3).view(np.int64)
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys), pa.array(words.counts()), pa.array(spans, pa.list_(span)), pa.array([sorted(set(n)) for n in names], pa.list_(pa.string()))], names=["doc_id", "text_key", "n_words", "spans", "items"])
+        return pa.RecordBatch.from_arrays(
+            [
+                part.column("doc_id"), pa.array(keys), pa.array(words.counts()), pa.array(spans, pa.list_(span)),
+                pa.array([sorted(set(n)) for n in names], pa.list_(pa.string())),
+            ],
+            names=["doc_id", "text_key", "n_words", "spans", "items"],
+        )
 
     return map_text(docs, id_col, text_col, kernel, f"doc_id long, text_key long, n_words long, spans {SPANS}, items array<string>")
 
@@ -180,10 +195,16 @@ def judged(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 
 def digest(docs: DataFrame, items: DataFrame) -> DataFrame:
-    return judged(docs, items).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    return judged(docs, items).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
 
 
-def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = WINDOW, gram: int = GRAM, item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def clean(
+    docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = WINDOW, gram: int = GRAM, item_col: str = "item_id",
+    item_text: str = "text", block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
     """The rows of docs, with all their columns, that the rule doesn't call contaminated.
 
     Every row is judged by itself, so repeated rows, repeated or null ids and columns of any names make no

@@ -137,7 +137,10 @@ class Question:
 class Exchange:
     """Documents dealt into groups, and rounds of questions over them."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, group_bytes: int = GROUP_BYTES, part_bytes: int = PART_BYTES, block_bytes: int = BLOCK_BYTES, relay_bytes: int = RELAY_BYTES):
+    def __init__(
+        self, docs: DataFrame, id_col: str, text_col: str, group_bytes: int = GROUP_BYTES, part_bytes: int = PART_BYTES,
+        block_bytes: int = BLOCK_BYTES, relay_bytes: int = RELAY_BYTES,
+    ):
         bounded(docs.sparkSession)
         n_bytes = text_bytes(docs, text_col)
         n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -208,7 +211,10 @@ class Exchange:
             ends = np.cumsum(sizes[back])[np.cumsum(rows) - 1][:-1]
             data = [pack(list(v)) for v in zip(*(np.split(v, ends) for v in values), strict=True)]
             n = len(g)
-            return pa.table([pa.array(g, pa.int64()), pa.array([stage] * n, pa.int32()), pa.array(p, pa.int32()), pa.array(data, pa.binary())], names=["g", "stage", "p", "block"])
+            return pa.table(
+                [pa.array(g, pa.int64()), pa.array([stage] * n, pa.int32()), pa.array(p, pa.int32()), pa.array(data, pa.binary())],
+                names=["g", "stage", "p", "block"],
+            )
 
         fine = coarse.groupBy("r").applyInArrow(passed_on, schema).groupBy("p").applyInArrow(answered, replies)
         return coarse.groupBy("r").cogroup(fine.withColumnRenamed("g", "r").groupBy("r")).applyInArrow(handed_back, replies)

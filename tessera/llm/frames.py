@@ -41,7 +41,10 @@ def bounded(spark: SparkSession) -> None:
         spark.conf.set(key, OUR_BATCH)
 
 
-def map_text(docs: DataFrame, id_col: str, text_col: str, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, also: tuple[str, ...] = ()) -> DataFrame:
+def map_text(
+    docs: DataFrame, id_col: str, text_col: str, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str,
+    also: tuple[str, ...] = (),
+) -> DataFrame:
     """Apply `kernel` to slices of (doc_id, text, *also), in the scan's own partitions: no shuffle.
 
     Only the named columns are read, so other columns, whatever their names, neither cost nor clash.

@@ -289,7 +289,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
             at = [i for i in range(0, len(flat), CHUNK) if w[i : i + CHUNK].any()]
             part_id = TaskContext.get().partitionId()
             for i in at:
-                yield arrow_rows(["i", "part", "v", "w"], [[i], [part_id], [flat[i : i + CHUNK].tobytes()], [w[i : i + CHUNK].tobytes()]], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
+                yield arrow_rows(
+                    ["i", "part", "v", "w"], [[i], [part_id], [flat[i : i + CHUNK].tobytes()], [w[i : i + CHUNK].tobytes()]],
+                    [pa.int32(), pa.int32(), pa.binary(), pa.binary()],
+                )
 
         def average(chunk: pa.Table) -> pa.Table:
             total = weight = 0.0
@@ -327,7 +330,11 @@ def score(docs: DataFrame, net: Network, counts: DataFrame, id_col: str = "doc_i
                 total = sums[words.first[1:]] - sums[words.first[:-1]]
                 n_other = np.concatenate([[0], np.cumsum(other)])[words.first]
                 others = pa.ListArray.from_arrays(pa.array(n_other, pa.int32()), pa.array(hashes[other].view(np.int64)))
-                yield arrow_rows(["row", "doc_id", "n_tokens", "total", "others"], [row + np.arange(part.num_rows), part.column("doc_id"), words.counts(), total, others], [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64())])
+                yield arrow_rows(
+                    ["row", "doc_id", "n_tokens", "total", "others"],
+                    [row + np.arange(part.num_rows), part.column("doc_id"), words.counts(), total, others],
+                    [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64())],
+                )
                 row += part.num_rows
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -88,7 +88,13 @@ def signatures(docs: DataFrame, n: int, k: int, id_col: str, text_col: str, full
         value, offsets = sets_of(part, n)
         size = np.diff(offsets)
         values = lists_of(value, offsets[:-1], size if full else np.minimum(size, k))
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), pa.array(sums(K.mix(value), offsets)), pa.array(sums(K.mix(value + np.uint64(1 << 63)), offsets)), values], names=["doc_id", "n", "s1", "s2", "values"])
+        return pa.RecordBatch.from_arrays(
+            [
+                part.column("doc_id"), pa.array(size), pa.array(sums(K.mix(value), offsets)),
+                pa.array(sums(K.mix(value + np.uint64(1 << 63)), offsets)), values,
+            ],
+            names=["doc_id", "n", "s1", "s2", "values"],
+        )
 
     return map_text(docs, id_col, text_col, kernel, "doc_id long, n long, s1 long, s2 long, values array<long>")
 
@@ -115,7 +121,12 @@ class Search:
         whole = f"greatest(1, cast(ceil(n * {p} / 100.0) as int) - greatest(0, cast(floor(n * 100.0 / {p}) as int) - {k}))"
         prefix = f"least(n, {k}) - if(n >= {k}, {m}, {whole}) + 1"
         keys = F.expr(f"slice(vs, 1, cast(greatest(0, {prefix} - (least(n, {k}) - size(vs))) as int))")
-        return written(own.select("rep", "n", F.expr("aggregate(vs, 0L, (a, x) -> a + x.c)").alias("central"), F.explode(keys).alias("key")).select(F.col("key.v").alias("v"), "rep", "n", "central"), self.whole)
+        return written(
+            own.select(
+                "rep", "n", F.expr("aggregate(vs, 0L, (a, x) -> a + x.c)").alias("central"), F.explode(keys).alias("key"),
+            ).select(F.col("key.v").alias("v"), "rep", "n", "central"),
+            self.whole,
+        )
 
     def near_sizes(self, a: str, b: str) -> str:
         return f"100 * least({a}, {b}) >= {self.percent} * greatest({a}, {b})"
@@ -125,19 +136,27 @@ class Search:
         order = -F.col("central") if round_ == 0 else F.xxhash64("rep", "v", F.lit(round_))
         best = members.groupBy("v").agg(F.min(F.struct(order.alias("o"), "rep", "n", "comp")).alias("p"), F.count("*").alias("size")).where("size > 1")
         best = best.select("v", F.col("p.rep").alias("p"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pc"))
-        return members.join(best, "v").where(f"rep <> p and comp <> pc and {self.near_sizes('n', 'pn')}").select(F.least("rep", "p").alias("x"), F.greatest("rep", "p").alias("y"))
+        return members.join(best, "v").where(f"rep <> p and comp <> pc and {self.near_sizes('n', 'pn')}").select(
+            F.least("rep", "p").alias("x"), F.greatest("rep", "p").alias("y"),
+        )
 
     def sets(self, ids: DataFrame) -> DataFrame:
         """(doc_id, n, values) of full sets, read again from the documents; ids: a written table of one column `wanted`."""
         wanted = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-        docs = self.docs.select(F.col(self.id_col).cast("long").alias("doc_id"), F.col(self.text_col).cast("string").alias("text")).join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi")
+        docs = self.docs.select(
+            F.col(self.id_col).cast("long").alias("doc_id"), F.col(self.text_col).cast("string").alias("text"),
+        ).join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi")
         return signatures(docs, self.n, self.k, "doc_id", "text", full=True).where("n > 0").dropDuplicates(["doc_id", "s1", "s2"]).select("doc_id", "n", "values")
 
     def compared(self, members: DataFrame, found: DataFrame) -> DataFrame:
         """(doc_id, comp): representatives whose full sets are to be compared: the members of lists that pivots haven't settled (three members or more, two components or more), or all."""
         if self.exact:
-            return self.reps.select(F.col("rep").alias("doc_id")).join(found.toDF("doc_id", "to"), "doc_id", "left").select("doc_id", F.coalesce("to", "doc_id").alias("comp"))
-        mixed = members.groupBy("v").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("size > 2 and low <> high").select("v")
+            return self.reps.select(F.col("rep").alias("doc_id")).join(found.toDF("doc_id", "to"), "doc_id", "left").select(
+                "doc_id", F.coalesce("to", "doc_id").alias("comp"),
+            )
+        mixed = members.groupBy("v").agg(
+            F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"),
+        ).where("size > 2 and low <> high").select("v")
         return members.join(mixed, "v", "left_semi").select(F.col("rep").alias("doc_id"), "comp").distinct()
 
     def rest(self, wanted: DataFrame) -> DataFrame:
@@ -156,14 +175,21 @@ class Search:
         shared = shingles.join(counts, "r").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("c", "r"))).alias("rs"))
         # places up to n - (least overlap that any partner needs); single shingles come first and are no keys
         early = F.expr(f"slice(rs, 1, cast(greatest(0, n - cast(ceil({p} * n / 100.0) as long) + 1 - (n - size(rs))) as int))")
-        keys = shared.select("doc_id", "n", F.expr("n - size(rs)").alias("alone"), F.posexplode(early).alias("i", "key")).select(F.col("key.r").alias("r"), "doc_id", "n", (F.col("alone") + F.col("i")).alias("place")).join(comps, "doc_id")
+        keys = shared.select(
+            "doc_id", "n", F.expr("n - size(rs)").alias("alone"), F.posexplode(early).alias("i", "key"),
+        ).select(F.col("key.r").alias("r"), "doc_id", "n", (F.col("alone") + F.col("i")).alias("place")).join(comps, "doc_id")
         keys = written(keys, self.step)
         classes = keys.groupBy("r", "n", "place", "comp").count().drop("count")
         one, two = (classes.toDF("r", f"n{i}", f"place{i}", f"comp{i}") for i in (1, 2))
         need = f"{p} * (n1 + n2)"
         fits = f"comp1 < comp2 and {100 + p} * least(n1 - place1, n2 - place2) >= {need} and {self.near_sizes('n1', 'n2')}"
         fit = one.join(two, "r").where(fits)
-        x, y = (keys.select("r", F.col("doc_id").alias(f"doc{i}"), F.col("n").alias(f"n{i}"), F.col("place").alias(f"place{i}"), F.col("comp").alias(f"comp{i}")) for i in (1, 2))
+        x, y = (
+            keys.select(
+                "r", F.col("doc_id").alias(f"doc{i}"), F.col("n").alias(f"n{i}"), F.col("place").alias(f"place{i}"),
+                F.col("comp").alias(f"comp{i}"),
+            ) for i in (1, 2)
+        )
         pairs = fit.join(x, ["r", "n1", "place1", "comp1"]).join(y, ["r", "n2", "place2", "comp2"])
         return pairs.select(F.least("doc1", "doc2").alias("x"), F.greatest("doc1", "doc2").alias("y"))
 
@@ -185,7 +211,9 @@ class Search:
     def of_one_id(self) -> DataFrame:
         """(u, v) of the representatives whose sets rows of one id have."""
         kinds = F.struct("s1", "s2", "n")
-        several = self.signed.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(kinds).alias("low"), F.max(kinds).alias("high")).where("low <> high").select("doc_id")
+        several = self.signed.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(
+            F.min(kinds).alias("low"), F.max(kinds).alias("high"),
+        ).where("low <> high").select("doc_id")
         several = written(several, self.whole)
         if several.isEmpty():
             return self.docs.sparkSession.createDataFrame([], "u long, v long")
@@ -212,16 +240,23 @@ class Search:
         return found
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, k: int = K_RETAINED, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, n: int = 5, percent: int = 80, k: int = K_RETAINED, id_col: str = "doc_id", text_col: str = "text",
+    exact: bool = False,
+) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable) and kept (whether that is the document itself).
 
     exact: compare all representatives by full sets after the pivots, so that no link depends on the sketches' chance.
     """
     search = Search(docs, n, percent, k, id_col, text_col, exact)
     rows = search.signed.select("doc_id", "n", "s1", "s2")
-    reps = search.reps.select("s1", "s2", "n", "rep").join(search.components().toDF("rep", "comp"), "rep", "left").select("s1", "s2", "n", F.coalesce("comp", "rep").alias("comp"))
+    reps = search.reps.select("s1", "s2", "n", "rep").join(search.components().toDF("rep", "comp"), "rep", "left").select(
+        "s1", "s2", "n", F.coalesce("comp", "rep").alias("comp"),
+    )
     alone = rows.where("doc_id is null or n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    linked = rows.where("doc_id is not null and n > 0").join(reps, ["s1", "s2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
+    linked = rows.where("doc_id is not null and n > 0").join(reps, ["s1", "s2", "n"]).select(
+        "doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"),
+    )
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

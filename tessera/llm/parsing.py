@@ -274,7 +274,10 @@ def dictionary(window: int, gram: int, bits: int, hot: int) -> Question:
     return Question(ask, [np.uint64, np.uint8, np.int64], answer, [np.uint8], shift, lambda c: c[1].astype(np.int64) + window - 1, lambda c: c[1].astype(np.int64))
 
 
-def remove_repeats(docs: DataFrame, result, schema: str, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, **sizes) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, result, schema: str, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text",
+    hot: int = HOT, **sizes,
+) -> DataFrame:
     """result(docs, bytes, offsets, removed) for each group of documents: `removed` flags the bytes that a window covers which a smaller doc_id holds too.
 
     sizes: of groups, parts, blocks and relays. A phrase has window - gram + 1 windows at most, which must be below 256.
@@ -294,7 +297,13 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     """doc_id and the bytes that are left (cuts can part a character, so they are binary)."""
 
     def result(table: pa.Table, buf: np.ndarray, offsets: np.ndarray, removed: np.ndarray) -> pa.Table:
-        return pa.table([table.column("doc_id"), pa.array([buf[a:b][~removed[a:b]].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], names=["doc_id", "text"])
+        return pa.table(
+            [
+                table.column("doc_id"),
+                pa.array([buf[a:b][~removed[a:b]].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary()),
+            ],
+            names=["doc_id", "text"],
+        )
 
     return remove_repeats(docs, result, "doc_id long, text binary", window, id_col=id_col, text_col=text_col)
 
@@ -306,6 +315,12 @@ def digest(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
         begins = offsets[:-1][offsets[:-1] < len(removed)]
         new[begins] = removed[begins]
         shas = [hashlib.sha256(buf[a:b][~removed[a:b]]).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        return pa.table([table.column("doc_id"), pa.array(np.diff(offsets)), pa.array(K.per_doc(removed, offsets)), pa.array(K.per_doc(new, offsets)), pa.array(shas, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        return pa.table(
+            [
+                table.column("doc_id"), pa.array(np.diff(offsets)), pa.array(K.per_doc(removed, offsets)),
+                pa.array(K.per_doc(new, offsets)), pa.array(shas, pa.string()),
+            ],
+            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+        )
 
     return remove_repeats(docs, result, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", window, **options)

@@ -69,7 +69,10 @@ def measure(part: pa.RecordBatch) -> pa.RecordBatch:
     repeated = K.covered(len(words), starts[K.again(windows)[0]], WINDOW)
     return arrow_rows(
         ["doc_id", *MEASURES],
-        [part.column("doc_id"), words.counts(), np.diff(in_text[offsets]), np.diff(symbols[offsets]), K.per_doc(later, line_first), K.per_doc(repeated, words.first), K.per_doc(full, line_first)],
+        [
+            part.column("doc_id"), words.counts(), np.diff(in_text[offsets]), np.diff(symbols[offsets]),
+            K.per_doc(later, line_first), K.per_doc(repeated, words.first), K.per_doc(full, line_first),
+        ],
         [pa.int64()] * 7,
     )
 
@@ -101,7 +104,14 @@ def ablation(rows: DataFrame, policy: str) -> DataFrame:
     by_bits = rows.groupBy("failed").agg(F.count("*").alias("n"))
     m = mask(policy)
     hit = F.col("failed").bitwiseAND(F.lit(m).cast("long"))
-    columns = [F.struct(F.lit(r).alias("rule"), F.sum(F.when(hit.bitwiseAND(F.lit(BIT[r]).cast("long")) != 0, F.col("n")).otherwise(0)).alias("n_failed"), F.sum(F.when(hit == BIT[r], F.col("n")).otherwise(0)).alias("n_only"), F.sum(F.when(hit.bitwiseAND(F.lit(m & ~BIT[r]).cast("long")) == 0, F.col("n")).otherwise(0)).alias("n_kept_without")) for r in POLICIES[policy]]
+    columns = [
+        F.struct(
+            F.lit(r).alias("rule"),
+            F.sum(F.when(hit.bitwiseAND(F.lit(BIT[r]).cast("long")) != 0, F.col("n")).otherwise(0)).alias("n_failed"),
+            F.sum(F.when(hit == BIT[r], F.col("n")).otherwise(0)).alias("n_only"),
+            F.sum(F.when(hit.bitwiseAND(F.lit(m & ~BIT[r]).cast("long")) == 0, F.col("n")).otherwise(0)).alias("n_kept_without"),
+        ) for r in POLICIES[policy]
+    ]
     return by_bits.agg(F.array(*columns).alias("r")).select(F.inline("r"))
 
 
@@ -126,4 +136,7 @@ def passing(docs: DataFrame, policy: str = "v1", text_col: str = "text") -> Data
 
 def digest(docs: DataFrame) -> DataFrame:
     rows = ledger(docs)
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~passes("base")).alias("base_failed"), passes("v1").alias("kept"), "failed")
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~passes("base")).alias("base_failed"),
+        passes("v1").alias("kept"), "failed",
+    )

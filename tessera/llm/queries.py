@@ -55,4 +55,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_substring_dedup, op4_lm_scoring, op5_near_dedup, op6_secret_scans, op6_base_spans, op7_decontamination, op8_suffix_dedup, op9_packing, op10_token_counts)}
+QUERIES = {
+    f.__name__: f for f in (
+        op1_quality_rules, op2_toxicity, op3_substring_dedup, op4_lm_scoring, op5_near_dedup, op6_secret_scans, op6_base_spans,
+        op7_decontamination, op8_suffix_dedup, op9_packing, op10_token_counts,
+    )
+}

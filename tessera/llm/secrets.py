@@ -514,7 +514,12 @@ def suspicious(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         np.cumsum(inside, out=sums[1:])
         return np.flatnonzero(sums[least:] - sums[:-least] == least) if len(buf) >= least else np.zeros(0, np.int64)
 
-    marks = np.concatenate([runs(BASE64_BYTES, 16), np.flatnonzero((buf == 37) | (buf == 92)), np.flatnonzero((buf[:-1] == 38) & ((buf[1:] == 35) | LETTERS[buf[1:]])) if len(buf) else np.zeros(0, np.int64)])
+    marks = np.concatenate(
+        [
+            runs(BASE64_BYTES, 16), np.flatnonzero((buf == 37) | (buf == 92)),
+            np.flatnonzero((buf[:-1] == 38) & ((buf[1:] == 35) | LETTERS[buf[1:]])) if len(buf) else np.zeros(0, np.int64),
+        ]
+    )
     out = np.zeros(len(offsets) - 1, bool)
     out[np.searchsorted(offsets, marks, "right") - 1] = True
     raw = buf.tobytes().lower()
@@ -538,7 +543,11 @@ def digest(docs: DataFrame) -> DataFrame:
         rows = rows_of(part)
         n = lambda base, kind: sum(s[0] == kind for s in base)
         columns = [[n(r[1], kind) for r in rows] for kind in KINDS]
-        return arrow_rows(["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"], [part.column("doc_id"), *columns, [hashlib.sha256(joined(r[1]).encode()).hexdigest() for r in rows], [joined(r[2]) for r in rows]], [pa.int64()] * 4 + [pa.string()] * 2)
+        return arrow_rows(
+            ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+            [part.column("doc_id"), *columns, [hashlib.sha256(joined(r[1]).encode()).hexdigest() for r in rows], [joined(r[2]) for r in rows]],
+            [pa.int64()] * 4 + [pa.string()] * 2,
+        )
 
     return map_text(docs, "doc_id", "text", kernel, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 

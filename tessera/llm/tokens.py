@@ -98,6 +98,10 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: st
         count = counter(vocabulary).count
         texts = [t or "" for t in part.column("text").to_pylist()]
         n = [count(t) for t in texts]
-        return arrow_rows(["doc_id", "n_bytes", "n_tokens", "over_limit"], [part.column("doc_id"), [len(t.encode()) for t in texts], n, [k > limit for k in n]], [pa.int64(), pa.int64(), pa.int64(), pa.bool_()])
+        return arrow_rows(
+            ["doc_id", "n_bytes", "n_tokens", "over_limit"],
+            [part.column("doc_id"), [len(t.encode()) for t in texts], n, [k > limit for k in n]],
+            [pa.int64(), pa.int64(), pa.int64(), pa.bool_()],
+        )
 
     return map_text(docs, id_col, text_col, kernel, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
