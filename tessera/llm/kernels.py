@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 U64 = np.uint64
 _STEPS = (U64(30), U64(0xBF58476D1CE4E5B9), U64(27), U64(0x94D049BB133111EB), U64(31))
 
