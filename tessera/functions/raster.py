@@ -110,36 +110,50 @@ def iou(a: np.ndarray, b: np.ndarray) -> float:
 # --- filling
 
 
-def outline(mask: np.ndarray, points: np.ndarray) -> None:
-    """Draws the closed polyline through integer points."""
+def outline(mask: np.ndarray, points: np.ndarray, left: int = 0, top: int = 0) -> None:
+    """Draws the closed polyline through integer points on a block of the frame that begins at (left, top)."""
     h, w = mask.shape
     p = np.asarray(points, np.int64)
-    step = np.roll(p, -1, axis=0) - p
+    step = np.concatenate([p[1:], p[:1]]) - p
     n = np.abs(step).max(axis=1) if len(p) else np.zeros(0, np.int64)
     edge = np.repeat(np.arange(len(p)), n + 1)
     t = np.arange(len(edge)) - np.repeat(np.cumsum(n + 1) - n - 1, n + 1)
     at = np.floor(p[edge] + step[edge] * (t / np.maximum(n[edge], 1))[:, None] + 0.5).astype(np.int64)
-    at = at[(at[:, 0] >= 0) & (at[:, 0] < w) & (at[:, 1] >= 0) & (at[:, 1] < h)]
-    mask[at[:, 1], at[:, 0]] = True
+    x, y = at[:, 0] - left, at[:, 1] - top
+    inside = (x >= 0) & (x < w) & (y >= 0) & (y < h)
+    mask[y[inside], x[inside]] = True
 
 
-def filled(ring: np.ndarray, w: int, h: int) -> np.ndarray:
-    """The even-odd inside of a ring of integer points and its outline; nothing below three points."""
+def drawn(ring: np.ndarray, w: int, h: int) -> tuple[slice, slice, np.ndarray] | None:
+    """The even-odd inside of a ring of integer points and its outline, as a block of the frame; None below three points or outside of the frame."""
     if len(ring) < 3:
-        return np.zeros((h, w), bool)
+        return None
     p = np.asarray(ring, np.int64)
-    q = np.roll(p, -1, axis=0)
+    left, top = np.maximum(p.min(axis=0), 0).tolist()
+    right, bottom = np.minimum(p.max(axis=0) + 1, (w, h)).tolist()
+    if left >= right or top >= bottom:
+        return None
+    w, h = right - left, bottom - top
+    q = np.concatenate([p[1:], p[:1]])
     lo, hi = np.minimum(p[:, 1], q[:, 1]), np.maximum(p[:, 1], q[:, 1])
     n = hi - lo  # an edge crosses the rows from its upper end up to, not including, its lower one
     edge = np.repeat(np.arange(len(p)), n)
     y = np.arange(len(edge)) - np.repeat(np.cumsum(n) - n, n) + lo[edge]
     a, b = p[edge], q[edge]
     x = np.ceil(a[:, 0] + (y - a[:, 1]) * (b[:, 0] - a[:, 0]) / (b[:, 1] - a[:, 1])).astype(np.int64)
+    x, y = x - left, y - top
     ok = (y >= 0) & (y < h)
-    flips = np.zeros((h, w + 1), np.int64)
-    np.add.at(flips, (y[ok], np.clip(x[ok], 0, w)), 1)
+    flips = np.bincount(y[ok] * (w + 1) + np.clip(x[ok], 0, w), minlength=h * (w + 1)).reshape(h, w + 1)
     out = np.cumsum(flips[:, :w], axis=1) % 2 == 1
-    outline(out, p)
+    outline(out, p, left, top)
+    return slice(top, bottom), slice(left, right), out
+
+
+def filled(ring: np.ndarray, w: int, h: int) -> np.ndarray:
+    """The even-odd inside of a ring of integer points and its outline; nothing below three points."""
+    out = np.zeros((h, w), bool)
+    if got := drawn(ring, w, h):
+        out[got[:2]] = got[2]
     return out
 
 
@@ -153,7 +167,7 @@ def area(ring: np.ndarray) -> float:
     if len(ring) < 3:
         return 0.0
     x, y = np.asarray(ring, float).T
-    return float(np.sum(x * np.roll(y, -1) - np.roll(x, -1) * y) / 2)
+    return float((x[:-1] @ y[1:] - x[1:] @ y[:-1] + x[-1] * y[0] - x[0] * y[-1]) / 2)
 
 
 def part_area(part) -> float:
@@ -165,9 +179,11 @@ def from_parts(parts, w: int, h: int, dx: float = 0, dy: float = 0) -> np.ndarra
     out = np.zeros((h, w), bool)
     move = np.array([dx, dy], float)
     for exterior, holes in sorted(parts, key=part_area, reverse=True):
-        out |= filled(np.round(np.asarray(exterior, float) - move), w, h)
+        if got := drawn(np.round(np.asarray(exterior, float) - move), w, h):
+            out[got[:2]] |= got[2]
         for hole in holes:
-            out &= ~filled(np.round(np.asarray(hole, float) - move), w, h)
+            if got := drawn(np.round(np.asarray(hole, float) - move), w, h):
+                out[got[:2]] &= ~got[2]
     return out
 
 
