@@ -2,10 +2,11 @@
 
 Each partition of the scan packs its own documents online. A level array counts the open windows at
 every fill level; a document goes where the sum of the squared counts afterwards is least, which
-keeps any one level from filling up. Documents of a window or more give full windows first. What is
-still open at the end, or when a worker holds too many open windows, is emptied into full windows,
-and the remainder is cut at powers of two, which need no padding. A partition therefore leaves no
-padding, needs no shuffle, and a lost executor's partition packs again to the same result.
+keeps any one level from filling up. Documents of a window or more give full windows first. At the
+end, or when a worker holds too many open windows, the pieces of the emptiest windows are placed into
+the others by the same rule, and cut where that fills a window. What the last open window holds is cut
+at powers of two, which need no padding. A partition therefore leaves no padding, needs no shuffle, and
+a lost executor's partition packs again to the same result.
 
 Defined results: null and empty texts are their end id alone; null ids pass through; repeated rows
 are packed one by one; very long texts are encoded whole, in a slice of their own; other columns aren't
@@ -29,7 +30,7 @@ from tessera.llm import kernels as K
 from tessera.llm.frames import arrow_rows, bounded
 
 WINDOW = 4096
-#: Open windows that a worker holds (8 KB each, of ids below 2**16); beyond it the fullest are emptied.
+#: Open windows that a worker holds (8 KB each, of ids below 2**16); beyond it the emptiest go into the others.
 OPEN = 8192
 #: Words whose ids a worker remembers from one slice to the next; a slice of more words has them all in its table.
 REMEMBERED = 1_000_000
@@ -163,42 +164,66 @@ class Packer:
         change[1:][c[1 : n + 1 - size] == 0] = np.iinfo(np.int64).max
         h = len(change) - 1 - int(np.argmin(change[::-1]))  # of ties the fullest
         level = h + size
-        if h:
-            pieces = self.open[h].pop()
-            c[h] -= 1
-            self.n_open -= 1
-        else:
-            pieces = []
-        pieces.append(piece)
+        pieces = [*(self.taken(h) if h else ()), piece]
         if level == n:
             self.emit(pieces)
             return
-        self.open.setdefault(level, []).append(pieces)
-        c[level] += 1
-        self.n_open += 1
+        self.opened(level, pieces)
         if self.n_open > self.most_open:
             self.empty(self.most_open // 2)
 
     def empty(self, leave: int) -> None:
-        """Empties the fullest open windows, until `leave` are left, into full ones; the remainder is cut at powers of two, or stays open."""
-        taken: list[tuple] = []
-        for level in range(self.window - 1, 0, -1):
-            while self.n_open > leave and self.open.get(level):
-                taken += self.open[level].pop()
-                self.count[level] -= 1
-                self.n_open -= 1
-        total, queue, at = sum(len(p[2]) for p in taken), iter(taken), None
-        while total:
-            size = self.window if total >= self.window else 1 << (total.bit_length() - 1)
-            need, out = size, []
+        """Leaves at most `leave` windows open: the pieces of the emptiest one go into the others, again and again. What the last one holds is cut at powers of two."""
+        while self.n_open > max(leave, 1):
+            for piece in self.taken(int(np.flatnonzero(self.count)[0])):
+                self.squeeze(piece)
+        if leave or not self.n_open:
+            return
+        level = int(np.flatnonzero(self.count)[0])
+        rest = self.taken(level)[::-1]
+        while level:
+            need, out = 1 << (level.bit_length() - 1), []
+            level -= need
             while need:
-                at = at or next(queue)
-                doc, start, ids, n = at
-                out.append((doc, start, ids[:need], n))
-                at = (doc, start + need, ids[need:], n) if len(ids) > need else None
+                doc, start, ids, total = rest.pop()
+                out.append((doc, start, ids[:need], total))
+                if len(ids) > need:
+                    rest.append((doc, start + need, ids[need:], total))
                 need -= len(out[-1][2])
             self.emit(out)
-            total -= size
+
+    def taken(self, level: int) -> list[tuple]:
+        """The pieces of an open window, which is open no more."""
+        self.count[level] -= 1
+        self.n_open -= 1
+        return self.open[level].pop()
+
+    def squeeze(self, piece: tuple) -> None:
+        """Places a piece into open windows only, by the same rule; where it is longer than a window's room, it is cut there."""
+        n, c = self.window, self.count
+        while True:
+            size, levels = len(piece[2]), np.flatnonzero(c)
+            if not len(levels):
+                self.opened(size, [piece])
+                return
+            after = np.minimum(levels + size, n)
+            change = np.where(after < n, 2 * c[after] + 2 - 2 * c[levels], 1 - 2 * c[levels])
+            h = int(levels[len(levels) - 1 - int(np.argmin(change[::-1]))])  # of ties the fullest
+            doc, start, ids, total = piece
+            room = n - h
+            pieces = [*self.taken(h), (doc, start, ids[:room], total)]
+            if size < room:
+                self.opened(h + size, pieces)
+                return
+            self.emit(pieces)
+            if size == room:
+                return
+            piece = (doc, start + room, ids[room:], total)
+
+    def opened(self, level: int, pieces: list[tuple]) -> None:
+        self.open.setdefault(level, []).append(pieces)
+        self.count[level] += 1
+        self.n_open += 1
 
     def taken_rows(self) -> list[tuple]:
         rows, self.rows = self.rows, []

@@ -564,6 +564,15 @@ def test_packer_places_by_least_sum_of_squares():
         counts = best[1]
         p.add(k, np.arange(size, dtype=np.uint32))
         assert p.count[:16].tolist() == counts[:16]
+    before, by_level = int(p.count.sum()), list(p.count)
+    p.empty(0)
+    assert before > 5 and p.n_open == 0 == p.count.sum() and by_level[0] == 0
+    rows = p.taken_rows()
+    filled = collections.Counter()
+    for _, _, n, _, _, sequence, _ in rows:
+        filled[sequence] += n
+    assert sorted(set(filled.values()) - {16}) == sorted(x for x in filled.values() if x < 16)  # the last window's cuts alone, each of its size
+    assert sum(x for x in filled.values() if x < 16) < 16
     small = packing.Packer(0, 16, 4)
     for k in range(300):
         small.add(k, np.arange(rng.randint(1, 15), dtype=np.uint32))
