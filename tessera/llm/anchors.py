@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 
 from tessera.llm import kernels as K
 from tessera.llm.exchange import Exchange, Question, distinct, divided, read, together
+from tessera.llm.frames import gathered
 
 WINDOW = 35
 
@@ -113,12 +114,13 @@ def removed_words(docs: pa.Table, replies: dict, window: int) -> tuple[K.Words,
     return g.words, K.covered(len(g.words), at[again[rank] > 0], window)
 
 
-def remove_repeats(docs: DataFrame, result, schema: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", **sizes) -> DataFrame:
+def remove_repeats(docs: DataFrame, result, schema: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", small: bool = False, **sizes) -> DataFrame:
     """result(docs, words, removed) for each group of documents: `removed` flags the words that a repeated window covers. sizes: of groups, parts and blocks."""
     ex = Exchange(docs, id_col, text_col, **sizes)
     ex.ask(0, probes(window, ex.bits))
     ex.ask(1, repeats(window))
-    return ex.finish(lambda docs, replies: result(docs, *removed_words(docs, replies, window)), schema)
+    out = ex.finish(lambda docs, replies: result(docs, *removed_words(docs, replies, window)), schema)
+    return gathered(out, ex.n_bytes) if small else out
 
 
 def kept_words(docs: pa.Table, words: K.Words, removed: np.ndarray) -> list[bytes]:
@@ -151,4 +153,4 @@ def digest(docs: DataFrame, window: int = WINDOW, **sizes) -> DataFrame:
             names=["doc_id", "n_words", "n_removed", "kept_sha256"],
         )
 
-    return remove_repeats(docs, result, "doc_id long, n_words long, n_removed long, kept_sha256 string", window, **sizes)
+    return remove_repeats(docs, result, "doc_id long, n_words long, n_removed long, kept_sha256 string", window, small=True, **sizes)

@@ -142,7 +142,7 @@ class Exchange:
         block_bytes: int = BLOCK_BYTES, relay_bytes: int = RELAY_BYTES,
     ):
         bounded(docs.sparkSession)
-        n_bytes = text_bytes(docs, text_col)
+        self.n_bytes = n_bytes = text_bytes(docs, text_col)
         n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
         self.n_groups = parts_for(docs.sparkSession, n_bytes, group_bytes, LEAST)
         self.n_parts = parts_for(docs.sparkSession, n_bytes, part_bytes, max(LEAST, min(2 * n, MOST_LEAST)))

@@ -140,6 +140,15 @@ def text_bytes(docs: DataFrame, text_col: str) -> int:
     return docs.select(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long"))).first()[0] or 0
 
 
+#: Bytes of text whose results go into one file.
+FILE_BYTES = 64 << 20
+
+
+def gathered(rows: DataFrame, n_bytes: int) -> DataFrame:
+    """A few numbers of each document of a corpus of n_bytes, in few partitions: a shuffle's many would be as many small files."""
+    return rows.repartition(parts_for(rows.sparkSession, n_bytes, FILE_BYTES))
+
+
 #: Rows that a join may broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 

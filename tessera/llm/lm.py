@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels as K
-from tessera.llm.frames import arrow_rows, bounded, written
+from tessera.llm.frames import arrow_rows, bounded, gathered, written
 
 #: Levels of the two trees, tokens that rarer words share, hidden units, and neighbours on a side.
 CLASS_BITS, INSIDE_BITS, SHARED, HIDDEN, WIDE, SIDE = 6, 10, 2048, 16, 32, 2
@@ -53,6 +53,8 @@ ROUNDS, BATCH, RATE = 2, 2048, 0.1
 COUNTED = 1 << 19
 #: Parameters in a row of an exchange, and the fixed point of logarithms that are summed in a shuffle.
 CHUNK, FIXED = 1 << 13, float(1 << 32)
+#: Bytes of text for each word, about.
+WORD_BYTES = 6
 #: Least logit of a node's outcome, so that products of a path stay in range.
 LEAST_LOGIT = -40
 
@@ -116,7 +118,7 @@ class Network:
         self.slots = np.full(SLOTS, -1, np.int32)
         self.slots[slot[first]] = np.arange(len(first))
         rest = in_shared - np.bincount((self.keys % np.uint64(SHARED)).astype(np.int64), weights=top_n, minlength=SHARED).astype(np.int64)
-        self.log_rest = np.log(np.maximum(rest, 1))
+        self.log_rest, self.n_words = np.log(np.maximum(rest, 1)), int(in_shared.sum())
         counts = np.ones(TOKENS)
         counts[: len(top_n)] += top_n
         counts[KNOWN:] += rest
@@ -313,7 +315,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
 
 
 def score(docs: DataFrame, net: Network, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, log_likelihood (summed over tokens), and score, its mean per token."""
+    """doc_id, n_tokens, log_likelihood (summed over tokens), and score, its mean per token.
+
+    Rows are told apart by their partition and place, so docs must be what gives the same rows when read again, as tables do.
+    """
     bounded(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
@@ -328,23 +333,30 @@ def score(docs: DataFrame, net: Network, counts: DataFrame, id_col: str = "doc_i
                 each[other] -= shared.value.log_rest[token[other] - KNOWN]
                 np.cumsum(each, out=sums[1:])
                 total = sums[words.first[1:]] - sums[words.first[:-1]]
-                n_other = np.concatenate([[0], np.cumsum(other)])[words.first]
-                others = pa.ListArray.from_arrays(pa.array(n_other, pa.int32()), pa.array(hashes[other].view(np.int64)))
-                yield arrow_rows(
-                    ["row", "doc_id", "n_tokens", "total", "others"],
-                    [row + np.arange(part.num_rows), part.column("doc_id"), words.counts(), total, others],
-                    [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64())],
+                # one row for each document, and one for each of its words whose counts are joined
+                rows = row + np.arange(part.num_rows)
+                own = np.repeat(rows, words.counts())[other]
+                word = np.arange(part.num_rows + len(own)) >= part.num_rows
+                blank = np.zeros(len(own), np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([rows, own])), pa.concat_arrays([part.column("doc_id"), pa.nulls(len(own), pa.int64())]),
+                        pa.array(np.concatenate([words.counts(), blank]), mask=word), pa.array(np.concatenate([total, blank]), mask=word),
+                        pa.array(np.concatenate([K.mix(rows.astype(np.uint64)), hashes[other]]).view(np.int64)),
+                    ],
+                    names=["row", "doc_id", "n_tokens", "total", "h"],
                 )
                 row += part.num_rows
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scored = written(texts.mapInArrow(run, "row long, doc_id long, n_tokens long, total double, others array<long>"))
-    log_n = F.round(F.log(F.coalesce("n", F.lit(1))) * FIXED).cast("long")
-    shares = scored.select("row", F.explode("others").alias("h")).join(counts, "h", "left").groupBy("row").agg(F.sum(log_n).alias("log_n"))
-    total = F.col("total") + F.coalesce(F.col("log_n") / FIXED, F.lit(0.0))
-    whole = scored.select("row", "doc_id", "n_tokens", "total").join(shares, "row", "left").select("doc_id", "n_tokens", total.alias("log_likelihood"))
+    scored = texts.mapInArrow(run, "row long, doc_id long, n_tokens long, total double, h long")
+    # documents' own rows have the hash of their number, to spread them, and no count
+    log_n = F.when(F.col("n_tokens").isNull(), F.round(F.log(F.coalesce("n", F.lit(1))) * FIXED).cast("long"))
+    whole = scored.join(counts, "h", "left").groupBy("row").agg(*(F.max(c).alias(c) for c in ("doc_id", "n_tokens", "total")), F.sum(log_n).alias("log_n"))
+    whole = whole.select("doc_id", "n_tokens", (F.col("total") + F.coalesce(F.col("log_n") / FIXED, F.lit(0.0))).alias("log_likelihood"))
     return whole.withColumn("score", F.col("log_likelihood") / F.greatest("n_tokens", F.lit(1)))
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return score(docs, *fit(docs))
+    net, counts = fit(docs)
+    return gathered(score(docs, net, counts), WORD_BYTES * net.n_words)

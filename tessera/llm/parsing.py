@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 
 from tessera.llm import kernels as K
 from tessera.llm.exchange import Exchange, Question, distinct, divided, read, spans, together
+from tessera.llm.frames import gathered
 
 WINDOW, GRAM = 50, 24
 #: Occurrences of a trigger in the corpus beyond which its phrases are dealt window by window.
@@ -276,11 +277,11 @@ def dictionary(window: int, gram: int, bits: int, hot: int) -> Question:
 
 def remove_repeats(
     docs: DataFrame, result, schema: str, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text",
-    hot: int = HOT, **sizes,
+    hot: int = HOT, small: bool = False, **sizes,
 ) -> DataFrame:
     """result(docs, bytes, offsets, removed) for each group of documents: `removed` flags the bytes that a window covers which a smaller doc_id holds too.
 
-    sizes: of groups, parts, blocks and relays. A phrase has window - gram + 1 windows at most, which must be below 256.
+    small: the results are few numbers of each document, and go into few files. sizes: of groups, parts, blocks and relays. A phrase has window - gram + 1 windows at most, which must be below 256.
     """
     ex = Exchange(docs, id_col, text_col, **sizes)
     for stage, question in enumerate((triggers(window, gram, ex.bits, hot), parse(window, gram, hot), dictionary(window, gram, ex.bits, hot))):
@@ -290,7 +291,8 @@ def remove_repeats(
         g = Group(table, window, gram, hot)
         return result(table, g.buf, g.offsets, g.removed(replies))
 
-    return ex.finish(last, schema)
+    out = ex.finish(last, schema)
+    return gathered(out, ex.n_bytes) if small else out
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -323,4 +325,4 @@ def digest(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
         )
 
-    return remove_repeats(docs, result, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", window, **options)
+    return remove_repeats(docs, result, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", window, small=True, **options)
