@@ -10,11 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Schemes that Spark's file systems have of their own.
+SAME = {"s3a": "s3", "s3n": "s3"}
+
+
 @functools.cache
 def _system(scheme: str, authority: str) -> tuple[fs.FileSystem, str]:
     if scheme in ("", "file"):
         return fs.LocalFileSystem(), ""
-    return fs.FileSystem.from_uri(f"{scheme}://{authority}")
+    return fs.FileSystem.from_uri(f"{SAME.get(scheme, scheme)}://{authority}")
 
 
 def place(path: str) -> tuple[fs.FileSystem, str]:

@@ -62,7 +62,7 @@ def test_names(spark, tmp_path):
     assert class_names(spark, str(tmp_path)) == {0: "first"}
 
 
-@pytest.mark.parametrize("name", ["data/x/data", "set(1)", "a+b", "x[1]{2}", "a b%41", "q?*"])
+@pytest.mark.parametrize("name", ["data/x/data", "set(1)", "a+b", "x[1]{2} %41?*"])
 def test_any_root(spark, folder, tmp_path, name):
     """Roots whose last name stands earlier in the path, or holds characters that patterns and URIs give a meaning."""
     root, out = tmp_path / "in" / name, tmp_path / "out" / name
