@@ -10,7 +10,8 @@ Both questions, "which blocks occur again" and "which windows occur again", are
 `exchange`: no pairs are made, however often a passage occurs.
 
 Defined results: null and wordless texts have no words and lose none; null ids pass through;
-repeated rows are copies of one another and lose what a window covers; an empty table gives no rows.
+repeated rows are copies of one another and lose what a window covers; very long texts are a group of
+their own, handled whole; other columns aren't read; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -3,6 +3,8 @@
 Every step is an aggregation and a join over the edges. Each node ends with one edge to the least
 node of its component. Tables are written after each step, so lineage stays short and a lost
 executor costs one step; only two numbers of a step (rows and a checksum) come to the driver.
+
+Defined results: edges with a null end, loops and repeated edges add nothing; no edges give no rows.
 """
 
 from __future__ import annotations

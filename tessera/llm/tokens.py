@@ -6,13 +6,16 @@ such strings count as one token without any merging, and only the rest goes thro
 (their counts are kept in a bounded table).
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; strings of special tokens inside
-texts are one token each, as is the library's default; null ids pass through.
+texts are one token each, as is the library's default; null ids pass through; repeated rows are counted
+one by one; very long texts are counted whole, some pre-tokens at a time; other columns aren't read; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import functools
 import json
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +27,8 @@ WHITE = r"\x09-\x0D\x20\x85\xA0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 #: Pre-tokens outside the vocabulary whose counts a worker remembers.
 REMEMBERED = 200_000
+#: Characters of a text whose pre-tokens are listed at once, and pre-tokens of a longer one.
+LONG = 1 << 17
 
 
 def byte_letters() -> dict[int, str]:
@@ -61,7 +66,15 @@ class Counter:
                 self.whole[word] = 1
 
     def pretokens(self, text: str) -> int:
-        words = self.words.findall(text)
+        if len(text) <= LONG:
+            return self.merged(self.words.findall(text))
+        found, n = (m[0] for m in self.words.finditer(text)), 0
+        while words := list(islice(found, LONG)):
+            n += self.merged(words)
+        return n
+
+    def merged(self, words: list[str]) -> int:
+        """Tokens of some pre-tokens."""
         known = list(map(self.whole.get, words))
         missing = known.count(None)
         if not missing:

@@ -599,6 +599,16 @@ def test_token_counts_of_odd_texts():
         assert count(t) == len(tokenizer.encode(t).ids), repr(t)
 
 
+def test_token_counts_of_long_texts(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    count = tokens.counter(path).count
+    rng = random.Random(3)
+    texts = ["".join(rng.choices(["the ", " of", "\n\n", "it's", "é", "<|endoftext|>", "  ", "x1"], k=400)) for _ in range(20)]
+    whole = [count(t) for t in texts]
+    monkeypatch.setattr(tokens, "LONG", 7)
+    assert [count(t) for t in texts] == whole
+
+
 def test_packing_ids_of_odd_texts():
     import pyarrow as pa
 
