@@ -61,23 +61,26 @@ def run_stats(report: DataFrame, width: int = 1000) -> DataFrame:
     more than `width` rows however large the ids are.
     """
     sums = ["images", "objects", "accepted"]
-    per = report.groupBy("image_id").agg(F.lit(1).cast("long").alias("images"), F.count("*").alias("objects"), F.count_if(F.col("state") == "accepted").alias("accepted"))
-    levels, key = [per.withColumn("k0", F.col("image_id").cast("long"))], "k0"
-    for n in range(1, 7):  # ids below 2 ** 63 have at most seven levels of 1000
-        finer = levels[-1].withColumn(f"k{n}", F.floor(F.col(key) / width))
-        levels[-1], key = finer, f"k{n}"
-        levels.append(finer.groupBy(key).agg(*(F.sum(c).alias(c) for c in sums)))
-        if n == 6 or levels[-1].agg(F.max(F.abs(key))).first()[0] in (None, 0):
-            break
-    before = None  # totals of all before each key of the coarser level
-    for n in range(len(levels) - 1, 0, -1):
+    top = report.agg(F.max(F.abs(F.col("image_id").cast("long")))).first()[0] or 0  # one number tells how many levels there are
+    n_levels = 1
+    while top >= width ** (n_levels + 1):
+        n_levels += 1
+    accepted = F.count_if(F.col("state") == "accepted").alias("accepted")
+    per = report.groupBy("image_id").agg(F.lit(1).cast("long").alias("images"), F.count("*").alias("objects"), accepted)
+    levels = [per.withColumn("k1", F.floor(F.col("image_id") / width))]
+    for n in range(1, n_levels + 1):
+        ranges = levels[-1].groupBy(f"k{n}").agg(*(F.sum(c).alias(c) for c in sums))
+        levels.append(ranges.withColumn(f"k{n + 1}", F.floor(F.col(f"k{n}") / width)))
+    before = None  # totals of all before each range, from the coarsest ranges on
+    for n in range(n_levels, 0, -1):
         own, up = levels[n], f"k{n + 1}"
-        window = Window.partitionBy(up) if up in own.columns else Window.partitionBy(F.lit(0))
-        ranged = window.orderBy(f"k{n}").rowsBetween(Window.unboundedPreceding, -1)
-        rows = own.select(*(c for c in own.columns if c not in sums), *(F.coalesce(F.sum(c).over(ranged), F.lit(0)).alias(f"b_{c}") for c in sums))
-        if before is not None:
-            rows = rows.join(before, up).select(f"k{n}", *((F.col(f"b_{c}") + F.col(f"a_{c}")).alias(f"b_{c}") for c in sums))
-        before = rows.select(f"k{n}", *(F.col(f"b_{c}").alias(f"a_{c}") for c in sums))
+        earlier = Window.partitionBy(up).orderBy(f"k{n}").rowsBetween(Window.unboundedPreceding, -1)
+        rows = own.select(f"k{n}", up, *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in sums))
+        if before is None:  # of the coarsest ranges, the few above are in order too
+            above = own.groupBy(up).agg(*(F.sum(c).alias(c) for c in sums))
+            whole = Window.orderBy(up).rowsBetween(Window.unboundedPreceding, -1)  # two rows at most: of negative ids, and others
+            before = above.select(up, *(F.coalesce(F.sum(c).over(whole), F.lit(0)).alias(f"a_{c}") for c in sums))
+        before = rows.join(before, up).select(f"k{n}", *((F.col(c) + F.col(f"a_{c}")).alias(f"a_{c}") for c in sums))
     inside = Window.partitionBy("k1").orderBy("image_id").rowsBetween(Window.unboundedPreceding, 0)
     rows = levels[0].select("image_id", "k1", *(F.sum(c).over(inside).alias(c) for c in sums)).join(before, "k1")
     return rows.select("image_id", *((F.col(c) + F.col(f"a_{c}")).alias(c) for c in sums))
