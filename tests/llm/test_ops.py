@@ -719,6 +719,86 @@ def test_toxicity_sample_is_bounded_in_words(spark, monkeypatch):
         assert 0 < sum(len(r[3]) for r in part if r[1] == y) <= most < sum(len(r[3]) for r in whole if r[1] == y)
 
 
+def test_toxicity_learns_from_every_row(spark, monkeypatch):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(300)]
+    marks = ["".join(rng.choices("stuvwxyz", k=6)) for _ in range(40)]
+    rows, labels = [], []
+    for i in range(1200):
+        own = [rng.choice(words) for _ in range(rng.randint(5, 40))]
+        if i % 3 == 0:
+            own[rng.randrange(len(own))] = marks[i // 3 % len(marks)]
+        rows.append((i, " ".join(own), "en"))
+        labels.append((i, int(i % 3 == 0)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "SAMPLE", (12, 24))  # the start knows 12 of the 40 marks at most
+    held = [r for r in toxicity.digest(docs, labels).collect() if r.held_out]
+    caught = [r.predicted for r in held if r.doc_id % 3 == 0]
+    assert len(caught) > 100 and sum(caught) > 0.75 * len(caught)  # of 12 marks: 0.3
+    assert sum(r.predicted for r in held if r.doc_id % 3) < 0.05 * len(held)
+
+
+def test_toxicity_rounds_average_all_slices(spark, monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices("abcdefghij", k=rng.randint(0, 9))) for _ in range(80)]
+    rows = spark.createDataFrame([(i, i % 2, t) for i, t in enumerate(texts)], "doc_id long, y int, text string")
+    monkeypatch.setattr(toxicity, "SLICE_TEXT", 50)
+    monkeypatch.setattr(toxicity, "FAN", 3)
+    n_bytes = sum(map(len, texts))
+    n_slices = -(-n_bytes // 50)
+    assert n_slices > 9  # averages of averages of averages
+    model = toxicity.Model()
+    got = toxicity.learned(model, rows, n_bytes, 0.02).flat()
+    total = weight = 0.0
+    slices = collections.defaultdict(list)
+    for r in rows.selectExpr("*", f"int(pmod(xxhash64(doc_id, 2), {n_slices})) s").collect():
+        slices[r.s].append(r)
+    assert sum(map(len, slices.values())) == 80
+    for s, own in slices.items():
+        own.sort(key=lambda r: r.doc_id)
+        words, first = toxicity.buckets_of(pa.RecordBatch.from_arrays([pa.array([r.text for r in own])], names=["text"]))
+        words, copied = np.split(words, first[1:-1]), toxicity.Model()
+        held = toxicity.holders(words)
+        copied.passes(words, np.array([r.y for r in own], np.float32), held, [0.02] * toxicity.PASSES, s)
+        w = copied.weights(len(own), held).astype(float)
+        total, weight = total + w * copied.flat(), weight + w
+    assert weight[-1] == 80  # every row is in one slice
+    assert np.allclose(got, np.where(weight > 0, total / np.maximum(weight, 1), model.flat()), atol=1e-5)
+    assert (weight[: toxicity.BUCKETS * toxicity.DIM] > 0).any() and not np.allclose(got, model.flat(), atol=1e-3)
+
+
+def test_toxicity_batches_hold_every_text_once(monkeypatch):
+    monkeypatch.setattr(toxicity, "BATCH_WORDS", 100)
+    size = np.array([3, 500, 40, 40, 40, 2, 0, 100, 1] + [0] * 300)
+    order = np.random.default_rng(0).permutation(len(size))
+    parts = list(toxicity.batches_of(order, size))
+    assert np.concatenate(parts).tolist() == order.tolist()
+    assert all(len(p) <= toxicity.BATCH and (len(p) == 1 or size[p].sum() <= 100) for p in parts)
+
+
+def test_toxicity_calibrates_by_every_row(spark):
+    """Against the best of all cuts, over all rows and over those of a language."""
+    rng = random.Random(6)
+    rows = [(i, i % 4 == 0, " ".join(rng.choices("abcdef", k=6)), rng.choice(["en", "de", None])) for i in range(400)] + [(1000 + i, False, "x", "few") for i in range(30)]
+    table = spark.createDataFrame([(i, int(y), t, lang) for i, y, t, lang in rows], "doc_id long, y int, text string, lang string")
+    model = toxicity.calibrated(toxicity.Model(), table)
+    got = {r.doc_id: r.score for r in toxicity.score(table, model).collect()}
+
+    def f1(own, cut):
+        hits = sum(y and got[i] >= cut for i, y, _, _ in own)
+        return 2 * hits / (sum(got[i] >= cut for i, *_ in own) + sum(y for _, y, *_ in own))
+
+    assert set(model.thresholds) == {"en", "de"}
+    for own, cut in ((rows, toxicity.THRESHOLD), *(([r for r in rows if r[3] == x], c) for x, c in model.thresholds.items())):
+        assert f1(own, cut) == pytest.approx(max(f1(own, got[i]) for i, *_ in own), abs=0.01)
+    counts = toxicity.outputs(model, table).selectExpr("sum(n)", "sum(hits)").first()
+    assert tuple(counts) == (430, 100)
+    assert toxicity.best_cut(np.array([5]), np.array([4]), np.array([3])) == 4.5  # below all rows of the lowest step
+    assert toxicity.best_cut(np.array([1, 9, 4]), np.array([50, 2, 3]), np.array([1, 2, 2])) == 2.5
+
+
 def test_lm(spark, docs, rows, empty):
     rng = random.Random(6)
     grammar = {"a": "bc", "b": "cd", "c": "de", "d": "ea", "e": "ab"}
