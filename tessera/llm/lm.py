@@ -64,6 +64,15 @@ def words_of(part: pa.RecordBatch) -> tuple[np.ndarray, K.Words]:
     return words.hashes(9, lower=True), words
 
 
+def rounds_of(batch: pa.RecordBatch) -> np.ndarray:
+    """The round that trains each text. A hash needs some 20 times the bytes of its texts, so a batch of any size is hashed in slices."""
+    hashes = [np.zeros(0, np.uint64)]
+    for part in K.slices(batch):
+        buf, offsets = K.text_of(part.column("text"))
+        hashes.append(K.span_hash(buf, offsets[:-1], offsets[1:], 4))
+    return np.concatenate(hashes) % np.uint64(ROUNDS)
+
+
 def corpus_counts(docs: DataFrame, text_col: str) -> DataFrame:
     """Occurrences of each word (its hash) in all documents: counts of some slices, then a shuffled sum."""
 
@@ -280,9 +289,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
             visits = {name: np.zeros(len(getattr(own, name)), np.float32) for name in own.SPARSE}
             seen = 0
             for batch in batches:
-                buf, offsets = K.text_of(batch.column("text"))
-                turn = K.span_hash(buf, offsets[:-1], offsets[1:], 4) % np.uint64(ROUNDS) == round_
-                for part in K.slices(batch.filter(pa.array(turn))):
+                for part in K.slices(batch.filter(pa.array(rounds_of(batch) == round_))):
                     hashes, words = words_of(part)
                     token, _ = own.tokens(hashes)
                     own.train(token, own.around(token, hashes, words), memory, visits)

@@ -857,6 +857,46 @@ def test_lm_counts_grow_with_the_vocabulary(spark):
     assert len(got) == len(texts) and got[92].score == 0 == got[93].score
 
 
+def test_lm_training_memory(spark, monkeypatch):
+    """What training needs beside a batch doesn't grow with the batch, whose texts are all trained in one of the rounds."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Found(Exception):
+        pass
+
+    class Docs:
+        sparkSession = spark
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            raise Found(run)
+
+    net = lm.Network(np.arange(1, 2000, dtype=np.uint64) << np.uint64(11), np.arange(2000, 1, -1), np.full(lm.SHARED, 10**7))
+    monkeypatch.setattr(lm, "corpus_counts", lambda *_: None)
+    monkeypatch.setattr(lm, "initial", lambda *_: net)
+    monkeypatch.setattr(lm.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    with pytest.raises(Found) as found:
+        lm.fit(Docs())
+    trained, peaks = [], []
+    monkeypatch.setattr(lm.Network, "train", lambda self, token, *_: trained.append(len(token)))
+    for size in (1 << 20, 1 << 24):
+        texts = [f"{k} " + "word " * 400 for k in range(size // 2000)] + ["", None]
+        batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+        buf, offsets = lm.K.text_of(batch.column("text"))
+        turns = lm.K.span_hash(buf, offsets[:-1], offsets[1:], 4) % np.uint64(lm.ROUNDS)
+        trained.clear()
+        tracemalloc.start()
+        list(found.value.args[0](iter([batch])))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert sum(trained) == 401 * (turns[:-2] == 0).sum() > 0
+    assert peaks[1] < 1.5 * peaks[0]
+
+
 def test_anchors_of_shared_heads_in_any_order(spark):
     """Documents that share only their first 18 to 60 words: groups ask and finish in orders of their own."""
     import pyarrow as pa
